@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubeweave.llm.sentencepieces import encode_documents
+from cubeweave.llm.sharding import shard_documents
 from cubeweave.llm.topk import top_k
 
 
@@ -14,12 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of an installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes."""
+    return shard_documents(table(spark, sf_dir, "documents"), leaves=16)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to."""
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of each vector whose vec_id is divisible by 100, against all others."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_tree_shards": op1_kd_tree_shards,
+    "op3_sentencepiece": op3_sentencepiece,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
