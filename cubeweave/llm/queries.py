@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubeweave.llm.mixing import mix
 from cubeweave.llm.quality import judge
 from cubeweave.llm.sentencepieces import encode_documents
 from cubeweave.llm.sharding import shard_documents
 from cubeweave.llm.topk import top_k
 
 
+#: Target weights of the mixture, in tickets; other sources have one.
+MIX_TICKETS = {"src1": 2, "src2": 3}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,6 +45,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "fail_bits")
 
 
+def op9_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mixture with the weights of MIX_TICKETS."""
+    return mix(table(spark, sf_dir, "documents"), MIX_TICKETS)
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best inner products of each vector whose vec_id is divisible by 100, against all others."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
@@ -49,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_tree_shards": op1_kd_tree_shards,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op9_pfair_mixture": op9_pfair_mixture,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
