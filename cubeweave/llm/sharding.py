@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeweave.ranking import rank_in_groups, values
 from cubeweave.scratch import materialize
 
 #: Histogram rows of one pass over all nodes of a level: what the driver gets at once.
@@ -29,11 +30,11 @@ def text_prefix_code(c: Column) -> Column:
 
 
 def metadata(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One narrow row a document: rid (unique), doc_id, size, text_crc32 and the dimensions of the tree."""
+    """One narrow row a document: shard (0, to be stored: as a constant it would turn joins on it into cross joins), rid (unique), doc_id, size, text_crc32 and the dimensions of the tree."""
     size = F.coalesce(F.octet_length(F.col(text_col)).cast("long"), F.lit(0).cast("long")) + 1
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long"))
     return documents.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), size.alias("size"),
+        F.lit(0).cast("long").alias("shard"), F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), size.alias("size"),
         F.coalesce(F.crc32(F.encode(F.col(text_col), "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
         size.alias("d_size"), text_prefix_code(F.col(lang_col)).alias("d_lang"), text_prefix_code(F.col(source_col)).alias("d_source"), key.alias("d_id"),
     )
@@ -58,14 +59,14 @@ class _Search:
 
 
 def kd_tree(meta: DataFrame, leaves: int) -> DataFrame:
-    """Assign rows of metadata() to `leaves` leaves (a power of two) of near-equal bytes: adds column shard.
+    """Assign rows of metadata() to `leaves` leaves (a power of two) of near-equal bytes by column shard.
 
     Empty input gives an empty result. Rows that tie in a dimension are ordered by id, then by rid, so ties
     and repeated rows are split like others.
     """
     if leaves & (leaves - 1) or not 0 < leaves <= MAX_LEAVES:
         raise ValueError("leaves must be a power of two up to MAX_LEAVES")
-    placed = meta.withColumn("shard", F.lit(0))
+    placed = meta
     whole: list[int] = []
     for depth in range(leaves.bit_length() - 1):
         ranges = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).collect()
@@ -89,8 +90,8 @@ def _find(rows: DataFrame, tasks: list[_Search]) -> None:
     while open_ := [t for t in tasks if t.found is None]:
         per_node = max(4, BUCKETS // len(open_))
         params = [(t.node, t.dim, len(t.fixed), *(t.fixed + [0, 0])[:2], t.lo, max(1, -(-(t.hi - t.lo + 1) // per_node)), t.hi) for t in open_]
-        known = spark.createDataFrame(params, "shard int, dim int, level int, f0 long, f1 long, lo long, width long, hi long")
-        value = F.element_at(F.array(*DIMS), F.col("dim") + 1)
+        known = values(spark, params, ("shard", "dim", "level", "f0", "f1", "lo", "width", "hi"))
+        value = F.element_at(F.array(*DIMS), F.col("dim").cast("int") + 1)
         at = F.when(F.col("level") == 0, value).when(F.col("level") == 1, F.col("d_id")).otherwise(F.col("rid"))
         fits = ((F.col("level") < 1) | (value == F.col("f0"))) & ((F.col("level") < 2) | (F.col("d_id") == F.col("f1")))
         held = rows.join(F.broadcast(known), "shard").filter(fits).withColumn("at", at).filter(F.col("at").between(F.col("lo"), F.col("hi")))
@@ -126,31 +127,16 @@ def _split(rows: DataFrame, tasks: list[_Search]) -> DataFrame:
     for t in tasks:
         (keys, left) = t.found
         params.append((t.node, t.dim, len(keys), *(list(keys) + [low, low])[:3], left))
-    known = rows.sparkSession.createDataFrame(params, "shard int, dim int, level int, k0 long, k1 long, k2 long, at_left boolean")
-    value = F.element_at(F.array(*DIMS), F.col("dim") + 1)
+    known = values(rows.sparkSession, params, ("shard", "dim", "level", "k0", "k1", "k2", "at_left"))
+    value = F.element_at(F.array(*DIMS), F.col("dim").cast("int") + 1)
     later = [(value, "k0"), (F.col("d_id"), "k1"), (F.col("rid"), "k2")]
     right = ~F.col("at_left")
     for depth, (c, k) in reversed(list(enumerate(later))):
         right = F.when(F.col("level") <= depth, right).when(c == F.col(k), right).otherwise(c > F.col(k))
-    out = rows.join(F.broadcast(known), "shard").withColumn("child", F.col("shard") * 2 + right.cast("int"))
+    out = rows.join(F.broadcast(known), "shard").withColumn("child", F.col("shard") * 2 + right.cast("long"))
     return out.select(*[F.col("child").alias("shard") if c == "shard" else F.col(c) for c in rows.columns])
 
 
-def with_slots(placed: DataFrame, partitions: int) -> DataFrame:
-    """Adds slot: a gapless number from 0 in each shard in the order of (d_id, rid).
-
-    The rows are range-partitioned and sorted once; a row's place in its partition comes from
-    monotonically_increasing_id, the partitions' offsets from one small aggregate a (shard, partition).
-    """
-    ordered = placed.repartitionByRange(partitions, "shard", "d_id", "rid").sortWithinPartitions("shard", "d_id", "rid")
-    mono = F.monotonically_increasing_id()
-    kept = materialize(ordered.select("*", F.shiftright(mono, 33).alias("pid"), mono.bitwiseAND(F.lit((1 << 33) - 1)).alias("idx")), "shard-order")
-    counts = kept.groupBy("shard", "pid").agg(F.min("idx").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "pid", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return kept.join(offsets, ["shard", "pid"]).withColumn("slot", F.col("idx") + F.col("shift")).drop("pid", "idx", "shift")
-
-
 def shard_documents(documents: DataFrame, *, leaves: int | None = None, target_bytes: int | None = None, **columns: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of documents.
 
@@ -158,12 +144,11 @@ def shard_documents(documents: DataFrame, *, leaves: int | None = None, target_b
     that a leaf may reach at most. Null texts count as empty (size 1, CRC 0), null ids and labels sort first
     and keep their rows; repeated rows each get a slot; extra columns are ignored.
     """
-    spark = documents.sparkSession
     meta = materialize(metadata(documents, **columns), "shard-meta")
     if leaves is None:
         total = meta.agg(F.sum("size")).first()[0] or 0
         leaves = 1
         while leaves < MAX_LEAVES and total > leaves * target_bytes:
             leaves *= 2
-    placed = with_slots(kd_tree(meta, leaves), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = rank_in_groups(kd_tree(meta, leaves), ["shard"], ["d_id", "rid"], name="slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
