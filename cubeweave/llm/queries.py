@@ -7,17 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cubeweave.llm.chat import render
 from cubeweave.llm.mixing import mix
 from cubeweave.llm.quality import judge
 from cubeweave.llm.sentencepieces import encode_documents
 from cubeweave.llm.sharding import shard_documents
 from cubeweave.llm.topk import top_k
+from cubeweave.llm.url_templates import filter_urls
 
 
 #: Target weights of the mixture, in tickets; other sources have one.
 MIX_TICKETS = {"src1": 2, "src2": 3}
 
 
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +44,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as each of its participants sees it; masks as start-end pairs, joined by commas."""
+    found = render(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.withColumn("masks", spans)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and verdicts of every whole text."""
     found = judge(table(spark, sf_dir, "documents"))
@@ -58,12 +75,55 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_tree_shards": op1_kd_tree_shards,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_url_templates": op4_url_templates,
     "op5_quality_rules": op5_quality_rules,
+    "op8_perspectives": op8_perspectives,
     "op9_pfair_mixture": op9_pfair_mixture,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
+
+
+def url_sql() -> str:
+    """op4 in SQL: the template tree, a level after the other."""
+    cases = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    fits = lambda r: f"((host = '{r.split('/', 1)[0]}' OR ends_with(host, '.{r.split('/', 1)[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}'))"
+    pick = lambda i: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[i]}'" for r in cases) + " END"
+    levels = ""
+    for i in range(1, 5):
+        levels += f"""
+        , m{i} AS (SELECT host, tpl FROM l{i - 1} WHERE len(shape) >= {i} GROUP BY ALL HAVING count(DISTINCT shape[{i}]) > 24)
+        , l{i} AS (
+            SELECT host, shape, b, a, CASE WHEN len(shape) >= {i} THEN tpl ELSE parent END AS parent,
+                   CASE WHEN len(shape) >= {i} THEN tpl || '/' || CASE WHEN m{i}.host IS NOT NULL THEN '*' ELSE shape[{i}] END ELSE tpl END AS tpl
+            FROM l{i - 1} LEFT JOIN m{i} USING (host, tpl))"""
+    return f"""
+        WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+        , h AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+        , s AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS segs FROM h)
+        , r AS (
+            SELECT page_id, host, path, {pick(1)} AS rule, {pick(0)} AS label,
+                   list_transform(CASE WHEN len(segs) > 4 THEN list_append(segs[1:3], array_to_string(segs[4:], '/')) ELSE segs END,
+                       lambda x: CASE WHEN regexp_full_match(x, '[0-9a-f]{{8,}}') AND regexp_matches(x, '[a-f]') AND regexp_matches(x, '[0-9]') THEN '<h>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END) AS shape
+            FROM s)
+        , l0 AS (SELECT host, shape, count(*) FILTER (label = 'block') AS b, count(*) FILTER (label = 'allow') AS a, '' AS parent, '' AS tpl FROM r GROUP BY host, shape){levels}
+        , p0 AS (SELECT host, sum(b) / (sum(a + b) + 4.0) AS p0 FROM l4 GROUP BY 1)
+        , p1 AS (SELECT host, parent, (sum(b) + 4.0 * any_value(p0)) / (sum(a + b) + 4.0) AS p1 FROM l4 JOIN p0 USING (host) GROUP BY 1, 2)
+        , t AS (
+            SELECT host, parent, tpl, sum(b) AS b, sum(a) AS a, round((sum(b) + 4.0 * any_value(p1)) / (sum(a + b) + 4.0), 9) AS p
+            FROM l4 JOIN p1 USING (host, parent) GROUP BY 1, 2, 3 HAVING sum(a + b) > 0)
+        , j AS (SELECT *, CAST(p - lag(p, 1, p) OVER (PARTITION BY host, parent ORDER BY p, tpl) > 0.1 AS INTEGER) AS apart FROM t)
+        , g AS (SELECT *, sum(apart) OVER (PARTITION BY host, parent ORDER BY p, tpl ROWS UNBOUNDED PRECEDING) AS branch FROM j)
+        , d AS (SELECT host, tpl, sum(a + b) OVER w >= 5 AND round(sum(b) OVER w / (sum(a + b) OVER w + 4.0), 9) >= 0.8 AS bad FROM g WINDOW w AS (PARTITION BY host, parent, branch))
+        , v AS (SELECT l4.host, l4.shape, l4.tpl AS template, CASE WHEN d.bad THEN 'block' ELSE 'allow' END AS method FROM l4 LEFT JOIN d ON l4.host = d.host AND l4.tpl = d.tpl)
+        SELECT page_id, r.host, path, rule, coalesce(label, method) AS verdict, template FROM r JOIN v ON r.host = v.host AND r.shape = v.shape
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op4_url_templates": url_sql(),
     "op5_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (
@@ -88,6 +148,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
     """,
+    "op8_perspectives": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
+            FROM conversations
+        ), v AS (
+            SELECT t.*, s.speaker, t.role = s.speaker AS own,
+                   CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head,
+                   t.text || '<|end|>' || chr(10) AS body
+            FROM t JOIN (SELECT DISTINCT conv_id, role AS speaker FROM t) s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
+        ), o AS (
+            SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, pos // 64 ORDER BY pos) AS e FROM v
+        )
+        SELECT conv_id, speaker, CAST(pos // 64 AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_trained,
+               string_agg(head || body, '' ORDER BY pos) AS text,
+               coalesce(string_agg(CAST(CAST(e - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (own), '') AS masks
+        FROM o GROUP BY conv_id, speaker, pos // 64
+    """,
     "op10_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
