@@ -14,6 +14,7 @@ from cubeweave.llm.sentencepieces import encode_documents
 from cubeweave.llm.sharding import shard_documents
 from cubeweave.llm.topk import top_k
 from cubeweave.llm.url_templates import filter_urls
+from cubeweave.llm.warc import round_trip
 
 
 #: Target weights of the mixture, in tickets; other sources have one.
@@ -49,6 +50,11 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as each of its participants sees it; masks as start-end pairs, joined by commas."""
     found = render(table(spark, sf_dir, "conversations"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_templates": op4_url_templates,
     "op5_quality_rules": op5_quality_rules,
+    "op7_warc": op7_warc,
     "op8_perspectives": op8_perspectives,
     "op9_pfair_mixture": op9_pfair_mixture,
     "op10_exact_top_k": op10_exact_top_k,
@@ -148,6 +155,16 @@ ORACLES: dict[str, str] = {
         )
         SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
     """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + ((CAST('0x' || substr(d, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
     "op8_perspectives": """
         WITH t AS (
             SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
