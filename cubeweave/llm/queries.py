@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeweave.llm.chat import render
+from cubeweave.llm.html_tree import extract
 from cubeweave.llm.mixing import mix
 from cubeweave.llm.quality import judge
 from cubeweave.llm.sentencepieces import encode_documents
@@ -40,6 +41,11 @@ def op1_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), leaves=16)
 
 
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to."""
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -80,6 +86,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_tree_shards": op1_kd_tree_shards,
+    "op2_style_tree": op2_style_tree,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_templates": op4_url_templates,
     "op5_quality_rules": op5_quality_rules,
