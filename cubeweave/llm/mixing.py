@@ -13,12 +13,11 @@ import heapq
 from bisect import bisect_right
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubeweave.ranking import rank_in_groups
-from cubeweave.scratch import materialize
+from cubeweave.rowkeys import with_row_keys
 
 #: Sources, and slots of a period, at most: what the driver works out.
 MAX_SOURCES, MAX_PERIOD = 4096, 1 << 16
@@ -99,17 +98,9 @@ def mixed(documents: DataFrame, tickets: Mapping[str, int] | None = None, **opti
     and into order. Tables that aren't read from files are written once.
     """
     names = documents.columns
-    whole = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    at = lambda d: d.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    try:
-        keyed = at(documents.select("*", "_metadata")) if "_metadata" not in names else None
-    except AnalysisException:
-        keyed = None
-    if keyed is None:
-        keyed = at(materialize(whole, "mix-rows").select("*", "_metadata"))
-    keyed = keyed.drop("_metadata").toDF(*whole.columns, "__file", "__row")
+    keyed = with_row_keys(documents)
     columns = {k: f"c{names.index(options.pop(k, d))}" for k, d in (("id_col", "doc_id"), ("source_col", "source"))}
     places = mix(keyed, tickets, keys=("__file", "__row"), **columns, **options).select("__file", "__row", "slot", "place")
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.join(places, ["__file", "__row"]).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place")
-    return ordered.select(*whole.columns).toDF(*names)
+    return ordered.select(*keyed.columns[: len(names)]).toDF(*names)
