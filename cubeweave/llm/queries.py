@@ -13,6 +13,7 @@ from cubeweave.llm.mixing import mix
 from cubeweave.llm.quality import judge
 from cubeweave.llm.sentencepieces import encode_documents
 from cubeweave.llm.sharding import shard_documents
+from cubeweave.llm.simhash import near_duplicates
 from cubeweave.llm.topk import top_k
 from cubeweave.llm.url_templates import filter_urls
 from cubeweave.llm.warc import round_trip
@@ -56,6 +57,11 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_simhash_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     return round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_templates": op4_url_templates,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash_graph": op6_simhash_graph,
     "op7_warc": op7_warc,
     "op8_perspectives": op8_perspectives,
     "op9_pfair_mixture": op9_pfair_mixture,
