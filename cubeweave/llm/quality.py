@@ -146,3 +146,11 @@ def judge(documents: DataFrame, *, policy: str = "v1", **options) -> DataFrame:
         raise ValueError("a policy has the base rules at least")
     rows = apply_policy(ledger(documents, **options), policy)
     return rows.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(mask("base"))) != 0).withColumnRenamed(f"kept_{policy}", "kept")
+
+
+def without_rejected(documents: DataFrame, *, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents that a policy keeps, with all their columns."""
+    names = documents.columns
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = judge(plain, policy=policy, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=plain.columns)
+    return rows.filter("kept").select(*plain.columns).toDF(*names)
