@@ -1 +1 @@
-
+"""Column functions: index arithmetic, differencing codes and bits."""

@@ -1 +1 @@
-
+"""Whole queries: the compressor and the registered catalogue."""

@@ -1 +1 @@
-
+"""Structured streaming over event tables."""
