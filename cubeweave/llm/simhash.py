@@ -8,11 +8,11 @@
 3. A shard builds a navigable small-world graph of its nodes and searches it with all of them, from entry points
    that share their hash. Beams expand while they hold nothing but near nodes. The recall of a sample is audited
    against exact search; where it is not whole, beams are doubled, at last up to the shard.
-4. In the first pass, with some of the hashes, a shard hands on two spanning forests of its near pairs, nearest
-   pairs first, so a group of copies makes as many pairs as it has members and not all of them. They are verified
-   by the exact similarity of their sets, and the verified links united to groups.
-5. The second pass takes all hashes, but only those that nodes of several groups share, and hands on every near
-   pair between different groups. So no link is lost to the first pass's choice. All verified links are united.
+4. A shard hands on the nodes that have a near one in another group. They come back to it with their sets of
+   shingles, and it verifies them exactly, by shared shingles, and returns a spanning forest of the links that are
+   true. So what moves grows with the nodes of a group, and never with its pairs.
+5. Links are united to groups. Steps 2 to 5 run twice: first with some of the hashes, then with all, but only
+   those that nodes of several groups share.
 """
 
 from __future__ import annotations
@@ -31,16 +31,15 @@ from cubeweave.scratch import materialize
 WORDS, SIMILARITY = 5, 0.8
 HASHES, FIRST = 8, 3  # min-wise hashes; how many the first pass uses
 FP = ("f0", "f1", "f2", "f3")
-#: At similarity 0.8 fingerprints differ in 39 +- 6 of 256 bits, those of FEW shingles or less in up to 48 +- 7,
-#: unrelated ones in 128 +- 8. Pairs up to NEAR are searched; of larger sets, those up to NEAR_LARGE are verified.
-NEAR, NEAR_LARGE, FEW = 80, 66, 48
-FORESTS = 2
+#: At similarity 0.8 fingerprints differ in 38 +- 6 of 256 bits, those of FEW shingles or less in up to 48 +- 6,
+#: unrelated ones in 128 +- 8. Pairs up to NEAR are searched; of larger sets, those up to NEAR_LARGE count.
+NEAR, NEAR_LARGE, FEW = 74, 62, 24
 #: Nodes dealt to a shard, and nodes of one hash before it is cut; nodes that its shards have in common.
-SHARD_NODES, HOT_NODES, COMMON = 3000, 2000, 48
+SHARD_NODES, HOT_NODES, COMMON = 1024, 800, 32
 BEAM, LINKS, OLD_LINKS = 16, 16, 4
 AUDIT = 128
-#: Rows up to which a table of hot hashes is broadcast.
-HOT_ROWS = 20_000
+#: Keys of texts to verify up to which they are broadcast (at about 150 bytes); beyond, the texts are shuffled.
+BROADCAST_KEYS = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -294,9 +293,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, label: np.ndarra
         label = root[label]
 
 
-def candidates(table: pa.Table, every: bool) -> pa.Table:
-    """The pairs of one shard that are to be verified, of nodes of different groups: every one that is near, or
-    only FORESTS spanning forests, each the nearest pairs that the ones before have left."""
+def candidates(table: pa.Table) -> pa.Table:
+    """The nodes of one shard that have a near one in another group: shard, node."""
     rows = {c: table[c].to_numpy() for c in ("node", "n", "grp", "i", "h")}
     order = np.lexsort((rows["node"], rows["h"], rows["i"]))
     node = rows["node"][order]
@@ -307,25 +305,50 @@ def candidates(table: pa.Table, every: bool) -> pa.Table:
     a, b, d = near_pairs(fp)
     large, small = np.maximum(count[a], count[b]), np.minimum(count[a], count[b])
     can = (group[a] != group[b]) & (small >= SIMILARITY * large - 1e-9) & ((d <= NEAR_LARGE) | (small <= FEW))
-    a, b, d = a[can], b[can], d[can]
-    if not every:
-        chosen, left = [], np.arange(len(a))
-        for _ in range(FORESTS):
-            tree, _ = forest(len(node), a[left], b[left], d[left], group)
-            chosen.append(left[tree])
-            left = np.delete(left, tree)
-        at = np.concatenate(chosen)
-        a, b = a[at], b[at]
-    lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+    found = node[np.unique(np.r_[a[can], b[can]])]
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(found), pa.string()), "node": pa.array(found, pa.int64())})
+
+
+def true_links(table: pa.Table) -> pa.Table:
+    """A spanning forest (a, b) of the similar nodes of one shard; rows (node, grp, s), s a set of shingles."""
+    node, group = table["node"].to_numpy(), table["grp"].to_numpy()
+    lists = table["s"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    shared = intersections(lists.flatten().to_numpy(), size)
+    a, b = np.nonzero(np.triu(shared, 1))
+    x = shared[a, b]
+    true = (x >= SIMILARITY * (size[a] + size[b] - x) - 1e-9) & (group[a] != group[b])
+    a, b, x = a[true], b[true], x[true]
+    tree, _ = forest(len(node), a, b, -x, group)
+    lo, hi = np.minimum(node[a[tree]], node[b[tree]]), np.maximum(node[a[tree]], node[b[tree]])
     return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
 
 
-def forests(table: pa.Table) -> pa.Table:
-    return candidates(table, every=False)
-
-
-def all_near(table: pa.Table) -> pa.Table:
-    return candidates(table, every=True)
+def intersections(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Shared shingles [n, n] of n sets that stand one after the other. Shingles of few sets are counted pair by
+    pair, those of many by a product of 0-1 matrices, a block of shingles at a time."""
+    n = len(size)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(shingles, kind="stable")
+    owner, keys = owner[order], shingles[order]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    df = np.diff(np.r_[start, len(keys)])
+    out = np.zeros(n * n, np.int64)
+    for k in np.unique(df[(df > 1) & (df <= 16)]):
+        groups = owner[start[df == k][:, None] + np.arange(k)[None]]
+        for i in range(k):
+            for j in range(i + 1, k):
+                out += np.bincount(groups[:, i] * n + groups[:, j], minlength=n * n)
+    out = out.reshape(n, n)
+    many = np.flatnonzero(df > 16)
+    for at in range(0, len(many), 2048):
+        part = many[at : at + 2048]
+        has = np.zeros((n, len(part)), np.float32)
+        has[owner[np.concatenate([np.arange(start[m], start[m] + df[m]) for m in part])], np.repeat(np.arange(len(part)), df[part])] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
 
 
 def deal(nodes: DataFrame, hashes: range) -> DataFrame:
@@ -346,9 +369,8 @@ def deal(nodes: DataFrame, hashes: range) -> DataFrame:
     return dealt.select(F.when(F.col("hot"), F.concat_ws("/", "i", "h", "cut")).otherwise(F.pmod(F.xxhash64("i", "h"), F.lit(shards)).cast("string")).alias("shard"), "node", "n", "grp", *FP, "i", "h")
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are similar; texts has node and text of all their nodes."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, s) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -360,11 +382,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["node", "s"])
 
-    sets = materialize(texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, s array<long>"), "simhash-sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    met = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("x"), (F.size("sa") + F.size("sb")).alias("t"))
-    return met.filter((F.col("x") >= SIMILARITY * (F.col("t") - F.col("x")) - 1e-9) & (F.col("x") > 0)).select("a", "b")
+    return texts.mapInArrow(run, "node long, s array<long>")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,13 +407,15 @@ def _classes(keyed: DataFrame, doc: str, text: str) -> DataFrame:
     at = nodes.select("node", F.col("first.__file").alias("__f"), F.col("first.__row").alias("__r"))
     source = keyed.select("__file", "__row", F.col(text).cast("string").alias("text"))
     links, groups = None, None
-    for every, part in ((False, range(FIRST)), (True, range(HASHES))):
+    for part in (range(FIRST), range(HASHES)):
         grouped = nodes.withColumn("grp", F.col("node")) if groups is None else nodes.join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root")
-        found = deal(grouped, part).groupBy("shard").applyInArrow(all_near if every else forests, "a long, b long")
-        pairs = materialize(found.distinct(), "simhash-pairs")
-        where = at.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        asked = deal(grouped, part).groupBy("shard").applyInArrow(candidates, "shard string, node long")
+        asked = materialize(asked.join(grouped.select("node", "grp"), "node"), "simhash-asked")
+        where = materialize(at.join(asked.select("node").distinct(), "node", "left_semi"), "simhash-wanted")
+        where = F.broadcast(where) if where.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else where
         texts = source.join(where, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r"))).select("node", "text")
-        true = verify(pairs, texts)
+        sets = materialize(shingle_sets(texts), "simhash-sets")
+        true = asked.join(sets, "node").select("shard", "node", "grp", "s").groupBy("shard").applyInArrow(true_links, "a long, b long")
         links = materialize(true if links is None else true.unionAll(links), "simhash-links")
         groups = components(links)
     root = F.coalesce("root", "node")
