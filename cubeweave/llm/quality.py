@@ -149,8 +149,13 @@ def judge(documents: DataFrame, *, policy: str = "v1", **options) -> DataFrame:
 
 
 def without_rejected(documents: DataFrame, *, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents that a policy keeps, with all their columns."""
+    """The rows of documents that a policy keeps, with all their columns.
+
+    A filter on kept would be pushed down through the projections of measure() and repeat each of them in itself;
+    exploding an array that only kept rows have leaves the same rows and the plan as it is.
+    """
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
     rows = judge(plain, policy=policy, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=plain.columns)
-    return rows.filter("kept").select(*plain.columns).toDF(*names)
+    stays = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__stays")
+    return rows.select(*plain.columns, stays).drop("__stays").toDF(*names)
