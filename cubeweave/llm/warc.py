@@ -159,7 +159,9 @@ class WarcReader(DataSourceReader):
         archives = [m for m in listed if m.base_name.endswith(".warc.gz") and (kept is None or m.base_name in kept)]
         return [Range(m.path, at, min(at + self.split, m.size)) for m in archives for at in range(0, m.size, self.split)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no archives
+            return
         files, _ = filesystem(self.path)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         schema = pa.schema([(n, pa.int64() if n == "payload_length" else pa.binary() if n == "payload" else pa.string()) for n in names])
