@@ -1,0 +1,417 @@
+"""The ten operators: brute force, exact round trips, and the cases that every one must bear."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from cubeweave.llm import chat, html_tree, mixing, quality, sentencepieces, sharding, simhash, topk, url_templates, warc
+from cubeweave.scratch import new_path
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+words = [f"{a}{b}" for a in "ka lo mi nu pe ra si to".split() for b in "ba de fi go hu".split()]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, clashing extra columns."""
+    rng = random.Random(1)
+    long = "\n".join(prose(rng, 60) for _ in range(400))
+    rows = [(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (None, None, None, None, None), (2, "", "en", None, 0), (3, long, None, "s", 1), (4, long + " x", "en", "t", 1), (5, " \t\n ", "en", "t", 1), (None, "q w e r t", "de", "s", 9)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumn("__text", F.lit(1)).withColumn("shard", F.lit("x")).withColumn("slot", F.lit(None).cast("int")).withColumn("node", F.lit(2)).withColumn("size", F.lit(1.5))
+
+
+def empty(spark, schema):
+    return spark.createDataFrame([], schema)
+
+
+# sharding
+
+
+def kd_reference(sizes, dims, leaves):
+    """Leaves by splitting sorted lists at the row whose middle is nearest the half."""
+    nodes = [list(range(len(sizes)))]
+    whole = [max(1, max(d) - min(d)) for d in dims]
+    while len(nodes) < leaves:
+        after = []
+        for rows in nodes:
+            widths = [(max(d[r] for r in rows) - min(d[r] for r in rows)) / w for d, w in zip(dims, whole, strict=True)]
+            d = dims[widths.index(max(widths))]
+            rows = sorted(rows, key=lambda r: (d[r], dims[-1][r]))
+            total, before, left = sum(sizes[r] for r in rows), 0, []
+            for r in rows:
+                if 2 * before + sizes[r] > total:
+                    break
+                left.append(r)
+                before += sizes[r]
+            after += [left, rows[len(left) :]]
+        nodes = after
+    return {r: i for i, rows in enumerate(nodes) for r in rows}
+
+
+def test_sharding_is_the_kd_tree(spark):
+    rng = random.Random(4)
+    rows = [(i * 3, "x" * rng.choice([0, 5, 50, 400]), rng.choice(["en", "de", "fr"]), f"src{rng.randrange(9)}", 1) for i in range(300)]
+    got = {r["doc_id"]: r for r in sharding.shard_documents(spark.createDataFrame(rows, DOCS), leaves=8).collect()}
+    code = lambda s: int.from_bytes(s.encode()[:7].ljust(7, b"\0"), "big")
+    sizes = [len(r[1]) + 1 for r in rows]
+    want = kd_reference(sizes, [sizes, [code(r[2]) for r in rows], [code(r[3]) for r in rows], [r[0] for r in rows]], 8)
+    assert all(got[r[0]]["shard"] == want[i] for i, r in enumerate(rows))
+    by = defaultdict(list)
+    for r in got.values():
+        by[r["shard"]].append(r)
+    for part in by.values():
+        assert [r["slot"] for r in sorted(part, key=lambda r: r["doc_id"])] == list(range(len(part)))
+        assert abs(sum(r["size"] for r in part) - sum(sizes) / 8) <= 2 * max(sizes)
+
+
+def test_sharding_of_odd_rows(spark, odd):
+    got = sharding.shard_documents(odd, leaves=4).collect()
+    assert len(got) == 8 and {r["law"] for r in got} == {"bytes"}
+    assert sorted(r["size"] for r in got)[:2] == [1, 1]
+    assert sharding.shard_documents(empty(spark, DOCS), leaves=16).count() == 0
+    same = spark.createDataFrame([(7, "abc", "en", "s", 3)] * 64, DOCS)
+    assert Counter(r["shard"] for r in sharding.shard_documents(same, leaves=16).collect()) == dict.fromkeys(range(16), 4)
+    assert sharding.shard_documents(same, target_bytes=64).select("shard").distinct().count() == 4
+
+
+# html
+
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class="page"><header><a href="/">home</a></header>'
+    '<nav><ul><li>one</li></ul></nav><div class="ad-slot">buy</div><aside>side</aside><article class="post-7"><header><h1>A &amp; B</h1></header><p>First<br>line &lt;x&gt;<p>Second <b>bold</b>ed'
+    '<div class="note-box">same everywhere</div><form><label>mail</label><input></form><section id="comments"><p>reader</p></section></article><footer>&copy; me</footer>'
+)
+
+
+def test_main_text():
+    assert html_tree.main_text(html_tree.parse(PAGE)[0], set()) == "A & B\n\nFirst line <x>\n\nSecond bolded\n\nsame everywhere"
+    for text in ("", "plain", "<p>a<", "<", "<p", "a < b", "<!-- x", "<script>x", "<b>x</b></p></div>", "<p title='>'>q", "</", "<div" + " a" * 50):
+        assert isinstance(html_tree.main_text(html_tree.parse(text)[0], set()), str)
+    assert html_tree.main_text(html_tree.parse("a < b <p>c&nbsp;&nbsp;d")[0], set()) == "a < b\n\nc d"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="<>/abpdiv=\"' !-\n&;", max_size=60))
+def test_parser_bears_anything(text):
+    html_tree.main_text(html_tree.parse(text)[0], set())
+
+
+def test_style_tree_removes_what_a_host_repeats(spark):
+    rng = random.Random(2)
+    rows, want = [], {}
+    for i in range(8):
+        a, b = prose(rng, 30), prose(rng, 20)
+        rows.append((i, f"http://h.example/{i}", f'<body><div class="box">Subscribe to us today</div><div class="body"><p>{a}</p><p>{b}</p></div></body>'))
+        want[i] = f"{a}\n\n{b}"
+    rows += [(50, None, "<p>alone</p>"), (51, "http://o.example/", None), (None, "http://h2/", "<article>x</article>"), (None, "http://h2/", "<article>x</article>")]
+    got = {(r["page_id"], r["url"]): r for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i, f"http://h.example/{i}"]["text"] == want[i]
+    assert got[50, None]["text"] == "alone" and got[51, "http://o.example/"]["text"] == "" and got[None, "http://h2/"]["n_chars"] == 1
+    assert html_tree.extract(empty(spark, "page_id long, url string, html string")).count() == 0
+
+
+def test_articles_stay_though_copied(spark):
+    rows = [(i, "http://h/", "<body><nav>x</nav><article><p>the same passage</p></article></body>") for i in range(9)]
+    assert {r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same passage"}
+
+
+# sentencepiece
+
+
+def test_encoding_is_the_librarys(spark, odd):
+    table = sentencepieces.ChunkTable(MODEL)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" ▁ab\né日🙂<s>.1 0\x00") for _ in range(rng.randrange(40))) for _ in range(800)] + ["<0x0A> </s>", "y" * 5000, "   "]
+    for text, (ids, decoded) in zip(texts, table.batch(texts), strict=True):
+        want = table.model.encode(text)
+        assert ids == ",".join(map(str, want)) and decoded == table.model.decode(want)
+    got = sentencepieces.encode_documents(odd, MODEL, keep_ids=True).collect()
+    assert len(got) == 8
+    for r, text in zip(got, [x["text"] for x in odd.collect()], strict=True):
+        want = table.model.encode(text or "")
+        assert r["n_tokens"] == len(want) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert r["decoded"] == table.model.decode(want)
+    assert sentencepieces.encode_documents(empty(spark, DOCS), MODEL).count() == 0
+
+
+def test_a_small_table_changes_nothing(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "TABLE_WORDS", 3)
+    table = sentencepieces.ChunkTable(MODEL)
+    texts = ["a b c d e f", "b c zz", "", "a  b"]
+    assert [i for i, _ in table.batch(texts)] == [",".join(map(str, table.model.encode(t))) for t in texts]
+
+
+# urls
+
+
+def test_rules_and_templates(spark):
+    rules = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "x.org/"))
+    urls = [f"http://a.example.com/en/{i}" for i in range(1, 7)] + ["HTTP://A.Example.COM/en/71?q#f", "https://com/en/", "http://b.net/en/1", "b.net/en", None, "://", "http://x.org", "http://x.org/q", "http://ax.org/q", "http://É.com/en/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r.asDict() for r in url_templates.filter_urls(rows, rules).orderBy("page_id").collect()]
+    assert [r["rule"] for r in got] == ["com/en/"] * 6 + ["example.com/en/7", "com/en/", None, None, None, None, None, "x.org/", None, "com/en/"]
+    assert got[6]["host"] == "a.example.com" and got[6]["path"] == "/en/71" and got[15]["host"] == "É.com"
+    assert [r["verdict"] for r in got][:9] == ["block"] * 6 + ["allow", "block", "allow"] and got[10]["host"] == got[10]["path"] == ""
+    assert url_templates.filter_urls(empty(spark, "page_id long, url string"), rules).count() == 0
+
+
+def test_template_is_rejected_and_siblings_not(spark):
+    urls = [f"http://h.com/shop/{i}/deal" for i in range(9)] + [f"http://h.com/en/shop/{i}" for i in range(30)] + ["http://h.com/news/1", "http://h.com/shopping/x/deal"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    many = (("block", "h.com/en/shop/1"), ("block", "h.com/en/shop/2"))
+    got = {r["page_id"]: r for r in url_templates.filter_urls(rows, many).collect()}
+    assert got[9 + 10]["verdict"] == "block" and got[9 + 5]["template"] == "/en/shop/<n>"
+    assert got[9 + 5]["rule"] is None and got[9 + 5]["verdict"] == "block"
+    assert got[0]["verdict"] == got[39]["verdict"] == got[40]["verdict"] == "allow"
+    slugs = [f"http://s.com/{a}-{b}" for a in "abcdefgh" for b in "stuvw"]
+    got = url_templates.filter_urls(spark.createDataFrame(list(enumerate(slugs)), "page_id long, url string"), many)
+    assert {r["template"] for r in got.collect()} == {"/*"}
+
+
+# quality
+
+
+def measured(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    n = Counter(grams)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(w), sum(map(len, w)), sum(text.count(c) for c in quality.SYMBOLS), len(lines) - len(set(lines)), len({i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(5)}))
+
+
+def test_measurements(spark, odd):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a ", "b ", "c\n", "ü ", "# ", "\x0b", " ", "a b c d e "]) for _ in range(rng.randrange(80))) for _ in range(300)] + ["x " * 3000, "", "\n\n", "a b c d e", "a b c d e a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for r in quality.judge(df).collect():
+        assert tuple(r[n] for n in names) == measured(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+    assert quality.judge(odd).count() == 8 and quality.judge(empty(spark, DOCS)).count() == 0
+    kept = quality.without_rejected(odd)
+    assert kept.columns == odd.columns and [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_policies_and_ablations(spark):
+    rng = random.Random(6)
+    texts = ["a", prose(rng, 50), "# " * 9 + prose(rng, 5), prose(rng, 12) + " $$$" * 9, "z z " * 40]
+    rows = quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    bits = [r["fail_bits"] for r in rows.collect()]
+    whole = quality.mask("v1")
+    for r in quality.ablations(rows, "v1").collect():
+        bit = {x.name: 1 << x.bit for x in quality.RULES}[r["rule"]]
+        assert r["failed"] == sum(bool(b & bit) for b in bits) and r["kept_with"] == sum(not b & whole for b in bits)
+        assert r["kept_without"] == sum(not b & whole & ~bit for b in bits) and r["rejected_alone"] == sum(b & whole == bit for b in bits)
+    assert quality.ablations(rows.limit(0), "v1").count() == 0
+
+
+# near-duplicates
+
+
+def classes_by_brute_force(rows):
+    sets = {i: set(simhash.Shingler()(t or "").tolist()) for i, (_, t) in enumerate(rows)}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x = len(sets[a] & sets[b])
+            if (rows[a][1] or "") == (rows[b][1] or "") or x and x >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    return {i: min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(rows))}
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(40):
+        base = prose(rng, rng.choice([3, 6, 20, 120])).split()
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(words) + "x"
+            rows.append((rng.randrange(10**6) * 2 + len(rows) % 2, " ".join(copy)))
+    passage = prose(rng, 40)
+    rows += [(3 * 10**6 + i, prose(rng, 60) + " " + passage) for i in range(30)]
+    ids = [r[0] for r in rows]
+    assert len(set(ids)) == len(ids)
+    want = classes_by_brute_force(rows)
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["class_id"] == want[k] for k, (i, _) in enumerate(rows))
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got.values())
+
+
+def test_near_duplicates_of_odd_rows(spark, odd):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == 8
+    assert sorted(r["class_id"] for r in got if r["doc_id"] == 1) == [1, 1] and sum(r["kept"] for r in got if r["doc_id"] == 1) == 1
+    assert {r["class_id"] for r in got if r["doc_id"] in (3, 4)} == {3}
+    assert [r["class_id"] for r in got if r["doc_id"] == 2] == [2]
+    assert simhash.near_duplicates(empty(spark, DOCS)).count() == 0
+    kept = simhash.without_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == 5
+
+
+def test_a_hash_that_many_share_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_NODES", 40)
+    monkeypatch.setattr(simhash, "COMMON", 8)
+    rng = random.Random(9)
+    base = prose(rng, 150).split()
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"w{i}"
+        rows.append((i, " ".join(copy)))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {0}
+
+
+def test_graph_search_has_full_recall():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 2**63, (400, 4)).astype(np.uint64)
+    noise = np.packbits(rng.random((1600, 256)) < 0.06, axis=1).view(np.uint64)
+    fp = np.repeat(centres, 4, axis=0) ^ noise
+    a, b, d = simhash.near_pairs(fp)
+    dist = simhash.all_distances(fp, fp)
+    i, j = np.nonzero(np.triu(dist <= simhash.NEAR, 1))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(i.tolist(), j.tolist(), strict=True)) and (dist[a, b] == d).all()
+
+
+def test_intersections():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(50)]
+    x = simhash.intersections(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert all(x[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(50) for j in range(i + 1, 50))
+
+
+# warc
+
+
+def test_warc_round_trip(spark):
+    rows = [(5, "http://a/", "x"), (2, "http://b/", "x"), (3, None, None), (4, "u\r\nv", ""), (9, "http://c", "ü" * 70000), (None, "n", "x"), (2, "http://b/", "x"), (7, "s", "\x00퟿")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("payload", F.lit("p"))
+    path = new_path(spark, "warc")
+    warc.to_warc(df, path)
+    warc.register(spark)
+    for split in (64 << 20, 50):
+        got = spark.read.format("warc").option("split_bytes", split).load(path).collect()
+        assert len(got) == 8
+        responses = {r["record_id"]: r for r in got if r["record_type"] == "response"}
+        assert bytes(responses["urn:x-page:9"]["payload"]) == ("ü" * 70000).encode()
+        assert all(warc.digest(bytes(r["payload"])) == r["payload_digest"] and len(r["payload"]) == r["payload_length"] for r in responses.values())
+        assert {r["record_id"]: r["refers_to"] for r in got if r["record_type"] == "revisit"} == {"urn:x-page:5": "urn:x-page:2", "urn:x-page:": "urn:x-page:2", "urn:x-page:4": "urn:x-page:3"}
+    revisits = warc.read_warc(spark, path, payload=False).filter("record_type = 'revisit'")
+    assert revisits.count() == 3 and "Filter (isnotnull" not in revisits._jdf.queryExecution().executedPlan().toString()
+    back = warc.round_trip(df, least_bytes=1).collect()
+    assert sum(r["record_type"] == "revisit" for r in back) == 2
+    assert warc.round_trip(empty(spark, "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_without_lengths(tmp_path):
+    import gzip
+
+    records = [warc.record(i, "u", b"p%d" % i, hashlib.sha1(b"p%d" % i).hexdigest(), None, "d") for i in range(5)]
+    path = tmp_path / "plain.warc.gz"
+    path.write_bytes(b"".join(map(gzip.compress, records)))
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["payload"] for r in got] == [b"p0", b"p1", b"p2", b"p3", b"p4"]
+
+
+# chat
+
+
+def test_perspectives(spark, monkeypatch):
+    rows = [(1, 2, "bob", "third"), (1, 0, "ann", "first"), (1, 1, None, None), (None, 0, "x", "y"), (1, 0, "ann", "first")]
+    got = {(r["conv_id"], r["speaker"]): r for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {(1, "bob"), (1, "ann"), (1, "unknown"), (None, "x")}
+    ann = got[1, "ann"]
+    assert ann["text"] == "<|assistant|>\nfirst<|end|>\n" * 2 + "<|user name=unknown|>\n<|end|>\n<|user name=bob|>\nthird<|end|>\n"
+    assert [ann["text"][m["start"] : m["end"]] for m in ann["masks"]] == ["first<|end|>\n"] * 2
+    assert [m.asDict() for m in got[1, "unknown"]["masks"]] and got[1, "bob"]["n_turns"] == 4
+    assert chat.render(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
+    monkeypatch.setattr(chat, "PART", 2)
+    parts = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("speaker = 'ann'").orderBy("part").collect()
+    assert len(parts) == 2 and "".join(p["text"] for p in parts) == ann["text"]
+
+
+# mixing
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=7))
+def test_schedule_is_pfair(tickets):
+    shares = {str(i): a for i, a in enumerate(tickets)}
+    slots, total = mixing.period(shares), sum(tickets)
+    assert sorted(t for x in slots.values() for t in x) == list(range(total))
+    for s, a in shares.items():
+        for t in range(total + 1):
+            assert abs(sum(x < t for x in slots[s]) - t * a / total) < 1
+        for k, t in enumerate(slots[s]):
+            assert k * total // a <= t < -(-(k + 1) * total // a)
+
+
+def test_every_document_is_placed_once(spark, odd):
+    rng = random.Random(11)
+    rows = [(i, "x", "en", rng.choice(["a", "a", "a", "b", None]), 1) for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), {"b": 3}, block_rows=8).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(500))
+    by = defaultdict(list)
+    for r in got:
+        by[r["slot"]].append(r)
+        assert r["release"] <= r["slot"] < r["deadline"]
+    assert sorted(by) == list(range(len(by)))
+    for part in by.values():
+        assert sorted(r["place"] for r in part) == list(range(len(part))) and len({(r["source"], r["block"]) for r in part}) == 1
+    n = min(len({r["block"] for r in got if r["source"] == s}) * 5 // a for s, a in (("a", 1), ("b", 3), (None, 1)))
+    for t in range(n):
+        assert abs(sum(by[k][0]["source"] == "b" for k in range(t)) - t * 3 / 5) < 1
+    assert mixing.mix(odd, block_rows=2).count() == 8 and mixing.mix(empty(spark, DOCS)).count() == 0
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
+
+
+# top-k
+
+
+def test_top_k_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vecs = [(i, [float(x) for x in rng.normal(size=6) * (rng.random(6) < 0.5)]) for i in range(60)] + [(10, [1.0] * 6), (70, None), (80, [1.0, None]), (90, [float("nan")]), (100, [float("inf")]), (110, [0.5]), (None, [1.0]), (120, [])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("rank", F.lit(2))
+    for block in (1024, 2):
+        got = defaultdict(list)
+        for r in topk.top_k(df, F.col("vec_id") % 10 == 0, k=7, query_block=block).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        good = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in vecs if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+        for q in {i for i, _ in good if i % 10 == 0}:
+            want = []
+            for own in [v for i, v in good if i == q]:
+                scores = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in good if i != q)[:7]
+                want += [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+            assert sorted(got[q]) == sorted(want)
+        assert set(got) == {i for i, _ in good if i % 10 == 0}
+    assert topk.top_k(empty(spark, "vec_id long, embedding array<float>"), F.col("vec_id") % 10 == 0).count() == 0
