@@ -78,7 +78,8 @@ def with_repeat_words(rows: DataFrame, windows: str) -> DataFrame:
         places, F.struct(F.lit(-WINDOW).alias("p"), F.lit(0).cast("long").alias("n")),
         lambda s, i: F.struct(i.alias("p"), (s["n"] + F.least(F.lit(WINDOW), i - s["p"])).alias("n")), lambda s: s["n"],
     )
-    return pairs.select(*others, covered.alias("n_repeat_words"))
+    # a one-row explode: predicates on n_repeat_words stay above it instead of repeating all of these projections in themselves
+    return pairs.select(*others, F.explode(F.array(covered)).alias("n_repeat_words"))
 
 
 def measure(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -149,13 +150,8 @@ def judge(documents: DataFrame, *, policy: str = "v1", **options) -> DataFrame:
 
 
 def without_rejected(documents: DataFrame, *, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents that a policy keeps, with all their columns.
-
-    A filter on kept would be pushed down through the projections of measure() and repeat each of them in itself;
-    exploding an array that only kept rows have leaves the same rows and the plan as it is.
-    """
+    """The rows of documents that a policy keeps, with all their columns."""
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
     rows = judge(plain, policy=policy, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=plain.columns)
-    stays = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__stays")
-    return rows.select(*plain.columns, stays).drop("__stays").toDF(*names)
+    return rows.filter("kept").select(*plain.columns).toDF(*names)
