@@ -143,7 +143,38 @@ def url_sql() -> str:
     """
 
 
+def sharding_sql() -> str:
+    """op1 in SQL: four levels of splits at the row whose middle is nearest half of its node's bytes."""
+    table_ = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ 0xEDB88320 if n & 1 else n >> 1
+        table_.append(n)
+    code = lambda c: f"coalesce(CAST('0x' || left(rpad(hex(encode({c})), 14, '0'), 14) AS BIGINT), -1)"
+    levels = ""
+    for i in range(4):
+        share = lambda d: f"(max(l{i}.{d}) OVER n - min(l{i}.{d}) OVER n) / any_value(w.{d}) OVER n"
+        levels += f"""
+        , a{i} AS (SELECT l{i}.*, {share('d1')} AS w1, {share('d2')} AS w2, {share('d3')} AS w3, {share('d4')} AS w4 FROM l{i}, w WINDOW n AS (PARTITION BY shard))
+        , b{i} AS (SELECT *, CASE greatest(w1, w2, w3, w4) WHEN w1 THEN d1 WHEN w2 THEN d2 WHEN w3 THEN d3 ELSE d4 END AS d FROM a{i})
+        , l{i + 1} AS (
+            SELECT doc_id, crc, d1, d2, d3, d4, shard * 2 + CASE WHEN 2 * (sum(d1) OVER o - d1) + d1 <= sum(d1) OVER (PARTITION BY shard) THEN 0 ELSE 1 END AS shard
+            FROM b{i} WINDOW o AS (PARTITION BY shard ORDER BY d, d4 ROWS UNBOUNDED PRECEDING))"""
+    return f"""
+        WITH x AS (SELECT *, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents)
+        , l0 AS (
+            SELECT doc_id, len(bytes) + 1 AS d1, {code('lang')} AS d2, {code('source')} AS d3, doc_id AS d4, 0 AS shard,
+                   xor(list_reduce(bytes, lambda c, b: xor(c >> 8, ({table_}::BIGINT[])[CAST(xor(c, b) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+            FROM x)
+        , w AS (SELECT {', '.join(f'CAST(greatest(1, max({d}) - min({d})) AS DOUBLE) AS {d}' for d in ('d1', 'd2', 'd3', 'd4'))} FROM l0){levels}
+        SELECT doc_id, CAST(d1 AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM l4
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op1_kd_tree_shards": sharding_sql(),
     "op4_url_templates": url_sql(),
     "op5_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
