@@ -624,4 +624,4 @@ def archive_roundtrip(spark, d):
 def event_frames(spark, d):
     from cubeweave.streaming.frames import daily_frames
 
-    return daily_frames(table(spark, d, "events")).select("event_type", F.unix_timestamp("start").alias("day"), "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return daily_frames(table(spark, d, "events")).select("event_type", (F.datediff(F.col("start").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400).alias("day"), "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

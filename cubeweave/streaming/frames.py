@@ -10,7 +10,7 @@ from cubeweave.scratch import new_path
 
 def daily_frames(events: DataFrame, *, late: str = "2 hours", width: str = "1 day") -> DataFrame:
     """(event_type, start, n, total, low, high) of each window; works on tables and streams."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     found = rows.groupBy("event_type", F.window("ts", width).alias("win")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
     return found.select("event_type", F.col("win.start").alias("start"), "n", "total", "low", "high")
 
