@@ -625,3 +625,124 @@ def event_frames(spark, d):
     from cubeweave.streaming.frames import daily_frames
 
     return daily_frames(table(spark, d, "events")).select("event_type", (F.datediff(F.col("start").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400).alias("day"), "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+# scalar functions
+
+
+@query("SELECT CAST(i // 4096 AS BIGINT) AS t, CAST(i // 64 % 64 AS BIGINT) AS h, CAST(i % 64 AS BIGINT) AS w, round(sin(h * 2 * pi() / 63) * cos(w * 2 * pi() / 63) * cos(0.1 * t * 4 * pi() / 4) + 0.3 * sin(2 * h * 2 * pi() / 63 + 0.05 * t * 4 * pi() / 4), 3) + 0.0 AS x FROM (SELECT i, i // 4096 AS t, i // 64 % 64 AS h, i % 64 AS w FROM range(5 * 4096) r(i))")
+def synthetic_field(spark, d):
+    from cubeweave.sources.raw import synthetic
+
+    return synthetic(spark, (1, 1, 5, 64, 64)).select("t", "h", "w", (F.round("x", 3) + 0.0).alias("x"))
+
+
+SCALES = [0.1, 0.25, 0.5, 1.0, 2.5, 8.0, 20.0]
+
+
+@query(f"WITH {V} SELECT v, t, CAST(len(list_filter({SCALES[:-1]}::DOUBLE[], lambda s: s < greatest(x / 50, 0.1))) AS INTEGER) AS row FROM c")
+def scale_rows(spark, d):
+    from cubeweave.functions.codes import scale_row
+
+    return cube_v(spark, d).select("v", "t", scale_row(F.col("x") / 50, SCALES).alias("row"))
+
+
+@query(f"WITH {V} SELECT v, t, round_even(x - 0.25, 0) + 0.25 AS q, least(greatest(x, 45.0), 55.0) AS c FROM c")
+def quantize_around_offset(spark, d):
+    from cubeweave.functions.codes import clamp, quantize_around
+
+    return cube_v(spark, d).select("v", "t", quantize_around(F.col("x"), 0.25).alias("q"), clamp(F.col("x"), 45.0, 55.0).alias("c"))
+
+
+@query(f"WITH {V} SELECT v, count(*) AS n, true AS near FROM c GROUP BY 1")
+def normal_rate(spark, d):
+    """Bits under a normal model: the column function against math.erfc in an Arrow function."""
+    import pandas as pd
+
+    from cubeweave.functions.codes import normal_likelihood
+
+    def exact(batches):
+        for b in batches:
+            yield pd.DataFrame({"v": b.v, "near": [abs(p - entropy.likelihood(x, s)) <= 2e-7 for p, x, s in zip(b.p, b.x, b.s, strict=True)]})
+
+    q = cube_v(spark, d).select("v", F.rint(F.col("x") - 50).alias("x"), (1 + F.col("t") / 4).alias("s"))
+    rows = q.select("v", "x", "s", normal_likelihood(F.col("x"), F.col("s")).alias("p"))
+    return rows.mapInPandas(exact, "v string, near boolean").groupBy("v").agg(F.count("*").alias("n"), F.min("near").alias("near"))
+
+
+# files
+
+
+@query(f"WITH {E} SELECT v, s, t, h, w, x FROM e WHERE t < 30")
+def raw_file_roundtrip(spark, d):
+    """Ten labels of 30 frames written as one headerless float32 file and read back by ranges of frames."""
+    from cubeweave.scratch import new_path
+    from cubeweave.sources.raw import cells_of_frames, frames_of_cells, read_raw, write_raw
+
+    cells, path = layout.tail_trim(cube_e(spark, d), 30), new_path(spark, "raw")
+    write_raw(frames_of_cells(cells, 8), path)
+    return cells_of_frames(read_raw(spark, path, (10, 1, 30, 8, 8)), 8)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS sid, CAST(256 AS INTEGER) AS bytes FROM embeddings")
+def stream_file_roundtrip(spark, d):
+    from cubeweave.scratch import new_path, shared_dir
+    from cubeweave.sources.files import load_streams, save_streams
+    from cubeweave.sources.raw import filesystem
+
+    path = new_path(spark, "streams")
+    files, target = filesystem(path)
+    files.create_dir(target.rpartition("/")[0], recursive=True)
+    data = table(spark, d, "embeddings").select(F.col("vec_id").alias("sid"), F.encode(F.rpad(F.hex("vec_id"), 256, "0"), "UTF-8").alias("payload"))
+    save_streams(data, path)
+    assert path.startswith(shared_dir(spark))
+    return load_streams(spark, path).select("sid", F.length("payload").alias("bytes"))
+
+
+@query("SELECT CAST(v AS BIGINT) AS id, true AS same FROM (SELECT DISTINCT label AS v FROM embeddings)")
+def nglr_roundtrip(spark, d):
+    """Codes of each label, 8 x 8 by time, through the biased residual codec, a container file, and back."""
+    from cubeweave.operators import nglr
+    from cubeweave.scratch import new_path
+    from cubeweave.sources.files import load_container, save_container
+    from cubeweave.sources.raw import filesystem
+
+    k = linear([(F.col("t"), 1), (F.col("h"), 8), (F.col("w"), 8)])
+    rows = cube_e(spark, d).select(F.col("v").alias("id"), k.alias("k"), quantize(F.col("x"), 0.05).alias("q")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda e: e["q"]).alias("q"))
+    blocks = rows.withColumn("shape", F.array((F.size("q") / 64).cast("int"), F.lit(8), F.lit(8)))
+    weights = nglr.fit_bias(blocks)
+    path = new_path(spark, "container")
+    files, target = filesystem(path)
+    files.create_dir(target.rpartition("/")[0], recursive=True)
+    save_container(path, {"weights": weights.tolist()}, nglr.compress(blocks, weights).withColumn("step", F.lit(0.05)))
+    head, coded = load_container(spark, path)
+    import numpy as np
+
+    back = nglr.decompress(coded.join(blocks.select("id", "shape"), "id"), np.array(head["weights"])).withColumnRenamed("q", "back")
+    return blocks.join(back, "id").select("id", (F.col("q") == F.col("back")).alias("same"))
+
+
+@query("SELECT 0.02::DOUBLE AS target, true AS holds, true AS largest")
+def global_step(spark, d):
+    """One quantiser step for all residuals: it holds the bound, and a step a hundredth larger doesn't."""
+    from cubeweave.operators import nglr
+
+    pairs = _pairs(spark, d).select("x", "y")
+    step, span = nglr.global_step(pairs, 0.02)
+    r = F.col("x") - F.col("y")
+    error = lambda st: F.sqrt(F.avg(F.pow(r - F.rint(r / st) * st, 2))) / span
+    return pairs.agg(F.lit(0.02).alias("target"), (error(step) <= 0.02).alias("holds"), (error(step * 1.01) > 0.02).alias("largest"))
+
+
+@query(f"WITH {E} SELECT v AS sid, count(*) AS n, CAST(0 AS BIGINT) AS wrong FROM e GROUP BY 1")
+def rans_gaussian_roundtrip(spark, d):
+    """Codes under normal tables chosen by scale, with escapes."""
+    scales, tables, offset = entropy.gaussian_tables(16, support=5)
+    from cubeweave.functions.codes import scale_row
+
+    sym = cube_e(spark, d).select(F.col("v").alias("sid"), linear([(F.col("t"), 1), (F.col("h"), 8), (F.col("w"), 8)]).alias("i"), quantize(F.col("x"), 0.02).alias("q"), scale_row(1 + F.col("w") / 2, scales).alias("r"))
+    packed = sym.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("i", "q", "r"))).alias("e"))
+    streams = packed.select("sid", F.transform("e", lambda e: e["q"]).alias("sym"), F.transform("e", lambda e: e["r"].cast("long")).alias("idx"))
+    back = entropy.decode_streams(entropy.encode_streams(streams, tables, offset).join(streams.select("sid", "idx"), "sid"), tables, offset).withColumnRenamed("sym", "back")
+    wrong = F.size(F.filter(F.zip_with("sym", "back", lambda a, b: a.eqNullSafe(b)), lambda x: ~x))
+    return streams.join(back, "sid").select("sid", F.size("sym").cast("long").alias("n"), wrong.cast("long").alias("wrong"))
