@@ -64,18 +64,23 @@ def source_key(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), c.cast("string")))
 
 
+def shuffle_key(doc_id: Column) -> Column:
+    """A number below 2**31 that spreads ids without order: a multiplicative hash that any SQL can compute."""
+    return F.pmod(F.pmod(doc_id, F.lit(2147483647)) * F.lit(1103515245), F.lit(2147483648))
+
+
 def mix(documents: DataFrame, tickets: Mapping[str, int] | None = None, *, default_tickets: int = 1, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", keys: tuple[str, ...] = ()) -> DataFrame:
     """The place of every row in the mixture: doc_id, source, block, slot, place, release, deadline, and keys.
 
     tickets are whole numbers in proportion to the target weights; other sources get default_tickets. Sources are
-    cut into blocks of block_rows in an order drawn from a hash of doc_id; slot numbers the blocks of the
+    cut into blocks of block_rows in the order of a hash of doc_id, then of doc_id; slot numbers the blocks of the
     mixture without gaps, and place the rows of a block. Release and deadline are slots of the block's phase.
     Every row is placed once: null sources form a source, null and repeated ids are ordered arbitrarily but
     kept. An empty table gives no rows.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("__s"), F.xxhash64(id_col).alias("__h"), F.monotonically_increasing_id().alias("__rid"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-    ranked = rank_in_groups(rows, ["__s"], ["__h", "__rid"], name="__rank")
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("__s"), shuffle_key(F.col(id_col).cast("long")).alias("__h"), F.monotonically_increasing_id().alias("__rid"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    ranked = rank_in_groups(rows, ["__s"], ["__h", "doc_id", "__rid"], name="__rank")
     counts = {r[0]: r[1] for r in ranked.groupBy("__s").count().limit(MAX_SOURCES + 1).collect()}
     shares = {s: (tickets or {}).get(s[1:] if s != "null" else None, default_tickets) for s in counts}
     if len(counts) > MAX_SOURCES or sum(shares.values()) > MAX_PERIOD or min(shares.values(), default=1) < 1:

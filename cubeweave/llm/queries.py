@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cubeweave.llm.chat import render
 from cubeweave.llm.html_tree import extract
-from cubeweave.llm.mixing import mix
+from cubeweave.llm.mixing import BLOCK_ROWS, mix
 from cubeweave.llm.quality import judge
 from cubeweave.llm.sentencepieces import encode_documents
 from cubeweave.llm.sharding import shard_documents
@@ -173,6 +173,30 @@ def sharding_sql() -> str:
     """
 
 
+def mixing_sql() -> str:
+    """op9 in SQL: the schedule a slot after the other, all sources' counters in lists."""
+    tickets = " ".join(f"WHEN '{s}' THEN {a}" for s, a in MIX_TICKETS.items())
+    pick = "list_min(list_filter(list_transform(range(1, len(done) + 1), lambda i: CASE WHEN done[i] < n[i] AND (done[i] - base[i]) * total // a[i] <= t - start THEN ((done[i] - base[i] + 1) * total + a[i] - 1) // a[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000"
+    return f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 2147483647) * 1103515245 % 2147483648, doc_id) - 1 AS r FROM documents),
+        s AS (SELECT source, (count(*) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS n, CASE source {tickets} ELSE 1 END AS a FROM documents GROUP BY 1),
+        p AS (SELECT list(n ORDER BY source) AS n, list(a ORDER BY source) AS a, list(source ORDER BY source) AS names, CAST(list_sum(list(a)) AS BIGINT) AS whole FROM s),
+        sim AS (
+            SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS start, list_transform(n, lambda x: CAST(0 AS BIGINT)) AS done, list_transform(n, lambda x: CAST(0 AS BIGINT)) AS base, whole AS total,
+                   CAST(NULL AS BIGINT) AS who, CAST(NULL AS BIGINT) AS k, CAST(NULL AS BIGINT) AS release, CAST(NULL AS BIGINT) AS deadline FROM p
+            UNION ALL
+            SELECT t + 1, CASE WHEN over THEN t + 1 ELSE start END, after, CASE WHEN over THEN after ELSE base END,
+                   CASE WHEN over THEN CAST(coalesce(list_sum(list_transform(range(1, len(after) + 1), lambda i: CASE WHEN after[i] < n[i] THEN a[i] ELSE 0 END)), 0) AS BIGINT) ELSE total END,
+                   who, after[who] - 1, start + (after[who] - 1 - base[who]) * total // a[who], start + ((after[who] - base[who]) * total + a[who] - 1) // a[who]
+            FROM (SELECT *, after[who] = n[who] AS over FROM (
+                SELECT *, list_transform(range(1, len(done) + 1), lambda i: CASE WHEN i = who THEN done[i] + 1 ELSE done[i] END) AS after
+                FROM (SELECT t, start, done, base, total, n, a, CAST({pick} AS BIGINT) AS who FROM sim, p WHERE total > 0))))
+        SELECT doc_id, d.source, k AS block, t - 1 AS slot, r % {BLOCK_ROWS} AS place, release, deadline
+        FROM d, p, sim WHERE sim.who IS NOT NULL AND names[sim.who] = d.source AND k = r // {BLOCK_ROWS}
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_kd_tree_shards": sharding_sql(),
     "op4_url_templates": url_sql(),
@@ -228,6 +252,7 @@ ORACLES: dict[str, str] = {
                coalesce(string_agg(CAST(CAST(e - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (own), '') AS masks
         FROM o GROUP BY conv_id, speaker, pos // 64
     """,
+    "op9_pfair_mixture": mixing_sql(),
     "op10_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
