@@ -40,6 +40,8 @@ NAMED = set(
     "nav navbar navigation menu submenu sidebar sidenav footer ad ads advert adverts advertisement advertising adslot adsense sponsor sponsored banner cookie cookies consent gdpr notice notices promo promotion"
     " comment comments commentlist disqus discussion replies reply respond share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe signup login popup modal overlay widget pagination pager toolbar masthead skip".split()
 )
+#: Names of parts of a page that are also given to wrappers of the whole page, such as "with-sidebar": an article inside counts if there is no other.
+LAYOUT = set("nav navbar navigation menu sidebar sidenav footer banner toolbar masthead overlay widget notice cookie cookies".split())
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _raw_end = {t: re.compile(f"</{t}(?=[\\s/>]|$)", re.I) for t in RAW}
 _name = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -50,7 +52,8 @@ _word = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Block:
     __slots__ = ("branch", "cut", "link", "main", "text")
 
-    def __init__(self, branch: str, main: int, cut: bool, text: str, link: int) -> None:
+    def __init__(self, branch: str, main: int, cut: int, text: str, link: int) -> None:
+        """cut: 0 not, 1 by a name that layouts give whole pages, 2 for good; main: 2 in an article, 1 in a main element."""
         self.branch, self.main, self.cut, self.text, self.link = branch, main, cut, text, link
 
 
@@ -58,7 +61,7 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     """The text blocks of a page in order, and for each branch the tags of its children."""
     blocks: list[Block] = []
     children: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, branch, main (2: article, 1: main), cut
+    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]  # tag, branch, main, cut as in Block
     texts: list[str] = []
     links = [0, 0]  # depth, characters
 
@@ -116,35 +119,43 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             texts.append(" ")
         if tag in BLOCKS:
             close_block()
+            if stack[-1][0] == "p":  # a marked paragraph ends here
+                del stack[-1]
             if not closing:
                 children.setdefault(stack[-1][1], []).append(tag)
+        if tag == "p" and not closing and attrs:
+            sig, named = _signature(tag, attrs, stack[-1][2])
+            if named:
+                stack.append(("p", f"{stack[-1][1]}>{sig}", 0, 2))
+            continue
         if tag not in CONTAINERS or tag in VOID:
             continue
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     if tag not in BLOCKS:
-                        texts.append(" ") if stack[-1][3] is False else close_block()
+                        close_block()
                     del stack[k:]
                     break
         else:
             if tag not in BLOCKS:
                 close_block()
             _, branch, main, cut = stack[-1]
-            sig, named = tag, False
+            sig, named = tag, 0
             if attrs:
                 sig, named = _signature(tag, attrs, main)
-            named = named or tag in MARKED or tag == "header" and not main
+            if tag in MARKED or tag == "header" and not main:
+                named = 2
             inner = 2 if tag == "article" else max(main, 1 if tag == "main" or "#main" in sig else 0)
-            stack.append((tag, f"{branch}>{sig}", 0 if cut or named else inner, cut or named))
+            stack.append((tag, f"{branch}>{sig}", inner, max(cut, named)))
     close_block()
     return blocks, children
 
 
-def _signature(tag: str, attrs: str, main: int) -> tuple[str, bool]:
-    """Tag with classes and id, without digits; whether they mark the element as no part of an article."""
+def _signature(tag: str, attrs: str, main: int) -> tuple[str, int]:
+    """Tag with classes and id, without digits; whether they mark the element as no part of an article, as in Block.cut."""
     names: list[str] = []
-    marked, is_main = False, False
+    marked, soft, is_main = False, False, False
     for m in _attr.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
@@ -158,8 +169,10 @@ def _signature(tag: str, attrs: str, main: int) -> tuple[str, bool]:
             marked |= key == "hidden" or value.lower() == "true"
     for n in names:
         words = {w.lower() for w in _word.findall(n)}
-        marked |= bool(words & NAMED) and tag not in ("html", "body") or "header" in words and tag != "article" and not main
-    return tag + "".join(f".{re.sub('[0-9]+', '#', n)}" for n in sorted(names)[:4]) + "#main" * is_main, marked
+        if tag not in ("html", "body"):
+            marked |= bool(words & NAMED - LAYOUT)
+            soft |= bool(words & LAYOUT) or "header" in words and tag != "article" and not main
+    return tag + "".join(f".{re.sub('[0-9]+', '#', n)}" for n in sorted(names)[:4]) + "#main" * is_main, 2 if marked else 1 if soft else 0
 
 
 def main_text(blocks: list[Block], low: set[str]) -> str:
@@ -168,6 +181,8 @@ def main_text(blocks: list[Block], low: set[str]) -> str:
     best = max((b.main for b in left), default=0)
     if best:
         left = [b for b in left if b.main == best]
+    elif inside := [b for b in blocks if b.cut == 1 and b.main and not _under(b.branch, low, b.main)]:
+        left = inside
     else:
         left = [b for b in left if 5 * b.link < 4 * len(b.text)]
     return "\n\n".join(b.text for b in left)

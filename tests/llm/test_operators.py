@@ -105,6 +105,19 @@ def test_main_text():
     assert html_tree.main_text(html_tree.parse("a < b <p>c&nbsp;&nbsp;d")[0], set()) == "a < b\n\nc d"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<div class="layout with-sidebar"><div class="sidebar"><p>s</p></div><article><p>a</p></article></div>', "a"),
+    ('<div class="sidebar"><article><p>teaser</p></article></div><article><p>a</p></article>', "a"),
+    ('<section id="comments"><article><p>reader</p></article></section><main><p>a</p></main>', "a"),
+    ('<article><p>a</p><p class="ad">buy<p>b</p><p class="lead">c</p></article>', "a\n\nb\n\nc"),
+    ('<body class="has-sidebar header-fixed"><article><header><h1>t</h1><p>by me</p></header><p>a</p></article></body>', "t\n\nby me\n\na"),
+    ('<body><div class="cookie-notice">c</div><div><ul><li><a href="/">home</a></li></ul><p>text of a page</p></div>', "text of a page"),
+    ('<article><div class="share-buttons"><a>x</a></div><p>a</p><aside>q</aside><footer>f</footer></article>', "a"),
+])
+def test_parts_that_are_no_article(page, text):
+    assert html_tree.main_text(html_tree.parse(page)[0], set()) == text
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/abpdiv=\"' !-\n&;", max_size=60))
 def test_parser_bears_anything(text):
