@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--n-frame", type=int, default=8)
     c.add_argument("--block", type=int, default=256)
     c.add_argument("--predictor", default="coarse4")
-    c.add_argument("--codec", choices=("gae", "lbrc"), default="gae")
+    c.add_argument("--codec", choices=("pca", "lorenzo"), default="pca")
     d = sub.add_parser("decompress")
     d.add_argument("--verify", help="the original file to compare with")
     d.add_argument("--metrics", help="folder of CSV metrics to append to")

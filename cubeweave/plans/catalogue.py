@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cubeweave.functions.codes import bit, planes, quantize, zigzag
 from cubeweave.functions.index import div, linear
-from cubeweave.operators import entropy, gae, layout, lbrc, lorenzo, select, stats
+from cubeweave.operators import entropy, corrector, layout, residual_codec, lorenzo, select, stats
 from cubeweave.ranking import rank_in_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -535,7 +535,7 @@ def rans_roundtrip(spark, d):
 
 # codecs
 
-GAE = "SELECT count(*) AS patches, CAST(0 AS BIGINT) AS violating, true AS changed FROM embeddings"
+BOUND = "SELECT count(*) AS patches, CAST(0 AS BIGINT) AS violating, true AS changed FROM embeddings"
 
 
 def _class_pairs(spark, d):
@@ -545,11 +545,11 @@ def _class_pairs(spark, d):
     return base.join(mean, "label")
 
 
-@query(GAE)
-def gae_bound_ok(spark, d):
+@query(BOUND)
+def corrector_bound_ok(spark, d):
     rows = _class_pairs(spark, d)
-    basis = gae.fit(rows, 0.02)
-    back = gae.decompress(rows.join(gae.compress(rows, basis), "id"), basis)
+    basis = corrector.fit(rows, 0.02)
+    back = corrector.decompress(rows.join(corrector.compress(rows, basis), "id"), basis)
     met = rows.join(back, "id")
     far = F.sqrt(F.aggregate(F.zip_with("orig", "fixed", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
     return met.agg(F.count("*").alias("patches"), F.count_if(far > 0.02 * 8 * (1 + 1e-9)).alias("violating"), F.max(F.col("recon") != F.col("fixed")).alias("changed"))
@@ -559,27 +559,27 @@ def gae_bound_ok(spark, d):
 def pca_basis_quality(spark, d):
     import numpy as np
 
-    basis = gae.fit(_class_pairs(spark, d), 0.02)
+    basis = corrector.fit(_class_pairs(spark, d), 0.02)
     u = basis.vectors
-    count, sums, products = gae.moments(_class_pairs(spark, d), 64, 0.02 * 8)
+    count, sums, products = corrector.moments(_class_pairs(spark, d), 64, 0.02 * 8)
     power = np.einsum("ij,jk,ik->i", u, (products - np.outer(sums, sums) / count) / (count - 1), u)
     row = (len(u), bool(np.abs(u @ u.T - np.eye(64)).max() < 1e-8), bool((np.diff(power) < 1e-9).all()))
     return spark.createDataFrame([row], "components int, orthonormal boolean, falling boolean")
 
 
 @query("SELECT label, count(*) AS n, true AS within FROM embeddings GROUP BY 1")
-def lbrc_roundtrip(spark, d):
+def residual_codec_roundtrip(spark, d):
     rows = _class_pairs(spark, d).withColumn("shape", F.array(F.lit(1), F.lit(8), F.lit(8)))
-    coded = lbrc.compress(rows, 0.02, 0.0, 1.0)
-    met = rows.join(lbrc.decompress(rows.join(coded, "id"), 0.0, 1.0), "id")
+    coded = residual_codec.compress(rows, 0.02, 0.0, 1.0)
+    met = rows.join(residual_codec.decompress(rows.join(coded, "id"), 0.0, 1.0), "id")
     sse = F.aggregate(F.zip_with("orig", "fixed", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     return met.groupBy("label").agg(F.count("*").alias("n"), (F.max(sse) <= 0.02**2 * 64 * (1 + 1e-5)).alias("within"))
 
 
 @query("SELECT count(*) AS n, true AS smaller, true AS planes_ok FROM embeddings")
-def lbrc_block_stats(spark, d):
+def residual_codec_stats(spark, d):
     rows = _class_pairs(spark, d).withColumn("shape", F.array(F.lit(1), F.lit(8), F.lit(8)))
-    coded = lbrc.compress(rows, 0.05, 0.0, 1.0)
+    coded = residual_codec.compress(rows, 0.05, 0.0, 1.0)
     bytes_ = F.aggregate("streams", F.lit(0), lambda a, s: a + F.length(s))
     return coded.agg(F.count("*").alias("n"), (F.sum(bytes_) < F.lit(256) * F.count("*")).alias("smaller"), F.min(F.size("streams") == F.col("bit_count")).alias("planes_ok"))
 
@@ -587,8 +587,8 @@ def lbrc_block_stats(spark, d):
 @query("SELECT count(*) * 256 AS raw_bytes, true AS pays FROM embeddings")
 def compression_ratio(spark, d):
     rows = _class_pairs(spark, d)
-    basis = gae.fit(rows, 0.05)
-    found = stats.compression_ratio(gae.compress(rows, basis), F.lit(table(spark, d, "embeddings").count() * 256), F.lit(64 * 64 * 8))
+    basis = corrector.fit(rows, 0.05)
+    found = stats.compression_ratio(corrector.compress(rows, basis), F.lit(table(spark, d, "embeddings").count() * 256), F.lit(64 * 64 * 8))
     return found.select("raw_bytes", (F.col("cr") > F.col("cr_with_meta")).alias("pays"))
 
 
@@ -596,8 +596,8 @@ def compression_ratio(spark, d):
 def sweep_targets(spark, d):
     rows, out = _class_pairs(spark, d), None
     for eps in (0.1, 0.05, 0.02):
-        basis = gae.fit(rows, eps)
-        fixed = gae.decompress(rows.join(gae.compress(rows, basis), "id"), basis) if basis else rows.select("id", F.col("recon").alias("fixed"))
+        basis = corrector.fit(rows, eps)
+        fixed = corrector.decompress(rows.join(corrector.compress(rows, basis), "id"), basis) if basis else rows.select("id", F.col("recon").alias("fixed"))
         far = F.sqrt(F.aggregate(F.zip_with("orig", "fixed", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
         one = rows.join(fixed, "id").agg(F.lit(eps).alias("target"), F.count("*").alias("patches"), F.count_if(far > eps * 8 * (1 + 1e-9)).alias("over"))
         out = one if out is None else out.unionAll(one)
@@ -700,9 +700,9 @@ def stream_file_roundtrip(spark, d):
 
 
 @query("SELECT CAST(v AS BIGINT) AS id, true AS same FROM (SELECT DISTINCT label AS v FROM embeddings)")
-def nglr_roundtrip(spark, d):
+def biased_codec_roundtrip(spark, d):
     """Codes of each label, 8 x 8 by time, through the biased residual codec, a container file, and back."""
-    from cubeweave.operators import nglr
+    from cubeweave.operators import biased_codec
     from cubeweave.scratch import new_path
     from cubeweave.sources.files import load_container, save_container
     from cubeweave.sources.raw import filesystem
@@ -710,25 +710,25 @@ def nglr_roundtrip(spark, d):
     k = linear([(F.col("t"), 1), (F.col("h"), 8), (F.col("w"), 8)])
     rows = cube_e(spark, d).select(F.col("v").alias("id"), k.alias("k"), quantize(F.col("x"), 0.05).alias("q")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda e: e["q"]).alias("q"))
     blocks = rows.withColumn("shape", F.array((F.size("q") / 64).cast("int"), F.lit(8), F.lit(8)))
-    weights = nglr.fit_bias(blocks)
+    weights = biased_codec.fit_bias(blocks)
     path = new_path(spark, "container")
     files, target = filesystem(path)
     files.create_dir(target.rpartition("/")[0], recursive=True)
-    save_container(path, {"weights": weights.tolist()}, nglr.compress(blocks, weights).withColumn("step", F.lit(0.05)))
+    save_container(path, {"weights": weights.tolist()}, biased_codec.compress(blocks, weights).withColumn("step", F.lit(0.05)))
     head, coded = load_container(spark, path)
     import numpy as np
 
-    back = nglr.decompress(coded.join(blocks.select("id", "shape"), "id"), np.array(head["weights"])).withColumnRenamed("q", "back")
+    back = biased_codec.decompress(coded.join(blocks.select("id", "shape"), "id"), np.array(head["weights"])).withColumnRenamed("q", "back")
     return blocks.join(back, "id").select("id", (F.col("q") == F.col("back")).alias("same"))
 
 
 @query("SELECT 0.02::DOUBLE AS target, true AS holds, true AS largest")
 def global_step(spark, d):
     """One quantiser step for all residuals: it holds the bound, and a step a hundredth larger doesn't."""
-    from cubeweave.operators import nglr
+    from cubeweave.operators import biased_codec
 
     pairs = _pairs(spark, d).select("x", "y")
-    step, span = nglr.global_step(pairs, 0.02)
+    step, span = biased_codec.global_step(pairs, 0.02)
     r = F.col("x") - F.col("y")
     error = lambda st: F.sqrt(F.avg(F.pow(r - F.rint(r / st) * st, 2))) / span
     return pairs.agg(F.lit(0.02).alias("target"), (error(step) <= 0.02).alias("holds"), (error(step * 1.01) > 0.02).alias("largest"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeweave.functions.index import tail_pad
-from cubeweave.operators import gae, lbrc
+from cubeweave.operators import corrector, residual_codec
 from cubeweave.operators.layout import widened
 from cubeweave.operators.predict import PREDICTORS
 from cubeweave.scratch import materialize
@@ -121,7 +121,7 @@ def predicted(blocks: DataFrame, head: Header) -> DataFrame:
     return blocks.mapInArrow(run, "v long, s long, k long, id long, constant double, offset double, scale double, side binary, orig array<double>, recon array<double>")
 
 
-def compress(frames: DataFrame, shape: Sequence[int], path: str, *, eps: float = 1e-3, n_frame: int = 8, block: tuple[int, int] = (256, 256), predictor: str = "coarse4", codec: str = "gae") -> Header:
+def compress(frames: DataFrame, shape: Sequence[int], path: str, *, eps: float = 1e-3, n_frame: int = 8, block: tuple[int, int] = (256, 256), predictor: str = "coarse4", codec: str = "pca") -> Header:
     """Write an archive of frames (v, s, t, data) with NRMSE up to eps. All variables are coded; constant arrays, too."""
     if eps < LEAST_BOUND:
         raise ValueError(f"a relative bound below {LEAST_BOUND} can't be held in 32-bit floats")
@@ -131,16 +131,16 @@ def compress(frames: DataFrame, shape: Sequence[int], path: str, *, eps: float =
     rows = materialize(predicted(blocks_of(frames, head), head), "predicted")
     live = rows.filter("side IS NOT NULL")
     out = rows.select("v", "s", "k", "id", "constant", "offset", "scale", "side")
-    if head.range and codec == "gae":
-        basis = gae.fit(live, inner)
+    if head.range and codec == "pca":
+        basis = corrector.fit(live, inner)
         if basis is None:
             out = out.withColumn("payload", F.lit(None).cast("binary"))
         else:
             head.basis, head.bin = basis.vectors.tolist(), basis.bin
-            out = out.join(gae.compress(live, basis), "id", "left")
+            out = out.join(corrector.compress(live, basis), "id", "left")
     elif head.range:
         shaped = live.withColumn("shape", F.array(F.lit(1), F.lit(1), F.size("orig")))
-        out = out.join(lbrc.compress(shaped, inner, 0.0, 1.0), "id", "left")
+        out = out.join(residual_codec.compress(shaped, inner, 0.0, 1.0), "id", "left")
     else:
         out = out.withColumn("payload", F.lit(None).cast("binary"))
     out.write.mode("overwrite").parquet(f"{path}/blocks")
@@ -156,7 +156,7 @@ def inside(shape: Sequence[int], n_frame: int, block: Sequence[int], codec: str)
     _, _, T, H, W = shape
     h, w, _, _ = widened((H, W), tuple(block))
     rows, cols = -(-h // block[0]) * block[0], -(-w // block[1]) * block[1]
-    if codec == "lbrc":
+    if codec == "lorenzo":
         samples, _ = tail_pad(T, n_frame)
         return T * H * W / (samples * n_frame * rows * cols)
     reach = lambda n, whole: n if n == whole and n % PATCH == 0 else min(n + 2 * PATCH - 2, whole + PATCH)
@@ -176,7 +176,7 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
     tiles = len(_tiles(np.zeros(head.shape[3:], np.float32), head.block))
     T, size, block, mean, span = head.shape[2], head.shape[3:], head.block, head.mean, head.range or 1.0
     decode = PREDICTORS[head.predictor][1]
-    basis = gae.Basis(np.array(head.basis), head.eps, head.bin) if head.basis else None
+    basis = corrector.Basis(np.array(head.basis), head.eps, head.bin) if head.basis else None
     stored = spark.read.parquet(f"{path}/blocks")
     names = stored.columns
 
@@ -188,13 +188,13 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
                 else:
                     x = decode(r["side"], shape) * r["scale"] + r["offset"]
                     if "payload" in names and r["payload"] and basis is not None:
-                        bad, q = gae.unpack(r["payload"], len(basis.vectors))
+                        bad, q = corrector.unpack(r["payload"], len(basis.vectors))
                         flat = patch_rows((x - mean) / span).reshape(-1, PATCH * PATCH)
                         flat[bad] += (q * basis.bin) @ basis.vectors
                         x = unpatch_rows(flat.ravel(), shape) * span + mean
                     elif "streams" in names and r["streams"]:
                         flat = patch_rows((x - mean) / span)
-                        fixed = lbrc.decode_block(flat.reshape(1, 1, -1), r["step"], r["streams"], 0.0, 1.0)
+                        fixed = residual_codec.decode_block(flat.reshape(1, 1, -1), r["step"], r["streams"], 0.0, 1.0)
                         x = unpatch_rows(fixed.ravel().astype(np.float64), shape) * span + mean
                 t = r["k"] * n + np.arange(n)
                 keep = t < T

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cubeweave.functions.index import pad_sides, tail_pad
-from cubeweave.operators import entropy, gae, lbrc, lorenzo
+from cubeweave.operators import entropy, corrector, residual_codec, lorenzo
 from cubeweave.operators.layout import fits_5d, slice_grid, widened
 from cubeweave.operators.predict import PREDICTORS
 
@@ -83,46 +83,46 @@ def test_frames_reject_truncation():
 
 
 @pytest.mark.parametrize(("shape", "noise", "eps"), [((100, 64), 0.1, 1e-3), ((50, 64), 1.5, 0.05), ((1, 64), 0.5, 0.01), ((30, 16), 1.0, 0.08)])
-def test_gae_holds_its_bound(spark, shape, noise, eps):
+def test_corrector_holds_its_bound(spark, shape, noise, eps):
     n = shape[1]
     orig = rng.normal(size=shape)
     recon = orig + noise * rng.normal(size=shape)
     rows = spark.createDataFrame([(i, o.tolist(), r.tolist()) for i, (o, r) in enumerate(zip(orig, recon, strict=True))], "id long, orig array<double>, recon array<double>")
-    basis = gae.fit(rows, eps, n)
-    fixed = gae.decompress(rows.join(gae.compress(rows, basis, n), "id"), basis, n).orderBy("id").collect()
+    basis = corrector.fit(rows, eps, n)
+    fixed = corrector.decompress(rows.join(corrector.compress(rows, basis, n), "id"), basis, n).orderBy("id").collect()
     far = np.linalg.norm(orig - np.array([r["fixed"] for r in fixed]), axis=1)
     assert (far <= eps * np.sqrt(n) * (1 + 1e-9)).all()
 
 
-def test_gae_has_nothing_to_do_within_the_bound(spark):
+def test_corrector_has_nothing_to_do_within_the_bound(spark):
     rows = spark.createDataFrame([(0, [1.0] * 64, [1.001] * 64)], "id long, orig array<double>, recon array<double>")
-    assert gae.fit(rows, 10.0) is None
+    assert corrector.fit(rows, 10.0) is None
     with pytest.raises(ValueError):
-        gae.fit(rows, 0.1, factor=2.5)
+        corrector.fit(rows, 0.1, factor=2.5)
 
 
-def test_gae_packing_of_vectors_without_codes():
+def test_corrector_packing_of_vectors_without_codes():
     bad = np.array([True, False, True])
     q = np.zeros((2, 8), np.int64)
     q[1, 3] = -70000
-    b, back = gae.unpack(gae.pack(bad, q), 8)
+    b, back = corrector.unpack(corrector.pack(bad, q), 8)
     assert (b == bad).all() and (back == q).all()
 
 
 @pytest.mark.parametrize("shape", [(16, 32, 32), (7, 10, 9), (1, 1, 1)])
-def test_lbrc_holds_its_bound(shape):
+def test_residual_codec_holds_its_bound(shape):
     orig = rng.normal(size=shape).astype(np.float32)
     recon = orig + 0.05 * rng.normal(size=shape).astype(np.float32)
     scale, mean = float(np.ptp(orig)) or 1.0, float(orig.mean())
-    step, n, streams = lbrc.encode_block(orig, recon, 1e-4, mean, scale)
-    back = lbrc.decode_block(recon, step, streams, mean, scale)
+    step, n, streams = residual_codec.encode_block(orig, recon, 1e-4, mean, scale)
+    back = residual_codec.decode_block(recon, step, streams, mean, scale)
     assert np.sqrt(((back - orig) ** 2).mean()) / scale <= 1.05e-4
     assert n == len(streams)
 
 
-def test_lbrc_without_need_for_correction():
+def test_residual_codec_without_need_for_correction():
     x = np.ones((2, 2, 2), np.float32)
-    assert lbrc.encode_block(x, x, 1e-4, 0.0, 1.0)[:2] == (1.0, 1)
+    assert residual_codec.encode_block(x, x, 1e-4, 0.0, 1.0)[:2] == (1.0, 1)
 
 
 @pytest.mark.parametrize("name", list(PREDICTORS))

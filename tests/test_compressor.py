@@ -15,7 +15,7 @@ def frames_from(spark, x):
     return spark.createDataFrame([(v, s, t, x[v, s, t].ravel().tolist()) for v in range(x.shape[0]) for s in range(x.shape[1]) for t in range(x.shape[2])], "v long, s long, t long, data array<float>")
 
 
-@pytest.mark.parametrize("codec", ["gae", "lbrc"])
+@pytest.mark.parametrize("codec", ["pca", "lorenzo"])
 @pytest.mark.parametrize("shape", [(1, 1, 20, 32, 32), (2, 2, 3, 10, 13), (1, 1, 1, 5, 5)])
 def test_bound_holds_from_disk(spark, shape, codec):
     x = rng.normal(size=shape).cumsum(axis=-1).astype(np.float32)

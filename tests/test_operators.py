@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cubeweave.components import components
 from cubeweave.functions import codes
-from cubeweave.operators import entropy, layout, nglr, select, stats
+from cubeweave.operators import entropy, layout, biased_codec, select, stats
 from cubeweave.plans import catalogue
 from cubeweave.ranking import rank_in_groups
 from cubeweave.rowkeys import with_row_keys
@@ -113,18 +113,18 @@ def test_gaussian_columns(spark):
         assert r["p"] == pytest.approx(entropy.likelihood(r["x"], r["s"]), rel=1e-4, abs=2e-7)
 
 
-def test_nglr_round_trip_and_step(spark):
+def test_biased_codec_round_trip_and_step(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6, 9, 7)).cumsum(axis=0)
     y = x + 0.05 * rng.normal(size=x.shape)
     pairs = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x.ravel(), y.ravel(), strict=True)], "x double, y double")
-    step, span = nglr.global_step(pairs, 1e-3, bisections=8)
+    step, span = biased_codec.global_step(pairs, 1e-3, bisections=8)
     q = np.rint((x - y) / step).astype(int)
     assert np.sqrt(((x - y - q * step) ** 2).mean()) / span <= 1e-3
-    assert nglr.global_step(pairs, 0.5)[0] == 1.0
+    assert biased_codec.global_step(pairs, 0.5)[0] == 1.0
     blocks = spark.createDataFrame([(i, [3, 9, 7], (q[3 * i : 3 * i + 3]).ravel().tolist()) for i in range(2)], "id long, shape array<int>, q array<long>")
-    weights = nglr.fit_bias(blocks)
-    back = nglr.decompress(nglr.compress(blocks, weights).join(blocks.select("id", "shape"), "id"), weights)
+    weights = biased_codec.fit_bias(blocks)
+    back = biased_codec.decompress(biased_codec.compress(blocks, weights).join(blocks.select("id", "shape"), "id"), weights)
     assert {r["id"]: r["q"] for r in back.collect()} == {r["id"]: r["q"] for r in blocks.collect()}
 
 
