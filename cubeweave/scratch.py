@@ -7,12 +7,14 @@ executors share, so a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,8 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/cubeweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it is deleted when the driver's Python ends."""
+    root = f"{shared_dir(spark)}/cubeweave-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_forget, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone, and its tables are only scratch
+        drop_path(spark, root)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
