@@ -307,14 +307,14 @@ def vector_norms(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), F.round(stats.norm2(F.col("embedding").cast("array<double>")), 6).alias("norm"))
 
 
-@query(f"WITH {PAIR}, n AS (SELECT label, pid, sqrt(sum(pow(x - y, 2))) AS norm, sum(pow(x - y, 2)) AS e FROM q GROUP BY 1, 2), g AS (SELECT max(x) - min(x) AS r FROM p) SELECT label, count(*) AS patches, count(*) FILTER (norm > 0.1 * 8 * r) AS violating, round(sqrt(sum(e) / (64 * count(*))) / any_value(r), 6) AS nrmse FROM n, g GROUP BY 1")
+@query(f"WITH {PAIR}, n AS (SELECT label, pid, sqrt(sum(pow(x - y, 2))) AS norm, sum(pow(x - y, 2)) AS e FROM q GROUP BY 1, 2), g AS (SELECT max(x) - min(x) AS r FROM p) SELECT label, count(*) AS patches, count(*) FILTER (norm > 0.1325 * 8 * r) AS violating, round(sqrt(sum(e) / (64 * count(*))) / any_value(r), 6) AS nrmse FROM n, g GROUP BY 1")
 def bound_check_by_label(spark, d):
-    """For each label, how many patches break a relative bound of 0.1 under the mean of the label, and the NRMSE."""
+    """For each label, how many patches break a relative bound of 0.1325 under the mean of the label, and the NRMSE."""
     pairs = _pairs(spark, d)
     span = vectors(spark, d).agg((F.max("x") - F.min("x")).alias("r"))
     per = pairs.groupBy("label", "pid").agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("e"))
     both = per.join(F.broadcast(span), F.lit(True))  # one row
-    return both.groupBy("label").agg(F.count("*").alias("patches"), F.count_if(F.sqrt("e") > 0.1 * 8 * F.col("r")).alias("violating"), F.round(F.sqrt(F.sum("e") / (64 * F.count("*"))) / F.first("r"), 6).alias("nrmse"))
+    return both.groupBy("label").agg(F.count("*").alias("patches"), F.count_if(F.sqrt("e") > 0.1325 * 8 * F.col("r")).alias("violating"), F.round(F.sqrt(F.sum("e") / (64 * F.count("*"))) / F.first("r"), 6).alias("nrmse"))
 
 
 @query(f"WITH {P} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM p a JOIN p b ON a.pid = b.pid AND a.k <= b.k GROUP BY 1, 2")
