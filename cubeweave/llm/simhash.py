@@ -13,6 +13,10 @@
    true. So what moves grows with the nodes of a group, and never with its pairs.
 5. Links are united to groups. Steps 2 to 5 run twice: first with some of the hashes, then with all, but only
    those that nodes of several groups share.
+6. Nodes of a hash that was cut, if several groups still share it, meet again by an exact prefix filter: of two
+   similar sets the first 0.2 n + 1 shingles in any one order have one in common. The order begins with shingles
+   that few of these nodes have, so no bucket is cut. Nodes with fewer of those than that meet by their min-wise
+   hashes, every cut with every other. Within a bucket all pairs of fingerprints are compared.
 """
 
 from __future__ import annotations
@@ -309,6 +313,26 @@ def candidates(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(found), pa.string()), "node": pa.array(found, pa.int64())})
 
 
+def bucket_candidates(table: pa.Table) -> pa.Table:
+    """As candidates, of rows with a bucket: all pairs of nodes of a bucket are compared."""
+    bucket = table["bucket"].to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    node, count, group = (table[c].to_numpy()[order] for c in ("node", "n", "grp"))
+    fp = np.stack([table[c].to_numpy()[order] for c in FP], axis=1).view(np.uint64)
+    ends = np.flatnonzero(np.r_[np.diff(bucket[order]) != 0, True]) + 1
+    met = np.zeros(len(node), bool)
+    for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        n, g, f = count[start:end], group[start:end], fp[start:end]
+        for at in range(0, end - start, 256):
+            part = slice(at, at + 256)
+            d = all_distances(f[part], f)
+            large, small = np.maximum(n[part, None], n[None]), np.minimum(n[part, None], n[None])
+            can = (g[part, None] != g[None]) & (small >= SIMILARITY * large - 1e-9) & ((d <= NEAR_LARGE) | (d <= NEAR) & (small <= FEW))
+            met[start:end][part] |= can.any(axis=1)
+    found = np.unique(node[met])
+    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(found), pa.string()), "node": pa.array(found, pa.int64())})
+
+
 def true_links(table: pa.Table) -> pa.Table:
     """A spanning forest (a, b) of the similar nodes of one shard; rows (node, grp, s), s a set of shingles."""
     node, group = table["node"].to_numpy(), table["grp"].to_numpy()
@@ -351,12 +375,22 @@ def intersections(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def deal(nodes: DataFrame, hashes: range) -> DataFrame:
-    """Rows (shard, node, n, grp, i, h, fingerprint) by those of the given min-wise hashes that several groups share."""
-    spark = nodes.sparkSession
+def minima_rows(nodes: DataFrame, hashes: range) -> DataFrame:
+    """Rows (node, n, grp, fingerprint, i, h): a row for each of the given min-wise hashes of a node."""
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("h")) for i in hashes]))
-    rows = nodes.filter("n > 0").select("node", "n", "grp", *FP, which.alias("k")).select("node", "n", "grp", *FP, "k.i", "k.h")
-    shared = materialize(rows.groupBy("i", "h").agg(F.count("*").alias("size"), F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").drop("x", "y"), "simhash-shared")
+    return nodes.filter("n > 0").select("node", "n", "grp", *FP, which.alias("k")).select("node", "n", "grp", *FP, "k.i", "k.h")
+
+
+def shared_by_groups(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys that nodes of several groups have, and how many nodes: keys, size."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min("grp").alias("x"), F.max("grp").alias("y")).filter("x < y").drop("x", "y")
+
+
+def deal(nodes: DataFrame, hashes: range) -> tuple[DataFrame, DataFrame]:
+    """Rows (shard, node, n, grp, i, h, fingerprint) by those of the given min-wise hashes that several groups share; these hashes."""
+    spark = nodes.sparkSession
+    rows = minima_rows(nodes, hashes)
+    shared = materialize(shared_by_groups(rows, "i", "h"), "simhash-shared")
     total = shared.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD_NODES), int(spark.conf.get("spark.sql.shuffle.partitions")) if total > 100_000 else 1)
     hot = F.col("size") > HOT_NODES
@@ -366,7 +400,34 @@ def deal(nodes: DataFrame, hashes: range) -> DataFrame:
     every = F.sequence(F.lit(0).cast("long"), cuts - 1)
     cut = F.explode(F.when(common, every).otherwise(F.array(F.pmod(F.xxhash64("h", "node"), cuts))))
     dealt = met.select("node", "n", "grp", *FP, "i", "h", hot.alias("hot"), cut.alias("cut"))
-    return dealt.select(F.when(F.col("hot"), F.concat_ws("/", "i", "h", "cut")).otherwise(F.pmod(F.xxhash64("i", "h"), F.lit(shards)).cast("string")).alias("shard"), "node", "n", "grp", *FP, "i", "h")
+    return dealt.select(F.when(F.col("hot"), F.concat_ws("/", "i", "h", "cut")).otherwise(F.pmod(F.xxhash64("i", "h"), F.lit(shards)).cast("string")).alias("shard"), "node", "n", "grp", *FP, "i", "h"), shared
+
+
+def deal_exactly(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (shard, bucket, node, n, grp, fingerprint): any two similar nodes of rows are in a bucket.
+
+    rows (node, n, grp, fingerprint, i, h) have the min-wise hashes of nodes, sets (node, s) all their shingles.
+    """
+    members = rows.drop("i", "h").dropDuplicates(["node"])
+    each = sets.select("node", F.explode("s").alias("h"))
+    often = materialize(each.groupBy("h").count().filter(F.col("count") > HOT_NODES).select("h"), "simhash-often")
+    seldom = each.join(often, "h", "left_anti").groupBy("node").agg(F.array_sort(F.collect_list("h")).alias("seldom"))
+    prefix = (F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1).cast("int")
+    split = members.join(seldom, "node", "left").withColumn("seldom", F.coalesce("seldom", F.array().cast("array<bigint>")))
+    split = split.select("node", "n", "grp", *FP, F.slice("seldom", 1, prefix).alias("first"), (F.size("seldom") < prefix).alias("short"))
+    split = materialize(split, "simhash-prefixes")
+    columns = ["node", "n", "grp", *FP]
+    first = split.select(*columns, F.lit(-1).alias("i"), F.explode("first").alias("h"))
+    short = rows.join(split.filter("short").select("node"), "node", "left_semi").select(*columns, "i", "h")
+    both = first.unionAll(short)
+    shared = materialize(shared_by_groups(both, "i", "h"), "simhash-buckets")
+    shards = max(1, -(-(shared.agg(F.sum("size")).first()[0] or 0) // SHARD_NODES))
+    cuts = F.ceil(F.col("size") / HOT_NODES)
+    own = F.pmod(F.xxhash64("h", "node"), cuts)
+    met = both.join(shared.select(F.col("i").alias("__i"), F.col("h").alias("__h"), "size"), (F.col("i") == F.col("__i")) & (F.col("h") == F.col("__h")))
+    met = met.select(*columns, "i", "h", cuts.alias("cuts"), own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)).alias("other"))
+    pair = F.concat_ws("/", "i", "h", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(F.when(F.col("cuts") > 1, pair).otherwise(F.pmod(F.xxhash64("i", "h"), F.lit(shards)).cast("string")).alias("shard"), F.xxhash64(pair).alias("bucket"), *columns)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -406,17 +467,35 @@ def _classes(keyed: DataFrame, doc: str, text: str) -> DataFrame:
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "n", *FP, *hashes), "simhash-nodes")
     at = nodes.select("node", F.col("first.__file").alias("__f"), F.col("first.__row").alias("__r"))
     source = keyed.select("__file", "__row", F.col(text).cast("string").alias("text"))
-    links, groups = None, None
-    for part in (range(FIRST), range(HASHES)):
-        grouped = nodes.withColumn("grp", F.col("node")) if groups is None else nodes.join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root")
-        asked = deal(grouped, part).groupBy("shard").applyInArrow(candidates, "shard string, node long")
-        asked = materialize(asked.join(grouped.select("node", "grp"), "node"), "simhash-asked")
-        where = materialize(at.join(asked.select("node").distinct(), "node", "left_semi"), "simhash-wanted")
+
+    def grouped(groups: DataFrame | None) -> DataFrame:
+        return nodes.withColumn("grp", F.col("node")) if groups is None else nodes.join(groups, "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        where = materialize(at.join(wanted.select("node").distinct(), "node", "left_semi"), "simhash-wanted")
         where = F.broadcast(where) if where.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else where
         texts = source.join(where, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r"))).select("node", "text")
-        sets = materialize(shingle_sets(texts), "simhash-sets")
+        return materialize(shingle_sets(texts), "simhash-sets")
+
+    def united(asked: DataFrame, sets: DataFrame, links: DataFrame | None) -> DataFrame:
         true = asked.join(sets, "node").select("shard", "node", "grp", "s").groupBy("shard").applyInArrow(true_links, "a long, b long")
-        links = materialize(true if links is None else true.unionAll(links), "simhash-links")
+        return materialize(true if links is None else true.unionAll(links), "simhash-links")
+
+    links, groups = None, None
+    for part in (range(FIRST), range(HASHES)):
+        dealt, shared = deal(grouped(groups), part)
+        asked = dealt.groupBy("shard").applyInArrow(candidates, "shard string, node long")
+        asked = materialize(asked.join(grouped(groups).select("node", "grp"), "node"), "simhash-asked")
+        links = united(asked, sets_of(asked), links)
+        groups = components(links)
+    cut = minima_rows(grouped(groups), range(HASHES)).join(shared.filter(F.col("size") > HOT_NODES).select("i", "h"), ["i", "h"])
+    cut = materialize(cut, "simhash-cut")
+    cut = materialize(cut.join(shared_by_groups(cut, "i", "h").select("i", "h"), ["i", "h"]), "simhash-apart")
+    if cut.limit(1).count():
+        sets = sets_of(cut)
+        asked = deal_exactly(cut, sets).groupBy("shard").applyInArrow(bucket_candidates, "shard string, node long")
+        asked = materialize(asked.join(grouped(groups).select("node", "grp"), "node"), "simhash-asked")
+        links = united(asked, sets, links)
         groups = components(links)
     root = F.coalesce("root", "node")
     of_nodes = materialize(nodes.join(groups, "node", "left").select("digest", "first", root.alias("root")), "simhash-groups")

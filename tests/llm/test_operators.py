@@ -303,6 +303,27 @@ def test_a_hash_that_many_share_is_cut(spark, monkeypatch):
     assert {r["class_id"] for r in got} == {0}
 
 
+@pytest.mark.parametrize(("shared", "own"), [(60, 40), (94, 14)])
+def test_near_copies_around_a_passage_that_all_share(spark, monkeypatch, shared, own):
+    monkeypatch.setattr(simhash, "HOT_NODES", 40)
+    monkeypatch.setattr(simhash, "COMMON", 8)
+    rng = random.Random(shared)
+    passage, rows = [f"p{k}" for k in range(shared)], []
+    for i in range(250):
+        one = [f"o{i}x{k}" for k in range(own)]
+        two = list(one)
+        two[own // 4] = two[-own // 4] = f"c{i}"
+        rows += [(2 * i, " ".join(passage + one)), (2 * i + 1, " ".join(passage + two))]
+    rng.shuffle(rows)
+    sets = {i: simhash.Shingler()(t) for i, t in rows}
+    for i in range(0, 500, 2):
+        x = len(np.intersect1d(sets[i], sets[i + 1]))
+        y = len(np.intersect1d(sets[i], sets[(i + 2) % 500]))
+        assert x >= 0.8 * (2 * len(sets[i]) - x) and y < 0.8 * (2 * len(sets[i]) - y)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: i - i % 2 for i in range(500)}
+
+
 def test_graph_search_has_full_recall():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**63, (400, 4)).astype(np.uint64)
