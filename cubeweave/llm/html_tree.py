@@ -4,7 +4,7 @@ The DOMs of a host are merged by the signatures of their branches (chains of con
 For every branch the tree holds how its content and its presentation - the order of its children - are spread
 over the host's pages. A branch's importance is composed of the entropies of its presentation and, weighted by
 text, of the contents beneath it: what looks and reads the same on every page is boilerplate, and branches of
-low importance are removed from each page. Elements that HTML itself marks as navigation, advert, form or the
+low importance are removed from each page, but for those in an article or main element. Elements that HTML itself marks as navigation, advert, form or the
 like are removed whatever their entropy, for they may be drawn anew for each page.
 """
 
@@ -177,24 +177,23 @@ def _signature(tag: str, attrs: str, main: int) -> tuple[str, int]:
 
 def main_text(blocks: list[Block], low: set[str]) -> str:
     """The blocks of the article, or of the main element, or else all that is left, joined by blank lines."""
-    left = [b for b in blocks if not b.cut and not _under(b.branch, low, b.main)]
+    left = [b for b in blocks if not b.cut and (b.main or not _under(b.branch, low))]
     best = max((b.main for b in left), default=0)
     if best:
         left = [b for b in left if b.main == best]
-    elif inside := [b for b in blocks if b.cut == 1 and b.main and not _under(b.branch, low, b.main)]:
+    elif inside := [b for b in blocks if b.cut == 1 and b.main]:
         left = inside
     else:
         left = [b for b in left if 5 * b.link < 4 * len(b.text)]
     return "\n\n".join(b.text for b in left)
 
 
-def _under(branch: str, low: set[str], main: int) -> bool:
-    """Whether a branch or one above it has been removed; not the article itself or what it stands in."""
+def _under(branch: str, low: set[str]) -> bool:
+    """Whether a branch or one above it has been removed. Statistics say nothing of what is in an article: hosts may repeat it."""
     if not low:
         return False
     parts = branch.split(">")
-    spare = max((i for i, p in enumerate(parts) if p.split(".")[0].split("#")[0] in ("article", "main") or p.endswith("#main")), default=0) if main else 0
-    return any(">".join(parts[: i + 1]) in low for i in range(spare + 1, len(parts)))
+    return any(">".join(parts[: i + 1]) in low for i in range(1, len(parts)))
 
 
 def _hash(text: str) -> int:

@@ -144,6 +144,14 @@ def test_articles_stay_though_copied(spark):
     assert {r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same passage"}
 
 
+def test_copied_articles_stay_inside_wrappers(spark):
+    page = lambda text: f'<body><nav>x</nav><article><div class="body"><section><p>{text}</p></section></div></article></body>'
+    rows = [(i, "http://h/", page("the same passage" if i < 17 else f"its own {i}")) for i in range(20)]
+    rows += [(i, "http://m/", page("another").replace("article", "main")) for i in range(20, 23)]
+    got = {r["page_id"]: r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "the same passage" if i < 17 else f"its own {i}" if i < 20 else "another" for i in range(23)}
+
+
 # sentencepiece
 
 
