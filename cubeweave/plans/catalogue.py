@@ -458,6 +458,16 @@ def bitplane_pack(spark, d):
     return select.pack(e.select("v", "b", "plane", "i", bit(F.col("z"), F.col("plane")).alias("bit")), ["v", "b", "plane"], msb_first=False)
 
 
+@query(f"""WITH {LORENZO}, z AS (SELECT v, b, (t * 8 + h) * 8 + w AS i, CAST(CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS BIGINT) AS z FROM d3), m AS (SELECT *, max(z) OVER (PARTITION BY v, b) AS m FROM z), y AS (SELECT *, unnest(range(0, CAST(greatest(1, length(bin(m))) AS BIGINT))) AS plane FROM m)
+    SELECT v, b, plane, i // 8 AS byte_no, CAST(sum(((z >> CAST(plane AS INTEGER)) & 1) << CAST(i % 8 AS INTEGER)) AS BIGINT) AS byte FROM y GROUP BY ALL""")
+def bitplane_pack_all(spark, d):
+    """Every plane that the largest code of a block needs; bitplane_pack has the lowest four."""
+    z = lorenzo.lorenzo(_codes(spark, d), ["v", "b"]).select("v", "b", linear([(F.col("t"), 8), (F.col("h"), 8), (F.col("w"), 8)]).alias("i"), zigzag(F.col("d")).alias("z"))
+    z = z.join(z.groupBy("v", "b").agg(planes(F.max("z")).alias("n")), ["v", "b"])
+    e = z.select("v", "b", "i", "z", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("plane"))
+    return select.pack(e.select("v", "b", "plane", "i", bit(F.col("z"), F.col("plane").cast("int")).alias("bit")), ["v", "b", "plane"], msb_first=False)
+
+
 @query(f"""WITH {CODES} SELECT c.v, c.b, c.t, c.h, c.w, c.q, {', '.join(f"coalesce(n_{n}.q, 0) AS n_{n}" for n in ('t', 'h', 'th', 'w', 'tw', 'hw', 'thw'))},
     coalesce(n_t.q, 0) + coalesce(n_h.q, 0) + coalesce(n_w.q, 0) + coalesce(n_thw.q, 0) - coalesce(n_th.q, 0) - coalesce(n_tw.q, 0) - coalesce(n_hw.q, 0) AS pred
     FROM q c {' '.join(f"LEFT JOIN q n_{n} ON n_{n}.v = c.v AND n_{n}.b = c.b AND n_{n}.t = c.t - {int('t' in n)} AND n_{n}.h = c.h - {int('h' in n)} AND n_{n}.w = c.w - {int('w' in n)}" for n in ('t', 'h', 'th', 'w', 'tw', 'hw', 'thw'))}""")

@@ -165,3 +165,11 @@ def test_stream_of_frames_is_the_batch(spark, tmp_path):
     got = {(r["event_type"], r["start"]): r["n"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} if os.listdir(tmp_path / "out") else {}
     want = {(r["event_type"], r["start"]): r["n"] for r in daily_frames(events).collect()}
     assert all(want[k] == n for k, n in got.items())
+
+
+def test_all_bit_planes_give_the_codes_back(spark):
+    d = "/root/testdata/sf0.01"
+    bits = select.unpack(catalogue.bitplane_pack_all(spark, d), ["v", "b", "plane"], msb_first=False)
+    back = {(r["v"], r["b"], r["i"]): r["z"] for r in bits.groupBy("v", "b", "i").agg(F.sum(F.col("bit") * F.pow(F.lit(2), F.col("plane")).cast("long")).alias("z")).collect()}
+    want = {(r["v"], r["b"], (r["t"] * 8 + r["h"]) * 8 + r["w"]): r["z"] for r in catalogue.zigzag_codes(spark, d).collect()}
+    assert max(want.values()) > 15 and all(back[k] == z for k, z in want.items())
