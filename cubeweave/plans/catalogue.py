@@ -694,6 +694,23 @@ def raw_file_roundtrip(spark, d):
     return cells_of_frames(read_raw(spark, path, (10, 1, 30, 8, 8)), 8)
 
 
+@query(f"WITH {E} SELECT v, s, t, h, w, x FROM e")
+def raw_file_roundtrip_all(spark, d):
+    """All frames of all labels in one headerless float32 file, label after label; raw_file_roundtrip has 30 of each."""
+    from pyspark.sql import Window
+
+    from cubeweave.scratch import new_path
+    from cubeweave.sources.raw import cells_of_frames, frames_of_cells, read_raw, write_raw
+
+    frames, path = frames_of_cells(cube_e(spark, d), 8), new_path(spark, "raw")
+    write_raw(frames, path)
+    lengths = frames.groupBy("v").agg(F.count("*").alias("n"))
+    spans = lengths.select(F.col("v").alias("label"), (F.sum("n").over(Window.orderBy("v")) - F.col("n")).alias("start"), "n")
+    read = read_raw(spark, path, (1, 1, frames.count(), 8, 8))
+    met = read.join(F.broadcast(spans), (F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + F.col("n")))
+    return cells_of_frames(met.select(F.col("label").cast("long").alias("v"), "s", (F.col("t") - F.col("start")).alias("t"), "data"), 8)
+
+
 @query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS sid, CAST(256 AS INTEGER) AS bytes FROM embeddings")
 def stream_file_roundtrip(spark, d):
     from cubeweave.scratch import new_path, shared_dir

@@ -173,3 +173,10 @@ def test_all_bit_planes_give_the_codes_back(spark):
     back = {(r["v"], r["b"], r["i"]): r["z"] for r in bits.groupBy("v", "b", "i").agg(F.sum(F.col("bit") * F.pow(F.lit(2), F.col("plane")).cast("long")).alias("z")).collect()}
     want = {(r["v"], r["b"], (r["t"] * 8 + r["h"]) * 8 + r["w"]): r["z"] for r in catalogue.zigzag_codes(spark, d).collect()}
     assert max(want.values()) > 15 and all(back[k] == z for k, z in want.items())
+
+
+def test_raw_file_has_every_frame(spark):
+    d = "/root/testdata/sf0.01"
+    got, want = catalogue.raw_file_roundtrip_all(spark, d), catalogue.cube_e(spark, d)
+    lengths = {r["n"] for r in want.groupBy("v").agg((F.count("*") / 64).alias("n")).collect()}
+    assert len(lengths) > 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
