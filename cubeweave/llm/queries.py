@@ -150,7 +150,7 @@ def sharding_sql() -> str:
         for _ in range(8):
             n = (n >> 1) ^ 0xEDB88320 if n & 1 else n >> 1
         table_.append(n)
-    code = lambda c: f"coalesce(CAST('0x' || left(rpad(hex(encode({c})), 14, '0'), 14) AS BIGINT), -1)"
+    code = lambda c: f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c}) - 1 END"
     levels = ""
     for i in range(4):
         share = lambda d: f"(max(l{i}.{d}) OVER n - min(l{i}.{d}) OVER n) / any_value(w.{d}) OVER n"

@@ -2,42 +2,53 @@
 
 A node is split along its widest metadata dimension (the one whose range covers most of the whole range)
 at the weighted median of (dimension, id): half the bytes go to either side, to within one row. Medians are
-found by histograms that are refined together for all nodes of a level, so a pass sends at most BUCKETS
-rows to the driver whatever the input. Only the narrow metadata table is read by these passes.
+found by histograms that are refined together for up to NODES nodes, so a pass sends BUCKETS rows to the driver
+whatever the input. Only the narrow metadata table is read by these passes; every level writes it anew with
+the nodes its rows have come to, so no pass repeats the splits of the levels above.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeweave.ranking import rank_in_groups, values
-from cubeweave.scratch import materialize
+from cubeweave.scratch import drop_table, materialize, new_path
 
-#: Histogram rows of one pass over all nodes of a level: what the driver gets at once.
-BUCKETS = 1 << 14
-#: Leaves of one tree at most; the tree's splits are broadcast, 40 bytes each.
-MAX_LEAVES = 1 << 17
+#: Histogram rows of one pass over the nodes that are searched together: what the driver gets at once.
+BUCKETS, NODES = 1 << 14, 1 << 12
+#: Rows of a table of labels, or of splits, up to which it is broadcast (at about 60 bytes); beyond, it is joined by shuffle.
+BROADCAST_ROWS = 1 << 17
 DIMS = ("d_size", "d_lang", "d_source", "d_id")
-
-
-def text_prefix_code(c: Column) -> Column:
-    """The first seven UTF-8 bytes as a number in the order of the bytes; null is -1."""
-    padded = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(padded, 16, 10).cast("long"), F.lit(-1).cast("long"))
+LEAST = -(1 << 63)
 
 
 def metadata(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One narrow row a document: shard (0, to be stored: as a constant it would turn joins on it into cross joins), rid (unique), doc_id, size, text_crc32 and the dimensions of the tree."""
+    """One narrow row a document, written: shard (0, to be stored: as a constant it would turn joins on it into cross
+    joins), rid (unique), doc_id, size, text_crc32 and the dimensions of the tree.
+
+    Labels are coordinates by their dense rank among the distinct ones, in the order of their bytes; null is -1.
+    Null ids are the least number.
+    """
     size = F.coalesce(F.octet_length(F.col(text_col)).cast("long"), F.lit(0).cast("long")) + 1
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long"))
-    return documents.select(
+    rows = materialize(documents.select(
         F.lit(0).cast("long").alias("shard"), F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), size.alias("size"),
         F.coalesce(F.crc32(F.encode(F.col(text_col), "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        size.alias("d_size"), text_prefix_code(F.col(lang_col)).alias("d_lang"), text_prefix_code(F.col(source_col)).alias("d_source"), key.alias("d_id"),
-    )
+        size.alias("d_size"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("d_id"),
+    ), "shard-rows")
+    labels = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("label")) for c in ("lang", "source")]))
+    known = rows.select("lang", "source").distinct().select(labels.alias("l")).select("l.dim", "l.label").filter("label IS NOT NULL").distinct()
+    known = materialize(rank_in_groups(known, ["dim"], ["label"], name="place"), "shard-labels")
+    placed, small = rows, known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    for c in ("lang", "source"):
+        own = known.filter(F.col("dim") == c).select(F.col("label").alias(c), F.col("place").alias(f"d_{c}"))
+        placed = placed.join(F.broadcast(own) if small else own, c, "left").withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(-1).cast("long")))
+    out = materialize(placed.select("shard", "rid", "doc_id", "size", "text_crc32", *DIMS), "shard-meta")
+    drop_table(rows)
+    return out
 
 
 @dataclass
@@ -53,25 +64,36 @@ class _Search:
     fixed: list[int] = field(default_factory=list)  # values of the keys that are decided
     found: tuple | None = None
 
-    @property
-    def keys(self) -> tuple[str, ...]:
-        return (DIMS[self.dim], "d_id", "rid")
+    def grid(self, buckets: int) -> tuple[int, int, int]:
+        """(shift, lowest bucket, width): a value falls in bucket ((value >> shift) - lowest) div width. The shift
+        keeps differences within a long wherever in its range the values are."""
+        shift = 0 if self.hi - self.lo < 1 << 62 else 2
+        low = self.lo >> shift
+        return shift, low, max(1, -(-((self.hi >> shift) - low + 1) // buckets))
 
 
-def kd_tree(meta: DataFrame, leaves: int) -> DataFrame:
-    """Assign rows of metadata() to `leaves` leaves (a power of two) of near-equal bytes by column shard.
+def kd_tree(meta: DataFrame, leaves: int | None = None, *, target_bytes: int | None = None) -> DataFrame:
+    """Assign rows of metadata() to leaves of near-equal bytes by column shard, from 0.
 
-    Empty input gives an empty result. Rows that tie in a dimension are ordered by id, then by rid, so ties
-    and repeated rows are split like others.
+    Give the number of leaves, a power of two, or the bytes that a leaf may have: then each node is split until it is
+    within them or a single row, which alone may be larger. Empty input gives an empty result. Rows that tie in a
+    dimension are ordered by id, then by rid, so ties and repeated rows are split like others.
     """
-    if leaves & (leaves - 1) or not 0 < leaves <= MAX_LEAVES:
-        raise ValueError("leaves must be a power of two up to MAX_LEAVES")
-    placed = meta
-    whole: list[int] = []
-    for depth in range(leaves.bit_length() - 1):
-        ranges = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).collect()
+    if (leaves is None) == (target_bytes is None):
+        raise ValueError("give either leaves or target_bytes")
+    if leaves is not None and (leaves < 1 or leaves & (leaves - 1)):
+        raise ValueError("leaves must be a power of two")
+    if target_bytes is not None and target_bytes < 1:
+        raise ValueError("target_bytes must be positive")
+    placed, whole, depth = meta, [], 0
+    while leaves is None or depth < leaves.bit_length() - 1:
+        measures = [f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]
+        nodes = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *measures)
+        ranges = (nodes if target_bytes is None else nodes.filter((F.col("bytes") > target_bytes) & (F.col("n") > 1))).collect()
         if not ranges:
-            return placed
+            break
+        if depth > 60:
+            raise ValueError("the tree is too deep: sizes are too unequal for this target")
         if not whole:
             whole = [max(1, ranges[0][f"hi_{d}"] - ranges[0][f"lo_{d}"]) for d in DIMS]
         tasks = []
@@ -79,24 +101,52 @@ def kd_tree(meta: DataFrame, leaves: int) -> DataFrame:
             widths = [(r[f"hi_{d}"] - r[f"lo_{d}"]) / w for d, w in zip(DIMS, whole, strict=True)]
             dim = widths.index(max(widths))
             tasks.append(_Search(r["shard"], dim, r["bytes"], r[f"lo_{DIMS[dim]}"], r[f"hi_{DIMS[dim]}"]))
-        _find(placed, tasks)
-        placed = _split(placed, tasks)
-    return placed
+        for at in range(0, len(tasks), NODES):
+            _find(placed, tasks[at : at + NODES])
+        after = materialize(_split(placed, tasks), "shard-level")
+        if placed is not meta:
+            drop_table(placed)
+        placed, depth = after, depth + 1
+    if leaves is not None:  # all leaves stand in one row of the tree
+        return placed.withColumn("shard", F.col("shard") - (leaves - 1))
+    leaf = rank_in_groups(placed.select("shard").distinct().withColumn("one", F.col("shard") * 0), ["one"], ["shard"], name="leaf")
+    leaf = materialize(leaf.select(F.col("shard").alias("__node"), "leaf"), "shard-leaves")
+    joined = placed.join(_small(leaf), F.col("shard") == F.col("__node"))
+    return joined.select(*[F.col("leaf").alias("shard") if c == "shard" else F.col(c) for c in placed.columns])
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def _numbers(spark: SparkSession, rows: Sequence[Sequence[int | bool]], names: Sequence[str]) -> DataFrame:
+    """values(), written in parts where they are many."""
+    if len(rows) <= NODES:
+        return F.broadcast(values(spark, rows, names))
+    path = new_path(spark, "shard-splits")
+    for at in range(0, len(rows), NODES):
+        values(spark, rows[at : at + NODES], names).coalesce(1).write.mode("append").parquet(path)
+    return _small(spark.read.parquet(path))
+
+
+def _value(dim: Column) -> Column:
+    return F.element_at(F.array(*DIMS), dim.cast("int") + 1)
 
 
 def _find(rows: DataFrame, tasks: list[_Search]) -> None:
     """Refine histograms until every task has found its row."""
     spark = rows.sparkSession
     while open_ := [t for t in tasks if t.found is None]:
-        per_node = max(4, BUCKETS // len(open_))
-        params = [(t.node, t.dim, len(t.fixed), *(t.fixed + [0, 0])[:2], t.lo, max(1, -(-(t.hi - t.lo + 1) // per_node)), t.hi) for t in open_]
-        known = values(spark, params, ("shard", "dim", "level", "f0", "f1", "lo", "width", "hi"))
-        value = F.element_at(F.array(*DIMS), F.col("dim").cast("int") + 1)
+        params = [(t.node, t.dim, len(t.fixed), *(t.fixed + [0, 0])[:2], t.lo, t.hi, *t.grid(max(4, BUCKETS // len(open_)))) for t in open_]
+        known = values(spark, params, ("shard", "dim", "level", "f0", "f1", "lo", "hi", "shift", "low", "width"))
+        value = _value(F.col("dim"))
         at = F.when(F.col("level") == 0, value).when(F.col("level") == 1, F.col("d_id")).otherwise(F.col("rid"))
         fits = ((F.col("level") < 1) | (value == F.col("f0"))) & ((F.col("level") < 2) | (F.col("d_id") == F.col("f1")))
         held = rows.join(F.broadcast(known), "shard").filter(fits).withColumn("at", at).filter(F.col("at").between(F.col("lo"), F.col("hi")))
-        bucket = F.expr("(at - lo) div width").alias("bucket")
-        counts = held.groupBy("shard", bucket).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).collect()
+        bucket = F.expr("(shiftright(at, cast(shift AS int)) - low) div width").alias("bucket")
+        ends = [f(c).alias(f"{n}{i}") for i, c in enumerate(("at", "d_id", "rid")) for n, f in (("a", F.min), ("b", F.max))]
+        counts = held.groupBy("shard", bucket).agg(F.sum("size").alias("w"), F.count("*").alias("n"), *ends).collect()
         by_node: dict[int, list] = {}
         for r in counts:
             by_node.setdefault(r["shard"], []).append(r)
@@ -110,30 +160,34 @@ def _narrow(t: _Search, buckets: list) -> None:
         if 2 * (t.before + r["w"]) > t.goal or r is buckets[-1]:
             break
         t.before += r["w"]
-    if r["a"] < r["b"]:
-        t.lo, t.hi = r["a"], r["b"]
-    elif r["n"] > 1 and len(t.fixed) < 2:
-        t.fixed.append(r["a"])
-        t.lo, t.hi = -(1 << 62), (1 << 62)
-    else:
-        left = 2 * t.before + r["w"] <= t.goal
-        t.found = (*t.fixed, r["a"]), left
+    if r["a0"] < r["b0"]:
+        t.lo, t.hi = r["a0"], r["b0"]
+        return
+    if r["n"] == 1:
+        t.found = (*t.fixed, r["a0"]), 2 * t.before + r["w"] <= t.goal
+        return
+    t.fixed.append(r["a0"])
+    if len(t.fixed) == 1:
+        t.lo, t.hi = r["a1"], r["b1"]
+        if t.lo < t.hi:
+            return
+        t.fixed.append(t.lo)
+    t.lo, t.hi = r["a2"], r["b2"]
 
 
 def _split(rows: DataFrame, tasks: list[_Search]) -> DataFrame:
-    """Children 2n and 2n + 1 by comparison with the found row; it goes left if its middle does."""
-    low = -(1 << 62)
+    """Rows go to child 2n + 1 or 2n + 2 by comparison with the found row, which goes left if its middle does; other nodes stay."""
     params = []
     for t in tasks:
         (keys, left) = t.found
-        params.append((t.node, t.dim, len(keys), *(list(keys) + [low, low])[:3], left))
-    known = values(rows.sparkSession, params, ("shard", "dim", "level", "k0", "k1", "k2", "at_left"))
-    value = F.element_at(F.array(*DIMS), F.col("dim").cast("int") + 1)
-    later = [(value, "k0"), (F.col("d_id"), "k1"), (F.col("rid"), "k2")]
+        params.append((t.node, t.dim, len(keys), *(list(keys) + [0, 0])[:3], left))
+    known = _numbers(rows.sparkSession, params, ("__n", "dim", "level", "k0", "k1", "k2", "at_left"))
+    later = [(_value(F.col("dim")), "k0"), (F.col("d_id"), "k1"), (F.col("rid"), "k2")]
     right = ~F.col("at_left")
     for depth, (c, k) in reversed(list(enumerate(later))):
         right = F.when(F.col("level") <= depth, right).when(c == F.col(k), right).otherwise(c > F.col(k))
-    out = rows.join(F.broadcast(known), "shard").withColumn("child", F.col("shard") * 2 + right.cast("long"))
+    child = F.when(F.col("__n").isNull(), F.col("shard")).otherwise(F.col("shard") * 2 + 1 + right.cast("long"))
+    out = rows.join(known, F.col("shard") == F.col("__n"), "left").withColumn("child", child)
     return out.select(*[F.col("child").alias("shard") if c == "shard" else F.col(c) for c in rows.columns])
 
 
@@ -141,14 +195,10 @@ def shard_documents(documents: DataFrame, *, leaves: int | None = None, target_b
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of documents.
 
     Law `bytes`: leaves differ by little more than the largest row. Give the number of leaves, or the bytes
-    that a leaf may reach at most. Null texts count as empty (size 1, CRC 0), null ids and labels sort first
-    and keep their rows; repeated rows each get a slot; extra columns are ignored.
+    that a leaf may have at most; a row that is larger than that is a leaf of its own. Null texts count as empty
+    (size 1, CRC 0), null ids and labels sort first and keep their rows; ids may be any longs; repeated rows each get
+    a slot; extra columns are ignored; an empty table gives no rows.
     """
-    meta = materialize(metadata(documents, **columns), "shard-meta")
-    if leaves is None:
-        total = meta.agg(F.sum("size")).first()[0] or 0
-        leaves = 1
-        while leaves < MAX_LEAVES and total > leaves * target_bytes:
-            leaves *= 2
-    placed = rank_in_groups(kd_tree(meta, leaves), ["shard"], ["d_id", "rid"], name="slot")
+    placed = kd_tree(metadata(documents, **columns), leaves, target_bytes=target_bytes)
+    placed = rank_in_groups(placed, ["shard"], ["d_id", "rid"], name="slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))

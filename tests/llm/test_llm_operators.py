@@ -66,9 +66,9 @@ def test_sharding_is_the_kd_tree(spark):
     rng = random.Random(4)
     rows = [(i * 3, "x" * rng.choice([0, 5, 50, 400]), rng.choice(["en", "de", "fr"]), f"src{rng.randrange(9)}", 1) for i in range(300)]
     got = {r["doc_id"]: r for r in sharding.shard_documents(spark.createDataFrame(rows, DOCS), leaves=8).collect()}
-    code = lambda s: int.from_bytes(s.encode()[:7].ljust(7, b"\0"), "big")
+    ranks = lambda labels: [sorted(set(labels)).index(x) for x in labels]
     sizes = [len(r[1]) + 1 for r in rows]
-    want = kd_reference(sizes, [sizes, [code(r[2]) for r in rows], [code(r[3]) for r in rows], [r[0] for r in rows]], 8)
+    want = kd_reference(sizes, [sizes, ranks([r[2] for r in rows]), ranks([r[3] for r in rows]), [r[0] for r in rows]], 8)
     assert all(got[r[0]]["shard"] == want[i] for i, r in enumerate(rows))
     by = defaultdict(list)
     for r in got.values():
@@ -88,6 +88,33 @@ def test_sharding_of_odd_rows(spark, odd):
     assert sharding.shard_documents(same, target_bytes=64).select("shard").distinct().count() == 4
 
 
+def test_sharding_of_ids_over_the_whole_range(spark):
+    most = (1 << 63) - 1
+    rows = [((-1) ** i * (most - i), "xx", "en", "s", 1) for i in range(38)] + [(6 * 10**18 + i // 2, "xx", "en", "s", 1) for i in range(39)] + [(-most - 1, "xx", None, None, 1), (None, "xx", None, None, 1)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS), leaves=8).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert sorted(Counter(r["shard"] for r in got).values()) == [9] + [10] * 7
+
+
+def test_leaves_stay_within_their_target(spark):
+    rng = random.Random(14)
+    rows = [(i, "x" * rng.choice([3, 9, 40]), "en", "s", 1) for i in range(90)] + [(90, "x" * 500, "en", "s", 1)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS), target_bytes=120).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["size"])
+    assert sorted(by) == list(range(len(by))) and len(got) == 91
+    assert all(sum(x) <= 120 or x == [501] for x in by.values())
+    with pytest.raises(ValueError):
+        sharding.shard_documents(spark.createDataFrame(rows, DOCS), leaves=3)
+
+
+def test_labels_that_begin_alike_are_apart(spark):
+    rows = [(i, "xx", "en", f"common_crawl_202{i % 2}", 1) for i in range(40)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOCS), leaves=2).collect()
+    assert {(r["doc_id"] % 2, r["shard"]) for r in got} == {(0, 0), (1, 1)}
+
+
 # html
 
 
