@@ -9,19 +9,19 @@ selection keeps k scores a query and task; a window merges them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeweave.scratch import materialize
+from cubeweave.scratch import materialize, new_path
 
 #: Candidates whose scores are accumulated at once; with QUERY_BLOCK it bounds the dense score array.
 CANDIDATE_BLOCK = 2048
 QUERY_BLOCK = 1024
 NONE = np.iinfo(np.int64).min
+FOUND = "block long, q long, query_id long, vec_id long, score long"
 
 
 def quantize(vec: Column, scale: int) -> Column:
@@ -87,7 +87,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
     null, or whose vector is null or holds null or non-finite components, take no part. Vectors of unequal
     length count as ending in zeros. Rows repeated under one id are all candidates, and a query row that is
     repeated is answered once for each. A query without candidates has no rows. Scores are 64-bit and wrap.
-    Only query_block rows are on the driver and in a broadcast at a time.
+    A block of queries is one pass over the candidates, whose scores are written before the next block begins, so only
+    query_block rows are on the driver and in a broadcast at a time.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(usable(F.col(vec_col)) & F.col(id_col).isNotNull())
@@ -96,8 +97,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_c
     asked = materialize(rows.filter("asks").select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "topk-queries")
     blocks = max(1, -(-asked.count() // query_block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    parts = [_search(candidates, spark.sparkContext.broadcast(_fetch(asked, b)), b, k) for b in range(blocks)]
-    found = reduce(DataFrame.unionAll, parts)
+    path = new_path(spark, "topk-found")
+    for b in range(blocks):
+        block = spark.sparkContext.broadcast(_fetch(asked, b))
+        _search(candidates, block, b, k).write.mode("append").parquet(path)
+        block.destroy()
+    found = spark.read.schema(FOUND).parquet(path)
     order = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
@@ -124,4 +129,4 @@ def _search(candidates: DataFrame, asked, block: int, k: int) -> DataFrame:
         if len(q):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), block, np.int64)), pa.array(q), pa.array(own[q]), pa.array(ids), pa.array(scores)], names=["block", "q", "query_id", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "block long, q long, query_id long, vec_id long, score long")
+    return candidates.mapInArrow(run, FOUND)
