@@ -24,8 +24,11 @@ MAX_SOURCES, MAX_PERIOD = 4096, 1 << 16
 BLOCK_ROWS = 64
 
 
-def period(tickets: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of one period that each source gets: earliest deadline first among released blocks; ties by name."""
+def period(tickets: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of one period that each source gets: earliest deadline first among released blocks; ties by name.
+
+    With blocks the period ends early, at the slot in which a source gets the last of its blocks.
+    """
     total = sum(tickets.values())
     waiting = [(0, s, 0) for s in sorted(tickets)]  # release, source, block
     heapq.heapify(waiting)
@@ -37,25 +40,33 @@ def period(tickets: Mapping[str, int]) -> dict[str, list[int]]:
             heapq.heappush(ready, (-(-(k + 1) * total // tickets[s]), s, k))
         _, s, k = heapq.heappop(ready)
         slots[s].append(t)
+        if blocks and k + 1 == blocks[s]:
+            break
         if k + 1 < tickets[s]:
             heapq.heappush(waiting, ((k + 1) * total // tickets[s], s, k + 1))
     return slots
 
 
 def phases(blocks: Mapping[str, int], tickets: Mapping[str, int]) -> list[tuple[str, int, int, int, int, int, list[int]]]:
-    """(source, first block, end block, first slot, period, tickets, slots of the period) of each phase."""
+    """(source, first block, end block, first slot, period, tickets, slots of the period) of each phase.
+
+    Only sources that get blocks in a phase have a row, and of a phase that is shorter than its period only the slots
+    that it has are worked out and given: so the slots of all rows are no more than the blocks, nor than a period a phase.
+    """
     done = dict.fromkeys(blocks, 0)
+    left = {s: tickets[s] for s in blocks if blocks[s]}
     start, out = 0, []
-    while left := {s: tickets[s] for s in blocks if done[s] < blocks[s]}:
-        total, slots = sum(left.values()), period(left)
-        last = lambda s: (blocks[s] - done[s] - 1) // left[s] * total + slots[s][(blocks[s] - done[s] - 1) % left[s]]
-        end = min(map(last, left)) + 1
+    while left:
+        total, rest = sum(left.values()), {s: blocks[s] - done[s] for s in left}
+        slots = period(left, rest)
+        last = lambda s: (rest[s] - 1) // left[s] * total + slots[s][(rest[s] - 1) % left[s]]
+        end = min(last(s) for s in left if len(slots[s]) > (rest[s] - 1) % left[s]) + 1
         for s in left:
-            took = end // total * left[s] + bisect_right(slots[s], end % total - 1)
-            if took:
+            if took := end // total * left[s] + bisect_right(slots[s], end % total - 1):
                 out.append((s, done[s], done[s] + took, start, total, left[s], slots[s]))
                 done[s] += took
         start += end
+        left = {s: a for s, a in left.items() if done[s] < blocks[s]}
     return out
 
 
