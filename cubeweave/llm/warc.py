@@ -3,13 +3,16 @@
 Every record is a gzip member of its own that carries its lengths in the `sl` extra field which the WARC
 standard proposes, so a reader goes from record to record by seeking. The reader plans byte ranges of the files
 as partitions, takes over predicates on the record type and on header columns, inflates the headers first and the
-payload only where it is wanted.
+payload only where it is wanted. Files are read ahead by megabytes, so small records cost no request each.
+Archives of others are read, too: in folders below the path, without lengths, with all records in one member,
+or not compressed at all.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import struct
 import uuid
@@ -32,6 +35,9 @@ WRITTEN = ("page_id", "url", "payload", "digest", "refers_to")
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "payload_length": "X-Payload-Length", "refers_to": "WARC-Refers-To"}
 PUSHED = (EqualTo, In, IsNull, IsNotNull, StringStartsWith)
 SPLIT_BYTES = 64 << 20
+ENDINGS = (".warc.gz", ".warc", ".gz")
+#: Bytes that a request reads ahead; compressed and inflated bytes that are held at once, but for a payload that is asked for.
+AHEAD, PIECE = 4 << 20, 1 << 16
 URN = "urn:x-page:"
 LEVEL = 1
 
@@ -82,7 +88,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (true: decode payloads); date of written records; split_bytes."""
+    """Options: path; payload (true: give payloads); verify (false; true: inflate and hash every payload, whether it is
+    given or not, and fail where digest or length are not those of the header); date of written records; split_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -137,6 +144,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path = options["path"].rstrip("/")
         self.payload = options.get("payload", "true").lower() == "true"
+        self.verify = options.get("verify", "false").lower() == "true"
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.filters: list[Filter] = []
 
@@ -150,14 +158,15 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         files, root = filesystem(self.path)
         found = files.get_file_info(root)
-        listed = [found] if found.is_file else files.get_file_info(fs.FileSelector(root))
-        kept = None
+        listed = [found] if found.is_file else files.get_file_info(fs.FileSelector(root, recursive=True))
+        kept: dict[str, set[str]] = {}  # by folder; folders without a manifest count whole
         for m in listed:
             if m.base_name.startswith("_manifest-"):
                 with files.open_input_stream(m.path) as f:
-                    kept = (kept or set()) | {p.rpartition("/")[2] for p, _ in json.loads(f.read())}
-        archives = [m for m in listed if m.base_name.endswith(".warc.gz") and (kept is None or m.base_name in kept)]
-        return [Range(m.path, at, min(at + self.split, m.size)) for m in archives for at in range(0, m.size, self.split)]
+                    kept.setdefault(m.path.rpartition("/")[0], set()).update(p.rpartition("/")[2] for p, _ in json.loads(f.read()))
+        archives = [m for m in listed if m.is_file and m.base_name.endswith(ENDINGS) and m.base_name in kept.get(m.path.rpartition("/")[0], {m.base_name})]
+        step = lambda m: max(1, m.size) if m.base_name.endswith(".warc") else self.split  # noqa: E731  nothing tells where a plain record begins
+        return [Range(m.path, at, min(at + step(m), m.size)) for m in archives for at in range(0, m.size, step(m))]
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there are no archives
@@ -167,8 +176,8 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(n, pa.int64() if n == "payload_length" else pa.binary() if n == "payload" else pa.string()) for n in names])
         rows: list[dict] = []
         held = 0
-        with files.open_input_file(partition.path) as f:
-            for row in self._records(f, partition):
+        with files.open_input_file(partition.path) as raw:
+            for row in self._records(io.BufferedReader(raw, AHEAD), raw.size(), partition):
                 rows.append(row)
                 held += len(row["payload"] or b"") + 300
                 if held > 8 << 20:
@@ -177,65 +186,116 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def _records(self, f, part: Range) -> Iterator[dict]:
-        size = f.size()
+    def _records(self, f, size: int, part: Range) -> Iterator[dict]:
+        zipped = not part.path.endswith(".warc")
         at = part.start if part.start == 0 else _next_member(f, part.start, part.end)
         while at is not None and at < part.end:
             f.seek(at)
-            got = Member(f)
-            head, rest = got.headers()
-            row = _row(head)
-            if all(_holds(x, row) for x in self.filters):
-                row["payload"] = got.payload(rest, head) if self.payload and row["record_type"] != "revisit" else None
-                yield row
-            at = at + got.size if got.size else got.end(at)
+            member = Member(f, zipped)
+            while member.begins():
+                row, length = _row(head := member.headers()), int(head["content-length"])
+                if all(_holds(x, row) for x in self.filters):
+                    if row["record_type"] != "revisit" and (self.payload or self.verify):
+                        self._payload(member, head, row, length)
+                    yield row
+                if member.size:  # one record, whose end is known
+                    break
+                member.skip()
+            at += member.size or member.read_bytes()
             if at >= size:
                 return
 
+    def _payload(self, member: Member, head: dict[str, str], row: dict, length: int) -> None:
+        """Inflate the payload; keep it if it is asked for, and hold it against its header if it is to be verified."""
+        parts, sha, n = [], hashlib.sha1(), 0
+        for piece in member.body(length, http=head.get("content-type", "").startswith("application/http")):
+            n += len(piece)
+            if self.verify:
+                sha.update(piece)
+            if self.payload:
+                parts.append(piece)
+        if self.payload:
+            row["payload"] = b"".join(parts)
+        if self.verify:
+            member.finish()
+            ours = base64.b32encode(sha.digest()).decode()
+            if row["payload_digest"] not in (None, ours) or row["payload_length"] not in (None, n):
+                raise ValueError(f"{row['record_id']}: the payload is not that of its header")
+            row["payload_digest"], row["payload_length"] = ours, n
+
 
 class Member:
-    """One gzip member, inflated as far as asked."""
+    """One gzip member, or a plain file, inflated as far as asked."""
 
-    def __init__(self, f) -> None:
-        self.f, self.size = f, 0
+    def __init__(self, f, zipped: bool = True) -> None:
+        self.f, self.size, self.start = f, 0, f.tell()
+        self.z = zlib.decompressobj(31) if zipped else None
         self.raw = f.read(4096)
-        if len(self.raw) >= 24 and self.raw[3] & 4 and self.raw[12:14] == b"sl":
+        if zipped and len(self.raw) >= 24 and self.raw[3] & 4 and self.raw[12:14] == b"sl":
             self.size = struct.unpack("<I", self.raw[16:20])[0]
-        self.z = zlib.decompressobj(31)
-
-    def _more(self) -> bytes:
-        data, self.raw = self.raw, b""
-        if not data and not self.z.eof:
-            data = self.f.read(1 << 16)
-        return self.z.decompress(data) if data else b""
-
-    def headers(self) -> tuple[dict[str, str], bytes]:
-        data = b""
-        while b"\r\n\r\n" not in data:
-            more = self._more()
-            if not more and (self.z.eof or not self.raw and not (more := self._more())):
-                raise ValueError("a WARC record without an end of its headers")
-            data += more
-        head, _, rest = data.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8").split("\r\n")
+        self.data, self.left = b"", 0  # inflated bytes; those of the body that have not been handed out
+
+    def _more(self) -> bool:
+        """Inflate a piece; False at the end."""
+        if self.z is None:
+            data, self.raw = self.raw or self.f.read(PIECE), b""
+        else:
+            data = b""
+            while not data and not self.z.eof:
+                raw = self.z.unconsumed_tail or self.raw or self.f.read(PIECE)
+                if not raw:
+                    raise ValueError("a gzip member that has no end")
+                self.raw = b""
+                data = self.z.decompress(raw, 16 * PIECE)
+        self.data += data
+        return bool(data)
+
+    def begins(self) -> bool:
+        """Whether another record begins here; goes over the blank lines between records."""
+        while True:
+            self.data = self.data.lstrip(b"\r\n")
+            if self.data or not self._more():
+                return bool(self.data)
+
+    def headers(self) -> dict[str, str]:
+        lines = self._until_blank("a WARC record without an end of its headers").decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
-        return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, rest
-
-    def payload(self, rest: bytes, head: dict[str, str]) -> bytes:
-        length, parts, have = int(head["content-length"]), [rest], len(rest)
-        while have < length and not self.z.eof:
-            parts.append(self._more())
-            have += len(parts[-1])
-        block = b"".join(parts)[:length]
-        return block.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else block
-
-    def end(self, start: int) -> int:
-        """Where the member ends, for archives without lengths."""
-        while not self.z.eof:
-            if not self._more() and not self.z.eof and not self.raw and self.f.tell() == self.f.size():
-                break
-        return self.f.tell() - len(self.z.unused_data)
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        self.left = int(head["content-length"])
+        return head
+
+    def _until_blank(self, what: str) -> bytes:
+        while (i := self.data.find(b"\r\n\r\n")) < 0:
+            if not self._more():
+                raise ValueError(what)
+        got, self.data = self.data[:i], self.data[i + 4 :]
+        return got
+
+    def body(self, length: int, *, http: bool) -> Iterator[bytes]:
+        """The pieces of the record's payload: its block, for HTTP without the headers."""
+        if http and self.left:
+            self.left -= len(self._until_blank("an HTTP record without an end of its headers")) + 4
+        while self.left and (self.data or self._more()):
+            piece, self.data = self.data[: self.left], self.data[self.left :]
+            self.left -= len(piece)
+            yield piece
+        if self.left:
+            raise ValueError("a record that is shorter than its header says")
+
+    def skip(self) -> None:
+        """Go over what is left of the record."""
+        for _ in self.body(self.left, http=False):
+            pass
+
+    def finish(self) -> None:
+        """Inflate a member of one record to its end, where gzip holds its checksum."""
+        while self.size and self._more():
+            self.data = b""
+
+    def read_bytes(self) -> int:
+        """Bytes of the file up to the end of the member, which has been read."""
+        return self.f.tell() - self.start - (len(self.z.unused_data) if self.z else 0)
 
 
 def _next_member(f, start: int, end: int) -> int | None:
@@ -303,9 +363,10 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, payload: bool = True, verify: bool = False) -> DataFrame:
+    """The records of all archives in and below path; with verify a record whose payload has been damaged is an error."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("verify", str(verify).lower()).load(path)
 
 
 def page_number(c: str):
@@ -314,10 +375,13 @@ def page_number(c: str):
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
-    """Write pages as archives in the shared folder and read back page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write pages as archives in the shared folder and read back page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Every payload that is stored is inflated again: bytes and digest of responses are those of what was read.
+    """
     path = new_path(pages.sparkSession, "warc")
     to_warc(pages, path, least_bytes=least_bytes)
-    back = read_warc(pages.sparkSession, path, payload=False).filter(F.col("record_type").isin("response", "revisit"))
+    back = read_warc(pages.sparkSession, path, payload=False, verify=True).filter(F.col("record_type").isin("response", "revisit"))
     return back.select(page_number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
 
 
