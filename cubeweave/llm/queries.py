@@ -224,6 +224,30 @@ ORACLES: dict[str, str] = {
         )
         SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
     """,
+    "op6_simhash_graph": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT t, min(doc_id) AS node FROM d GROUP BY t),
+        w AS (SELECT node, regexp_extract_all(t, '[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS w FROM n),
+        s AS (
+            SELECT DISTINCT node, list_reduce(w[i : i + 4], lambda x, y: x || ' ' || y) AS s
+            FROM (SELECT node, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+        ), f AS (SELECT s, row_number() OVER (ORDER BY count(*), s) AS r FROM s GROUP BY s HAVING count(*) > 1),
+        z AS (SELECT node, count(*) AS n FROM s GROUP BY node),
+        k AS (SELECT node, r FROM s JOIN f USING (s)),
+        p AS (
+            SELECT k.node, k.r, z.n FROM k JOIN z USING (node)
+            QUALIFY row_number() OVER (PARTITION BY k.node ORDER BY k.r) <= z.n - ceil(0.8 * z.n - 1e-9) + 1
+        ), c AS (
+            SELECT DISTINCT a.node AS a, b.node AS b, a.n AS m, b.n AS n FROM p a JOIN p b ON a.r = b.r AND a.node < b.node
+            WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9
+        ), l AS (
+            SELECT a, b FROM c JOIN k x ON x.node = a JOIN k y ON y.node = b AND y.r = x.r
+            GROUP BY a, b, m, n HAVING count(*) >= 0.8 * (m + n - count(*)) - 1e-9
+        ), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        g AS (SELECT node, node AS root FROM n UNION SELECT e.b, g.root FROM g JOIN e ON g.node = e.a WHERE g.root < e.b),
+        h AS (SELECT node, min(root) AS root FROM g GROUP BY node)
+        SELECT doc_id, h.root AS class_id, doc_id = h.root AS kept FROM d JOIN n USING (t) JOIN h USING (node)
+    """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)

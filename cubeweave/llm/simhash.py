@@ -8,15 +8,16 @@
 3. A shard builds a navigable small-world graph of its nodes and searches it with all of them, from entry points
    that share their hash. Beams expand while they hold nothing but near nodes. The recall of a sample is audited
    against exact search; where it is not whole, beams are doubled, at last up to the shard.
-4. A shard hands on the nodes that have a near one in another group. They come back to it with their sets of
-   shingles, and it verifies them exactly, by shared shingles, and returns a spanning forest of the links that are
-   true. So what moves grows with the nodes of a group, and never with its pairs.
+4. The edges that a shard finds between nodes of different groups fall into connected sets. A set goes by a hash of its
+   nodes, so one that several shards find, or that has been verified before, counts once. Its nodes meet again with
+   their sets of shingles, are verified exactly, by shared shingles, and give a spanning forest of the links that
+   are true. So what moves grows with the nodes of a connected set, and never with its pairs.
 5. Links are united to groups. Steps 2 to 5 run twice: first with some of the hashes, then with all, but only
    those that nodes of several groups share.
 6. Nodes of a hash that was cut, if several groups still share it, meet again by an exact prefix filter: of two
    similar sets the first 0.2 n + 1 shingles in any one order have one in common. The order begins with shingles
    that few of these nodes have, so no bucket is cut. Nodes with fewer of those than that meet by their min-wise
-   hashes, every cut with every other. Within a bucket all pairs of fingerprints are compared.
+   hashes, every cut with every other. Within a bucket of up to 2 HOT_NODES nodes fingerprints are compared exactly.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cubeweave.components import components
 from cubeweave.rowkeys import with_row_keys
-from cubeweave.scratch import materialize
+from cubeweave.scratch import drop_table, materialize
 
 WORDS, SIMILARITY = 5, 0.8
 HASHES, FIRST = 8, 3  # min-wise hashes; how many the first pass uses
@@ -44,6 +45,8 @@ BEAM, LINKS, OLD_LINKS = 16, 16, 4
 AUDIT = 128
 #: Keys of texts to verify up to which they are broadcast (at about 150 bytes); beyond, the texts are shuffled.
 BROADCAST_KEYS = 100_000
+#: Nodes that are verified in one go.
+VERIFIED = 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -297,8 +300,20 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, label: np.ndarra
         label = root[label]
 
 
+def connected(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Rows (key, node) of the connected sets of edges a, b; the key is a hash of a set's nodes."""
+    from xxhash import xxh64_intdigest
+
+    _, label = forest(len(node), a, b, np.zeros(len(a), int), np.arange(len(node)))
+    member = np.unique(np.r_[a, b])
+    member = member[np.lexsort((node[member], label[member]))]
+    parts = np.split(node[member], np.flatnonzero(np.diff(label[member])) + 1) if len(member) else []
+    keys = np.array([xxh64_intdigest(p.tobytes()) for p in parts], np.uint64).view(np.int64)
+    return pa.table({"key": pa.array(np.repeat(keys, [len(p) for p in parts]), pa.int64()), "node": pa.array(node[member], pa.int64())})
+
+
 def candidates(table: pa.Table) -> pa.Table:
-    """The nodes of one shard that have a near one in another group: shard, node."""
+    """The connected sets of near nodes of different groups in one shard: key, node."""
     rows = {c: table[c].to_numpy() for c in ("node", "n", "grp", "i", "h")}
     order = np.lexsort((rows["node"], rows["h"], rows["i"]))
     node = rows["node"][order]
@@ -309,8 +324,7 @@ def candidates(table: pa.Table) -> pa.Table:
     a, b, d = near_pairs(fp)
     large, small = np.maximum(count[a], count[b]), np.minimum(count[a], count[b])
     can = (group[a] != group[b]) & (small >= SIMILARITY * large - 1e-9) & ((d <= NEAR_LARGE) | (small <= FEW))
-    found = node[np.unique(np.r_[a[can], b[can]])]
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(found), pa.string()), "node": pa.array(found, pa.int64())})
+    return connected(node, a[can], b[can])
 
 
 def bucket_candidates(table: pa.Table) -> pa.Table:
@@ -320,34 +334,50 @@ def bucket_candidates(table: pa.Table) -> pa.Table:
     node, count, group = (table[c].to_numpy()[order] for c in ("node", "n", "grp"))
     fp = np.stack([table[c].to_numpy()[order] for c in FP], axis=1).view(np.uint64)
     ends = np.flatnonzero(np.r_[np.diff(bucket[order]) != 0, True]) + 1
-    met = np.zeros(len(node), bool)
+    out = []
     for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
-        n, g, f = count[start:end], group[start:end], fp[start:end]
+        n, g, f, near = count[start:end], group[start:end], fp[start:end], []
         for at in range(0, end - start, 256):
             part = slice(at, at + 256)
             d = all_distances(f[part], f)
             large, small = np.maximum(n[part, None], n[None]), np.minimum(n[part, None], n[None])
             can = (g[part, None] != g[None]) & (small >= SIMILARITY * large - 1e-9) & ((d <= NEAR_LARGE) | (d <= NEAR) & (small <= FEW))
-            met[start:end][part] |= can.any(axis=1)
-    found = np.unique(node[met])
-    return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(found), pa.string()), "node": pa.array(found, pa.int64())})
+            r, c = np.nonzero(can)
+            near.append((r[r + at < c] + at, c[r + at < c]))
+        a, b = (np.concatenate(x) for x in zip(*near, strict=True))
+        if len(a):
+            out.append(connected(node[start:end], a, b))
+    return pa.concat_tables(out) if out else pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
 
 
 def true_links(table: pa.Table) -> pa.Table:
-    """A spanning forest (a, b) of the similar nodes of one shard; rows (node, grp, s), s a set of shingles."""
-    node, group = table["node"].to_numpy(), table["grp"].to_numpy()
+    """Spanning forests (a, b) of the similar nodes of each connected set; rows (key, node, grp, s), s a set of shingles."""
+    keys = table["key"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    node, group = table["node"].to_numpy()[order], table["grp"].to_numpy()[order]
     lists = table["s"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
-    size = lists.value_lengths().to_numpy().astype(np.int64)
-    shared = intersections(lists.flatten().to_numpy(), size)
-    a, b = np.nonzero(np.triu(shared, 1))
-    x = shared[a, b]
-    true = (x >= SIMILARITY * (size[a] + size[b] - x) - 1e-9) & (group[a] != group[b])
-    a, b, x = a[true], b[true], x[true]
-    tree, _ = forest(len(node), a, b, -x, group)
-    lo, hi = np.minimum(node[a[tree]], node[b[tree]]), np.maximum(node[a[tree]], node[b[tree]])
-    return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(hi, pa.int64())})
+    all_sizes = lists.value_lengths().to_numpy().astype(np.int64)
+    begin, values = np.cumsum(all_sizes) - all_sizes, lists.flatten().to_numpy()
+    ends = np.flatnonzero(np.r_[np.diff(keys[order]) != 0, True]) + 1
+    los, his = [], []
+    for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        rows = order[start:end]
+        sets, size = [values[begin[r] : begin[r] + all_sizes[r]] for r in rows], all_sizes[rows]
+        if len(rows) == 2:
+            a, b, x = np.array([0]), np.array([1]), np.array([len(np.intersect1d(sets[0], sets[1], assume_unique=True))])
+        else:
+            shared = intersections(np.concatenate(sets), size)
+            a, b = np.nonzero(np.triu(shared, 1))
+            x = shared[a, b]
+        own, g = node[start:end], group[start:end]
+        true = (x >= SIMILARITY * (size[a] + size[b] - x) - 1e-9) & (g[a] != g[b])
+        a, b, x = a[true], b[true], x[true]
+        tree, _ = forest(len(own), a, b, -x, g)
+        los.append(np.minimum(own[a[tree]], own[b[tree]]))
+        his.append(np.maximum(own[a[tree]], own[b[tree]]))
+    return pa.table({"a": pa.array(np.concatenate(los), pa.int64()), "b": pa.array(np.concatenate(his), pa.int64())})
 
 
 def intersections(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -376,9 +406,9 @@ def intersections(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def minima_rows(nodes: DataFrame, hashes: range) -> DataFrame:
-    """Rows (node, n, grp, fingerprint, i, h): a row for each of the given min-wise hashes of a node."""
+    """Rows (node, grp, i, h): a row for each of the given min-wise hashes of a node. They are as narrow as can be, as all of them are shuffled."""
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("h")) for i in hashes]))
-    return nodes.filter("n > 0").select("node", "n", "grp", *FP, which.alias("k")).select("node", "n", "grp", *FP, "k.i", "k.h")
+    return nodes.filter("n > 0").select("node", "grp", which.alias("k")).select("node", "grp", "k.i", "k.h")
 
 
 def shared_by_groups(rows: DataFrame, *keys: str) -> DataFrame:
@@ -396,19 +426,21 @@ def deal(nodes: DataFrame, hashes: range) -> tuple[DataFrame, DataFrame]:
     hot = F.col("size") > HOT_NODES
     cuts = F.when(hot, F.ceil(F.col("size") / HOT_NODES)).otherwise(F.lit(1))
     common = hot & (F.pmod(F.xxhash64("node", "h"), F.greatest(F.expr(f"size div {COMMON}"), F.lit(1))) == 0)
-    met = rows.join(shared.select(F.col("i").alias("__i"), F.col("h").alias("__h"), "size"), (F.col("i") == F.col("__i")) & (F.col("h") == F.col("__h")))
+    met = rows.select("node", "i", "h").join(shared.select(F.col("i").alias("__i"), F.col("h").alias("__h"), "size"), (F.col("i") == F.col("__i")) & (F.col("h") == F.col("__h")))
     every = F.sequence(F.lit(0).cast("long"), cuts - 1)
     cut = F.explode(F.when(common, every).otherwise(F.array(F.pmod(F.xxhash64("h", "node"), cuts))))
-    dealt = met.select("node", "n", "grp", *FP, "i", "h", hot.alias("hot"), cut.alias("cut"))
-    return dealt.select(F.when(F.col("hot"), F.concat_ws("/", "i", "h", "cut")).otherwise(F.pmod(F.xxhash64("i", "h"), F.lit(shards)).cast("string")).alias("shard"), "node", "n", "grp", *FP, "i", "h"), shared
+    dealt = met.select("node", "i", "h", hot.alias("hot"), cut.alias("cut"))
+    dealt = dealt.select(F.when(F.col("hot"), F.concat_ws("/", "i", "h", "cut")).otherwise(F.pmod(F.xxhash64("i", "h"), F.lit(shards)).cast("string")).alias("shard"), "node", "i", "h")
+    return dealt.join(nodes.select("node", "n", "grp", *FP), "node"), shared
 
 
-def deal_exactly(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def deal_exactly(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (shard, bucket, node, n, grp, fingerprint): any two similar nodes of rows are in a bucket.
 
-    rows (node, n, grp, fingerprint, i, h) have the min-wise hashes of nodes, sets (node, s) all their shingles.
+    rows (node, grp, i, h) have the min-wise hashes of the nodes in question, nodes all that is known of nodes, sets
+    (node, s) all their shingles.
     """
-    members = rows.drop("i", "h").dropDuplicates(["node"])
+    members = nodes.select("node", "n", "grp", *FP).join(rows.select("node").distinct(), "node", "left_semi")
     each = sets.select("node", F.explode("s").alias("h"))
     often = materialize(each.groupBy("h").count().filter(F.col("count") > HOT_NODES).select("h"), "simhash-often")
     seldom = each.join(often, "h", "left_anti").groupBy("node").agg(F.array_sort(F.collect_list("h")).alias("seldom"))
@@ -418,7 +450,7 @@ def deal_exactly(rows: DataFrame, sets: DataFrame) -> DataFrame:
     split = materialize(split, "simhash-prefixes")
     columns = ["node", "n", "grp", *FP]
     first = split.select(*columns, F.lit(-1).alias("i"), F.explode("first").alias("h"))
-    short = rows.join(split.filter("short").select("node"), "node", "left_semi").select(*columns, "i", "h")
+    short = split.filter("short").select(*columns).join(rows.select("node", "i", "h"), "node").select(*columns, "i", "h")
     both = first.unionAll(short)
     shared = materialize(shared_by_groups(both, "i", "h"), "simhash-buckets")
     shards = max(1, -(-(shared.agg(F.sum("size")).first()[0] or 0) // SHARD_NODES))
@@ -477,25 +509,35 @@ def _classes(keyed: DataFrame, doc: str, text: str) -> DataFrame:
         texts = source.join(where, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r"))).select("node", "text")
         return materialize(shingle_sets(texts), "simhash-sets")
 
-    def united(asked: DataFrame, sets: DataFrame, links: DataFrame | None) -> DataFrame:
-        true = asked.join(sets, "node").select("shard", "node", "grp", "s").groupBy("shard").applyInArrow(true_links, "a long, b long")
-        return materialize(true if links is None else true.unionAll(links), "simhash-links")
-
-    links, groups = None, None
+    def united(asked: DataFrame, known: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """links and the true ones of the connected sets in asked."""
+        own = sets or sets_of(asked)
+        buckets = max(1, -(-asked.count() // VERIFIED))
+        met = asked.join(known.select("node", "grp"), "node").join(own, "node").withColumn("bucket", F.pmod("key", F.lit(buckets)))
+        true = met.groupBy("bucket").applyInArrow(true_links, "a long, b long")
+        out = materialize(true if links is None else true.unionAll(links), "simhash-links")
+        drop_table(own)
+        return out
+
+    links, groups, verified = None, None, None
     for part in (range(FIRST), range(HASHES)):
-        dealt, shared = deal(grouped(groups), part)
-        asked = dealt.groupBy("shard").applyInArrow(candidates, "shard string, node long")
-        asked = materialize(asked.join(grouped(groups).select("node", "grp"), "node"), "simhash-asked")
-        links = united(asked, sets_of(asked), links)
+        known = grouped(groups)
+        dealt, shared = deal(known, part)
+        asked = dealt.groupBy("shard").applyInArrow(candidates, "key long, node long").distinct()
+        if verified is not None:
+            asked = asked.join(verified.select("key").distinct(), "key", "left_anti")
+        verified = materialize(asked, "simhash-asked")
+        links = united(verified, known)
         groups = components(links)
-    cut = minima_rows(grouped(groups), range(HASHES)).join(shared.filter(F.col("size") > HOT_NODES).select("i", "h"), ["i", "h"])
-    cut = materialize(cut, "simhash-cut")
+    known = grouped(groups)
+    hot = shared.filter(F.col("size") > HOT_NODES).select("i", "h")
+    hot = F.broadcast(hot) if hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else hot
+    cut = materialize(minima_rows(known, range(HASHES)).join(hot, ["i", "h"]), "simhash-cut")
     cut = materialize(cut.join(shared_by_groups(cut, "i", "h").select("i", "h"), ["i", "h"]), "simhash-apart")
     if cut.limit(1).count():
         sets = sets_of(cut)
-        asked = deal_exactly(cut, sets).groupBy("shard").applyInArrow(bucket_candidates, "shard string, node long")
-        asked = materialize(asked.join(grouped(groups).select("node", "grp"), "node"), "simhash-asked")
-        links = united(asked, sets, links)
+        asked = deal_exactly(cut, known, sets).groupBy("shard").applyInArrow(bucket_candidates, "key long, node long").distinct()
+        links = united(materialize(asked.join(verified.select("key").distinct(), "key", "left_anti"), "simhash-asked"), known, sets)
         groups = components(links)
     root = F.coalesce("root", "node")
     of_nodes = materialize(nodes.join(groups, "node", "left").select("digest", "first", root.alias("root")), "simhash-groups")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -411,6 +412,33 @@ def test_warc_without_lengths(tmp_path):
     assert [r["payload"] for r in got] == [b"p0", b"p1", b"p2", b"p3", b"p4"]
 
 
+def test_warc_archives_of_others(spark, tmp_path):
+    import gzip
+
+    big = np.random.default_rng(1).bytes(300_000)
+    records = [warc.record(i, "u", p, hashlib.sha1(p).hexdigest(), None, "d") for i, p in enumerate([b"p0", big, b"", b"p3"])]
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "one.warc").write_bytes(b"".join(records))
+    (tmp_path / "a" / "b" / "two.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "three.warc.gz").write_bytes(b"".join(map(warc.member, records)))
+    for split in (64 << 20, 1000):
+        got = spark.read.format("warc").option("split_bytes", split).option("verify", "true").load(str(tmp_path)).collect() if warc.register(spark) is None else []
+        assert Counter((r["record_id"], bytes(r["payload"])) for r in got) == {(f"urn:x-page:{i}", p): 3 for i, p in enumerate([b"p0", big, b"", b"p3"])}
+
+
+def test_damaged_payloads_are_found(spark, tmp_path):
+    whole = warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None, "d")
+    other = warc.member(whole.replace(b"payload\r\n\r\n", b"payl0ad\r\n\r\n"))
+    packed = bytearray(warc.member(warc.record(1, "u", bytes(range(256)) * 9, hashlib.sha1(bytes(range(256)) * 9).hexdigest(), None, "d")))
+    packed[-5] ^= 1  # of the checksum
+    for i, data in enumerate((other, bytes(packed), bytes(packed[:-20]))):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "x.warc.gz").write_bytes(data)
+        reader = warc.WarcReader({"path": str(tmp_path / str(i)), "verify": "true", "payload": "false"})
+        with pytest.raises((ValueError, zlib.error)):
+            [list(reader.read(p)) for p in reader.partitions()]
+
+
 # chat
 
 
