@@ -1,6 +1,7 @@
 """The ten operators: brute force, exact round trips, and the cases that every one must bear."""
 
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -127,10 +128,10 @@ PAGE = (
 
 
 def test_main_text():
-    assert html_tree.main_text(html_tree.parse(PAGE)[0], set()) == "A & B\n\nFirst line <x>\n\nSecond bolded\n\nsame everywhere"
+    assert html_tree.main_text(html_tree.parse(PAGE)[0], html_tree.no_branch) == "A & B\n\nFirst line <x>\n\nSecond bolded\n\nsame everywhere"
     for text in ("", "plain", "<p>a<", "<", "<p", "a < b", "<!-- x", "<script>x", "<b>x</b></p></div>", "<p title='>'>q", "</", "<div" + " a" * 50):
-        assert isinstance(html_tree.main_text(html_tree.parse(text)[0], set()), str)
-    assert html_tree.main_text(html_tree.parse("a < b <p>c&nbsp;&nbsp;d")[0], set()) == "a < b\n\nc d"
+        assert isinstance(html_tree.main_text(html_tree.parse(text)[0], html_tree.no_branch), str)
+    assert html_tree.main_text(html_tree.parse("a < b <p>c&nbsp;&nbsp;d")[0], html_tree.no_branch) == "a < b\n\nc d"
 
 
 @pytest.mark.parametrize(("page", "text"), [
@@ -140,16 +141,19 @@ def test_main_text():
     ('<article><p>a</p><p class="ad">buy<p>b</p><p class="lead">c</p></article>', "a\n\nb\n\nc"),
     ('<body class="has-sidebar header-fixed"><article><header><h1>t</h1><p>by me</p></header><p>a</p></article></body>', "t\n\nby me\n\na"),
     ('<body><div class="cookie-notice">c</div><div><ul><li><a href="/">home</a></li></ul><p>text of a page</p></div>', "text of a page"),
+    ('<article><div class="social-science"><p>a</p></div><div class="related-work"><p>b</p></div><div class="ad-blocker-review c5 c4 c3 c2 c1">c</div></article>', "a\n\nb\n\nc"),
+    ('<article><p>Call <label>me</label> now <button>b</button> end</p><form><label>mail</label></form></article>', "Call me now b end"),
+    ('<article><p>a</p><section class="comment-list"><p>reader</p></section><div id="related-posts">r</div></article>', "a"),
     ('<article><div class="share-buttons"><a>x</a></div><p>a</p><aside>q</aside><footer>f</footer></article>', "a"),
 ])
 def test_parts_that_are_no_article(page, text):
-    assert html_tree.main_text(html_tree.parse(page)[0], set()) == text
+    assert html_tree.main_text(html_tree.parse(page)[0], html_tree.no_branch) == text
 
 
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/abpdiv=\"' !-\n&;", max_size=60))
 def test_parser_bears_anything(text):
-    html_tree.main_text(html_tree.parse(text)[0], set())
+    html_tree.main_text(html_tree.parse(text)[0], html_tree.no_branch)
 
 
 def test_style_tree_removes_what_a_host_repeats(spark):
@@ -167,6 +171,64 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert html_tree.extract(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_is_that_of_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    seen, shown = defaultdict(Counter), defaultdict(Counter)
+    for r in pages.collect():
+        host = re.match("[^:]*://([^/?#]*)", r["url"] or "")
+        if not host:
+            continue
+        blocks, children = html_tree.parse(r["html"] or "")
+        texts = defaultdict(list)
+        for b in blocks:
+            if not b.cut:
+                texts[b.branch].append(b.text)
+        for branch, t in texts.items():
+            seen[host[1].lower(), branch]["\n".join(t)] += 1
+        for branch, tags in children.items():
+            shown[host[1].lower(), branch][" ".join(tags)] += 1
+    entropy = lambda c: -sum(n / c.total() * np.log(n / c.total()) for n in c.values()) / np.log(c.total()) if c.total() >= 3 else 1.0
+    weight = lambda c: sum(len(t) * n for t, n in c.items())
+    want = {}
+    for host, branch in {(h, x) for h, b in seen for x in ["", *html_tree.above(b)]}:
+        beneath = [c for (h, b), c in seen.items() if h == host and (b == branch or b.startswith(branch + ">"))]
+        below = sum(entropy(c) * weight(c) for c in beneath) / sum(map(weight, beneath))
+        want[host, branch] = 0.1 * entropy(shown[host, branch]) + 0.9 * below if (host, branch) in shown else below
+    got = {(r["host"], r["branch"]): r["importance"] for r in html_tree.style_tree(pages).filter("NOT marked").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 100
+
+
+def test_every_page_of_the_tables_gives_its_article(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)
+        parts = re.split(r"</?(?:p|h1|li|ul|div)[^>]*>", re.sub(r"<br ?/?>", " ", inside[1]))
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in parts]
+        want[r["page_id"]] = "\n\n".join(filter(None, blocks))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_tree.extract(pages).collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()} and len(got) == 250
+
+
+@pytest.mark.parametrize("bound", [250_000, 0])
+def test_removed_branches_beyond_the_broadcast(spark, monkeypatch, bound):
+    monkeypatch.setattr(html_tree, "BROADCAST_BRANCHES", bound)
+    rng = random.Random(21)
+    long = prose(rng, 40_000)
+    page = lambda i: f'<div class="box">Subscribe to us today</div><div class="body"><p>{i} {long if i == 3 else prose(rng, 9)}</p></div>'
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i)) for i in range(12)] + [(None, "http://a.example/", None), (7, None, page(7)), (7, None, page(7)), (7, None, page(7))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "low", "branch", "__file", "__row", "text")})
+    got = Counter((r["page_id"], r["url"], r["text"].partition(" ")[0]) for r in html_tree.extract(df).collect())
+    assert got == Counter({(i, f"http://{'ab'[i % 2]}.example/{i}", str(i)): 1 for i in range(12)} | {(None, "http://a.example/", ""): 1, (7, None, "Subscribe"): 3})
+    assert branch_keys(spark)
+
+
+def branch_keys(spark):
+    pairs = [("h.example", ">html>body.#"), ("", ""), ("é", "x" * 100)]
+    got = spark.createDataFrame(pairs, "h string, b string").select(F.xxhash64("h", "b")).collect()
+    return [r[0] for r in got] == [html_tree.branch_key(*p) for p in pairs]
+
+
 def test_articles_stay_though_copied(spark):
     rows = [(i, "http://h/", "<body><nav>x</nav><article><p>the same passage</p></article></body>") for i in range(9)]
     assert {r["text"] for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"the same passage"}
