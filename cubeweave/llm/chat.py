@@ -7,7 +7,9 @@ long, has to fit one row; the parts in order make up the whole rendering.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubeweave.ranking import rank_in_groups
@@ -16,6 +18,21 @@ PART = 64
 END = "<|end|>\n"
 
 
+def escaped_text(c: Column) -> Column:
+    r"""Text in which no marker can stand: `<|` becomes `<\|` and `<\` becomes `<\\`; original_text() undoes it."""
+    return F.replace(F.replace(c, F.lit("<\\"), F.lit("<\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
+def escaped_role(c: Column) -> Column:
+    r"""A role on one line and without bars: `\`, `|` and line feed become `\\`, `\p` and `\n`."""
+    return F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p")), F.lit("\n"), F.lit("\\n"))
+
+
+def original_text(text: str) -> str:
+    """What escaped_text() was given."""
+    return re.sub(r"<\\([\\|])", r"<\1", text)
+
+
 def render(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, speaker, part, n_turns, n_trained, text, masks for every participant of every conversation.
 
@@ -23,7 +40,8 @@ def render(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     rendered as `<|assistant|>\\n` or `<|user name=ROLE|>\\n`, its text and `<|end|>\\n`. masks are the
     (start, end) code points of the part's text that are trained on: the speaker's texts with their end marks.
     Null turn numbers sort first, null texts are empty, null roles are the participant `unknown`, null conv_ids
-    one conversation. An empty table gives no rows; extra columns are ignored.
+    one conversation. Roles and texts that hold markers are escaped, so no turn can be forged; texts and dialogues of
+    any length are rendered whole. An empty table gives no rows; extra columns are ignored.
     """
     turns = conversations.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"),
@@ -34,8 +52,8 @@ def render(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     speakers = turns.select(F.col("conv_id").alias("__conv"), F.col("role").alias("speaker")).distinct()
     views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv")))
     own = lambda t: t["role"] == F.col("speaker")
-    head = lambda t: F.when(own(t), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
-    body = lambda t: F.concat(t["text"], F.lit(END))
+    head = lambda t: F.when(own(t), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), escaped_role(t["role"]), F.lit("|>\n")))
+    body = lambda t: F.concat(escaped_text(t["text"]), F.lit(END))
     cut = views.select("conv_id", "speaker", "part", F.transform("turns", lambda t: F.struct(own(t).alias("own"), head(t).alias("head"), body(t).alias("body"))).alias("cut"))
     span = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
     masks = F.aggregate(

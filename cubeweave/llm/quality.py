@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubeweave.scratch import materialize
+
 SPACE = "\\x20\\x09-\\x0D"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -41,6 +43,7 @@ RULES = (
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": tuple(r.name for r in RULES),
+    "v2": ("too_few_words", "repeated_windows", "symbol_heavy", "duplicate_lines"),
 }
 
 
@@ -116,6 +119,11 @@ def ledger(documents: DataFrame, **options) -> DataFrame:
     return rows.withColumn("fail_bits", bits.cast("long"))
 
 
+def stored_ledger(documents: DataFrame, **options) -> DataFrame:
+    """ledger(), written in the shared folder and read back: policies and ablations over it read no text."""
+    return materialize(ledger(documents, **options), "quality-ledger")
+
+
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
     """Adds kept_<policy> to a ledger."""
     return rows.withColumn(f"kept_{policy}", F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0)
@@ -137,21 +145,30 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def judge(documents: DataFrame, *, policy: str = "v1", **options) -> DataFrame:
-    """The ledger with base_failed (policy base) and kept (the given policy, which has base's rules).
+def judge(documents: DataFrame, *, policy: str = "v1", others: Sequence[str] = (), **options) -> DataFrame:
+    """The stored ledger with base_failed (policy base), kept (the given policy, which has base's rules) and kept_<policy> of the others.
 
     Null or empty texts have no words and fail. Rows with null or repeated ids are kept as they are; extra
     columns are ignored unless named in keep; an empty table gives no rows.
     """
+    return verdicts(stored_ledger(documents, **options), policy, others)
+
+
+def verdicts(rows: DataFrame, policy: str, others: Sequence[str] = ()) -> DataFrame:
+    """A ledger with base_failed, kept and kept_<policy> of other policies."""
     if mask("base") & ~mask(policy):
         raise ValueError("a policy has the base rules at least")
-    rows = apply_policy(ledger(documents, **options), policy)
+    for p in (policy, *others):
+        rows = apply_policy(rows, p)
     return rows.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(mask("base"))) != 0).withColumnRenamed(f"kept_{policy}", "kept")
 
 
 def without_rejected(documents: DataFrame, *, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents that a policy keeps, with all their columns."""
+    """The rows of documents that a policy keeps, with all their columns.
+
+    The ledger isn't stored here: rows go through it and on, so no text has to meet its verdict by a shuffle.
+    """
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = judge(plain, policy=policy, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=plain.columns)
+    rows = verdicts(ledger(plain, id_col=f"c{names.index(id_col)}", text_col=f"c{names.index(text_col)}", keep=plain.columns), policy)
     return rows.filter("kept").select(*plain.columns).toDF(*names)

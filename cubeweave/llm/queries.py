@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from cubeweave.llm.chat import render
 from cubeweave.llm.html_tree import extract
 from cubeweave.llm.mixing import BLOCK_ROWS, mix
-from cubeweave.llm.quality import judge
+from cubeweave.llm.quality import POLICIES, RULES, ablations, judge, mask, stored_ledger
 from cubeweave.llm.sentencepieces import encode_documents
 from cubeweave.llm.sharding import shard_documents
 from cubeweave.llm.simhash import near_duplicates
@@ -75,9 +76,15 @@ def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measurements and verdicts of every whole text."""
-    found = judge(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "fail_bits")
+    """Measurements of every whole text, and the verdicts of two policies on the stored ledger."""
+    found = judge(table(spark, sf_dir, "documents"), others=("v2",))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_v2", "n_lines", "fail_bits")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, over the stored ledger of all documents."""
+    rows = stored_ledger(table(spark, sf_dir, "documents"))
+    return reduce(DataFrame.unionAll, [ablations(rows, p).select(F.lit(p).alias("policy"), "*") for p in ("base", "v1", "v2")])
 
 
 def op9_pfair_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +108,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_perspectives": op8_perspectives,
     "op9_pfair_mixture": op9_pfair_mixture,
     "op10_exact_top_k": op10_exact_top_k,
+    "quality_ablations": quality_ablations,
 }
 
 
-
 def url_sql() -> str:
     """op4 in SQL: the template tree, a level after the other."""
     cases = sorted(URL_RULES, key=lambda r: -len(r[1]))
@@ -197,10 +204,8 @@ def mixing_sql() -> str:
     """
 
 
-ORACLES: dict[str, str] = {
-    "op1_kd_tree_shards": sharding_sql(),
-    "op4_url_templates": url_sql(),
-    "op5_quality_rules": r"""
+#: The measurements and failure bits of op5, as table f.
+LEDGER_SQL = r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (
             SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -222,8 +227,25 @@ ORACLES: dict[str, str] = {
             SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > n_words)::INT
                 + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars > 40 * n_words)::INT + 32 * (word_chars < n_words * 3 // 2)::INT AS BIGINT) AS fail_bits FROM m
         )
-        SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
-    """,
+"""
+
+
+def ablations_sql() -> str:
+    """What follows LEDGER_SQL to count each policy's rules."""
+    bits = {r.name: 1 << r.bit for r in RULES}
+    pairs = ", ".join(f"('{p}', {mask(p)}, '{r}', {bits[r]})" for p in ("base", "v1", "v2") for r in POLICIES[p])
+    return f"""
+        SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & whole = bit) AS rejected_alone,
+               count(*) FILTER (fail_bits & whole = 0) AS kept_with, count(*) FILTER (fail_bits & whole & ~bit = 0) AS kept_without
+        FROM f, (VALUES {pairs}) AS p(policy, whole, rule, bit) GROUP BY policy, rule
+    """
+
+
+ORACLES: dict[str, str] = {
+    "op1_kd_tree_shards": sharding_sql(),
+    "op4_url_templates": url_sql(),
+    "op5_quality_rules": LEDGER_SQL + "SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits & 15 = 0 AS kept_v2 FROM f",
+    "quality_ablations": LEDGER_SQL + ablations_sql(),
     "op6_simhash_graph": r"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         n AS (SELECT t, min(doc_id) AS node FROM d GROUP BY t),
@@ -258,15 +280,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f
     """,
-    "op8_perspectives": """
+    "op8_perspectives": r"""
         WITH t AS (
             SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
             FROM conversations
         ), v AS (
             SELECT t.*, s.speaker, t.role = s.speaker AS own,
-                   CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head,
-                   t.text || '<|end|>' || chr(10) AS body
+                   CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10)
+                        ELSE '<|user name=' || replace(replace(replace(t.role, '\', '\\'), '|', '\p'), chr(10), '\n') || '|>' || chr(10) END AS head,
+                   replace(replace(t.text, '<\', '<\\'), '<|', '<\|') || '<|end|>' || chr(10) AS body
             FROM t JOIN (SELECT DISTINCT conv_id, role AS speaker FROM t) s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
         ), o AS (
             SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, pos // 64 ORDER BY pos) AS e FROM v
