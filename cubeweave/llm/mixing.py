@@ -13,7 +13,7 @@ import heapq
 from bisect import bisect_right
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeweave.ranking import rank_in_groups
@@ -120,3 +120,18 @@ def mixed(documents: DataFrame, tickets: Mapping[str, int] | None = None, **opti
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.join(places, ["__file", "__row"]).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place")
     return ordered.select(*keyed.columns[: len(names)]).toDF(*names)
+
+
+def with_places(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """A table that mixed() gave, written and read again, with the place of every row in the mixture: 0, 1, ...
+
+    The order is that of the files and of the rows in them, so it survives however Spark splits the files. An
+    empty table gives no rows; a column of that name is replaced.
+    """
+    names = ordered.columns
+    keyed = with_row_keys(ordered)
+    files = keyed.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = files.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))  # a row a file
+    placed = keyed.join(offsets, "__file").withColumn("__place", (F.col("__before") + F.col("__row")).cast("long"))
+    return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != name], F.col("__place").alias(name))

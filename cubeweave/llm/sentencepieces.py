@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,14 +96,17 @@ def crossing(model_path: str) -> str:
     return f"pieces such as {crosses[0]!r}" if crosses else ""
 
 
-def encode_documents(documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; with keep_ids also ids and decoded.
+def encode_documents(documents: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; with keep_ids also ids and decoded; and the columns named in keep.
 
     As the library's encode(text) and decode(ids), without begin and end ids. Null texts count as empty and
     have no ids (hashes of the empty string). Texts of any length are encoded whole. Rows with null or
     repeated ids are kept; extra columns are ignored. model_path must be readable on every executor.
     """
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep_ids
+    kinds = dict(documents.dtypes)
+    fields += "".join(f", {c} {kinds[c]}" for c in keep)
+    given = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path)
@@ -119,7 +122,7 @@ def encode_documents(documents: DataFrame, model_path: str, *, id_col: str = "do
                         out[4].append(ids)
                         out[5].append(decoded)
                 types = [pa.int64(), pa.int64(), *[pa.string()] * 4][: 4 + 2 * keep_ids]
-                columns = [part.column(0), *(pa.array(x, t) for x, t in zip(out[1:], types[1:], strict=False))]
+                columns = [part.column(0), *(pa.array(x, t) for x, t in zip(out[1:], types[1:], strict=False)), *(part.column(2 + i) for i in range(len(keep)))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in fields.split(", ")])
 
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, fields)
+    return given.mapInArrow(run, fields)
