@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubeweave.llm.mixing import mixed
+from cubeweave.llm.mixing import mixed, with_places
 from cubeweave.llm.quality import without_rejected
 from cubeweave.llm.queries import MIX_TICKETS, tokenizer
 from cubeweave.llm.sentencepieces import encode_documents
@@ -23,13 +23,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture."""
+    """All documents in the order of the mixture: that of the files and of the rows in them."""
     return mixed(docs, MIX_TICKETS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
-    return encode_documents(docs, tokenizer("piece_bpe_32k.model"))
+    """Token counts and digests of ids and decoded texts, with every document's place in the mixture."""
+    return encode_documents(with_places(docs), tokenizer("piece_bpe_32k.model"), keep=("place",))
 
 
 STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("mixing", mixture), ("sentencepiece", encoding)]
