@@ -74,3 +74,8 @@ def normal_likelihood(x: Column, scale: Column) -> Column:
 
     root = scale * (2.0**0.5)
     return F.greatest((erfc((F.abs(x) - 0.5) / root) - erfc((F.abs(x) + 0.5) / root)) / 2, F.lit(1e-9))
+
+
+def noisy(x: Column, key: Column, seed: int) -> Column:
+    """x with noise from -0.5 to 0.5 drawn from a whole number and a seed: what stands for rounding in training."""
+    return x + F.pmod(F.pmod(key, F.lit(2147483647)) * 1103515245 + seed * 12345, F.lit(2147483648)) / 2147483648.0 - 0.5

@@ -51,6 +51,12 @@ def moments(rows: DataFrame, n: int, bound: float) -> tuple[int, np.ndarray, np.
     return int(round(total[0])), total[1 : 1 + n], total[1 + n :].reshape(n, n)
 
 
+def covariance(rows: DataFrame, n: int) -> np.ndarray:
+    """Sample covariance [n, n] of all residuals of rows (orig, recon)."""
+    count, sums, products = moments(rows, n, -1.0)
+    return (products - np.outer(sums, sums) / count) / (count - 1)
+
+
 def fit(rows: DataFrame, eps: float, n: int = 64, factor: float = 2.0, components: int | None = None) -> Basis | None:
     """The basis of the violators, by falling eigenvalue; None if nothing violates. Fewer than n violators get the unit vectors."""
     if not 0 < factor <= 2:

@@ -211,3 +211,91 @@ def from_planes(streams: Sequence[bytes], n: int) -> np.ndarray:
     for b, s in enumerate(streams):
         out |= np.unpackbits(np.frombuffer(unzstd(s), np.uint8), count=n, bitorder="little").astype(np.uint64) << np.uint64(b)
     return out
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
+class MonotonePrior:
+    """A cumulative distribution given by a network that can only rise: layers softplus(weight) x + bias, each but the
+    last bent by tanh(bend) tanh(x), and a sigmoid at the end. The weights are given; nothing is trained here.
+
+    weights: [out, in] for each layer, the first of one input and the last of one output; biases [out]; bends [out].
+    """
+
+    def __init__(self, weights: Sequence[np.ndarray], biases: Sequence[np.ndarray], bends: Sequence[np.ndarray], least: float = 1e-9) -> None:
+        self.weights, self.biases, self.bends, self.least = [np.logaddexp(0, w) for w in weights], list(biases), [np.tanh(b) for b in bends], least
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        y = np.asarray(x, np.float64).reshape(1, -1)
+        for k, (w, b) in enumerate(zip(self.weights, self.biases, strict=True)):
+            y = w @ y + b[:, None]
+            if k < len(self.bends):
+                y = y + self.bends[k][:, None] * np.tanh(y)
+        return y[0]
+
+    def cdf(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.logits(x))
+
+    def likelihood(self, x: np.ndarray) -> np.ndarray:
+        """Probability of the unit bin around x, on the side where the sigmoid keeps its digits."""
+        high, low = self.logits(np.asarray(x) + 0.5), self.logits(np.asarray(x) - 0.5)
+        sign = np.where(high + low > 0, -1.0, 1.0)
+        return np.maximum(np.abs(sigmoid(sign * high) - sigmoid(sign * low)), self.least)
+
+    def inverse(self, p: np.ndarray, low: float = -1e4, high: float = 1e4, rounds: int = 80) -> np.ndarray:
+        """Where the distribution reaches p, by bisection."""
+        a, b = np.full(np.shape(p), low), np.full(np.shape(p), high)
+        for _ in range(rounds):
+            m = (a + b) / 2
+            under = self.cdf(m) < p
+            a, b = np.where(under, m, a), np.where(under, b, m)
+        return (a + b) / 2
+
+    def sample(self, n: int, seed: int) -> np.ndarray:
+        return self.inverse(np.random.default_rng(seed).random(n))
+
+    def table(self, reach: int = 30) -> tuple[int, list[int]]:
+        """(first symbol, 16-bit CDF) over reach symbols on either side of the median; the last entry, the escape, has the mass of both tails."""
+        median = math.ceil(float(self.inverse(np.array([0.5]))[0]) - 0.5)
+        k = np.arange(median - reach, median + reach + 1)
+        tail = float(self.cdf(np.array([k[0] - 0.5]))[0] + 1 - self.cdf(np.array([k[-1] + 0.5]))[0])
+        return int(k[0]), quantized_cdf([*self.likelihood(k), max(tail, self.least)])
+
+
+class LatentCoder:
+    """Compresses rows (sid, y, z) of latents and hyper-latents, arrays of equal length: z under the prior's table, y under
+    normal tables whose scale is scale_of(z). Everything the decoder needs but the prior is in the two payloads."""
+
+    def __init__(self, prior: MonotonePrior, levels: int = 32, support: int = 31) -> None:
+        first, cdf = prior.table()
+        scales, tables, offset = gaussian_tables(levels, support=support)
+        self.state = (first, cdf, scales, tables, offset)
+
+    def compress(self, rows: DataFrame) -> DataFrame:
+        """(sid, n, z_payload, y_payload)."""
+        state = self.state
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, cdf, scales, tables, offset = state
+            for b in batches:
+                ys, zs = b.column("y").to_pylist(), b.column("z").to_pylist()
+                z_data = [encode(z, [0] * len(z), [cdf], first) for z in zs]
+                y_data = [encode(y, [scale_row(float(k), scales) for k in z], tables, offset) for y, z in zip(ys, zs, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(map(len, ys), pa.int64()), pa.array(z_data, pa.binary()), pa.array(y_data, pa.binary())], names=["sid", "n", "z_payload", "y_payload"])
+
+        return rows.select("sid", "y", "z").mapInArrow(run, "sid long, n long, z_payload binary, y_payload binary")
+
+    def decompress(self, coded: DataFrame) -> DataFrame:
+        """(sid, y, z)."""
+        state = self.state
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, cdf, scales, tables, offset = state
+            for b in batches:
+                zs = [decode(p, [0] * n, [cdf], first) for p, n in zip(b.column("z_payload").to_pylist(), b.column("n").to_pylist(), strict=True)]
+                ys = [decode(p, [scale_row(float(k), scales) for k in z], tables, offset) for p, z in zip(b.column("y_payload").to_pylist(), zs, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(ys, pa.list_(pa.int64())), pa.array(zs, pa.list_(pa.int64()))], names=["sid", "y", "z"])
+
+        return coded.select("sid", "n", "z_payload", "y_payload").mapInArrow(run, "sid long, y array<bigint>, z array<bigint>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -208,30 +209,74 @@ def decimate(cells: DataFrame, step: int, axis: str = "w") -> DataFrame:
     return cells.filter(F.col(axis) % step == 0).withColumn(axis, div(F.col(axis), step))
 
 
-def random_crop(cells: DataFrame, size: tuple[int, int], to: tuple[int, int], seed: int) -> DataFrame:
-    """A crop per (v, s, t) whose corner is drawn from a hash of its key and the seed; smaller frames are padded with zeros."""
+def drawn(seed: int, axis: int, n: int | Column, keys: Sequence[str] = ("v", "s", "t")) -> Column:
+    """A number below n for each key and axis: a multiplicative hash that any SQL can compute, so draws can be repeated anywhere."""
+    mixed = sum((F.pmod(F.col(k), F.lit(1000003)) * m for k, m in zip(keys, (73856093, 19349663, 83492791), strict=False)), F.lit(axis * 2971215073 + seed * 433494437))
+    return F.pmod(F.pmod(mixed, F.lit(2147483647)), n if isinstance(n, Column) else F.lit(n)).cast("long")
+
+
+def decimate_randomly(cells: DataFrame, steps: Sequence[int], seed: int, axis: str = "w") -> DataFrame:
+    """decimate with a step drawn for each (v, s, t)."""
+    step = F.element_at(F.array(*map(F.lit, steps)), (drawn(seed, 2, len(steps)) + 1).cast("int"))
+    return cells.withColumn("__step", step).filter(F.col(axis) % F.col("__step") == 0).withColumn(axis, div(F.col(axis), F.col("__step"))).drop("__step")
+
+
+def random_crop(cells: DataFrame, size: tuple[int, int], to: tuple[int, int], seed: int, pad: str = "zero") -> DataFrame:
+    """A crop per (v, s, t) whose corner is drawn from its key and the seed; smaller frames are padded, centred, with zeros or by reflection."""
     if to[0] > size[0] or to[1] > size[1]:
-        return pad_zero(cells, size, to)
-    draw = lambda axis, n: F.pmod(F.xxhash64("v", "s", "t", F.lit(axis), F.lit(seed)), F.lit(n + 1))
-    y, x = draw(0, size[0] - to[0]), draw(1, size[1] - to[1])
+        if pad == "zero":
+            return pad_zero(cells, size, to)
+        block = tuple(max(a, b) for a, b in zip(to, size, strict=True))
+        return block_split(cells, size, block).select(*AXES, "x")
+    y, x = drawn(seed, 0, size[0] - to[0] + 1), drawn(seed, 1, size[1] - to[1] + 1)
     moved = cells.withColumn("h", F.col("h") - y).withColumn("w", F.col("w") - x)
     return moved.filter(F.col("h").between(0, to[0] - 1) & F.col("w").between(0, to[1] - 1))
 
 
-def resample(cells: DataFrame, size: tuple[int, int], to: tuple[int, int]) -> DataFrame:
-    """Bilinear resampling with half-pixel centres: every source cell gives weighted parts to the places it reaches."""
-    def parts(axis: str, have: int, want: int) -> Column:
-        rows = []
-        for o in range(want):
-            c = min(max((o + 0.5) * have / want - 0.5, 0.0), have - 1.0)
-            i = int(c)
-            for j, wt in ((i, 1 - (c - i)), (min(i + 1, have - 1), c - i)):
-                if wt:
-                    rows.append(F.struct(F.lit(j).cast("long").alias("i"), F.lit(o).cast("long").alias("o"), F.lit(wt).alias("wt")))
-        return F.filter(F.array(*rows), lambda r: r["i"] == F.col(axis))
-
-    spread = cells.select("v", "s", "t", F.explode(parts("h", size[0], to[0])).alias("a"), "w", "x").select("v", "s", "t", "a", F.explode(parts("w", size[1], to[1])).alias("b"), "x")
-    return spread.groupBy("v", "s", "t", F.col("a.o").alias("h"), F.col("b.o").alias("w")).agg(F.sum(F.col("x") * F.col("a.wt") * F.col("b.wt")).alias("x"))
+def weights(have: int, want: int, kind: str = "linear") -> list[tuple[int, int, float]]:
+    """(source place, place, weight) for resampling an axis, with half-pixel centres and edges that repeat; cubic is Keys' kernel with a = -0.75."""
+    def cubic(d: float, a: float = -0.75) -> float:
+        d = abs(d)
+        return (a + 2) * d**3 - (a + 3) * d**2 + 1 if d <= 1 else a * (d**3 - 5 * d**2 + 8 * d - 4) if d < 2 else 0.0
+
+    found: dict[tuple[int, int], float] = {}
+    for o in range(want):
+        c = (o + 0.5) * have / want - 0.5
+        c = min(max(c, 0.0), have - 1.0) if kind == "linear" else c
+        i = math.floor(c)
+        for k in (0, 1) if kind == "linear" else (-1, 0, 1, 2):
+            wt = max(0.0, 1 - abs(c - i - k)) if kind == "linear" else cubic(c - i - k)
+            at = (min(max(i + k, 0), have - 1), o)
+            found[at] = found.get(at, 0.0) + wt
+    return [(i, o, wt) for (i, o), wt in found.items() if wt]
+
+
+def _from(axis: str):
+    return lambda r: r["i"] == F.col(axis)
+
+
+def resample(cells: DataFrame, size: Sequence[int], to: Sequence[int], kind: str = "linear") -> DataFrame:
+    """Resampling of (h, w), or of (t, h, w) where three sizes are given: every source cell gives weighted parts to the
+    places it reaches, which are added up within the task before the shuffle. kind: linear or cubic."""
+    axes = ("t", "h", "w")[-len(size) :]
+    spread = cells
+    for axis, have, want in zip(axes, size, to, strict=True):
+        parts = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(o).cast("long").alias("o"), F.lit(wt).alias("wt")) for i, o, wt in weights(have, want, kind)])
+        spread = spread.withColumn("__p", F.explode(F.filter(parts, _from(axis)))).withColumn("x", F.col("x") * F.col("__p.wt")).withColumn(axis, F.col("__p.o")).drop("__p")
+    return spread.groupBy(*AXES).agg(F.sum("x").alias("x"))
+
+
+def coarse_means(cells: DataFrame, k: int) -> DataFrame:
+    """Means over k x k cells of each frame."""
+    return cells.groupBy("v", "s", "t", div(F.col("h"), k).alias("h"), div(F.col("w"), k).alias("w")).agg(F.avg("x").alias("x"))
+
+
+def recover_input(blocks: DataFrame, params: DataFrame, size: tuple[int, int], block: tuple[int, int], frames: int | Column | None = None) -> DataFrame:
+    """Frames as they were given, of normalised blocks (v, s, t, h, w, x): un-blocked, with offset and scale of each
+    variable put back, and cut to so many frames if a number is given."""
+    merged = block_merge(blocks, size, block).join(params.select("v", "offset", "scale"), "v")
+    whole = merged.select("v", "s", "t", "h", "w", (F.col("x") * F.col("scale") + F.col("offset")).alias("x"))
+    return whole if frames is None else tail_trim(whole, frames)
 
 
 def slice_grid(shape: tuple[int, int, int], block: tuple[int, int, int]) -> list[tuple[int, ...]]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from cubeweave.functions.index import div
 from cubeweave.operators.entropy import unzstd, zstd
+from cubeweave.operators.layout import keyframes
 
 Coder = tuple[Callable[[np.ndarray], bytes], Callable[[bytes, tuple[int, ...]], np.ndarray]]
 STEP = 1 / 4096
@@ -83,3 +87,13 @@ PREDICTORS: dict[str, Coder] = {"mean": (mean_encode, mean_decode), "coarse4": (
 def register(name: str, encode: Callable[[np.ndarray], bytes], decode: Callable[[bytes, tuple[int, ...]], np.ndarray]) -> None:
     """A predictor of one's own, such as a network: it must be deterministic, for the encoder runs its decoder."""
     PREDICTORS[name] = (encode, decode)
+
+
+def interpolated(cells: DataFrame, step: int = 3, keys: Sequence[str] = ("v",)) -> DataFrame:
+    """(keys, t, y): each cell from the keyframes beside it, those at multiples of step, linearly; at the ends, from the one there is."""
+    kept = keyframes(cells, step).select(*keys, F.col("t").alias("__kt"), F.col("x").alias("__kx"))
+    near = cells.select(*keys, "t", F.explode(F.array_distinct(F.array(div(F.col("t"), step) * step, div(F.col("t") + step - 1, step) * step))).alias("__kt"))
+    met = near.join(kept, [*keys, "__kt"])
+    a = met.groupBy(*keys, "t").agg(F.min("__kt").alias("a"), F.max("__kt").alias("b"), F.min_by("__kx", "__kt").alias("xa"), F.max_by("__kx", "__kt").alias("xb"))
+    y = F.when(F.col("a") == F.col("b"), F.col("xa")).otherwise(F.col("xa") + (F.col("xb") - F.col("xa")) * (F.col("t") - F.col("a")) / (F.col("b") - F.col("a")))
+    return a.select(*keys, "t", y.alias("y"))

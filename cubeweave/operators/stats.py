@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,3 +118,32 @@ def rate_bits(symbols: DataFrame, keys: Sequence[str]) -> DataFrame:
     total = symbols.groupBy("channel").agg(F.count("*").alias("__all"))
     p = model.join(total, "channel").select("channel", "symbol", (-F.log2(F.col("__n") / F.col("__all"))).alias("__bits"))
     return counts.join(p, ["channel", "symbol"]).groupBy(*keys).agg(F.sum(F.col("count") * F.col("__bits")).alias("bits"), F.sum("count").alias("n"))
+
+
+def running_stats(blocks: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds run_min, run_max, run_abs, run_zeros and run_bytes, over the blocks up to each one, to rows of block_stats with payload bytes."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    of = {"run_min": F.min("d_min"), "run_max": F.max("d_max"), "run_abs": F.sum("d_abs"), "run_zeros": F.sum("zeros"), "run_bytes": F.sum("bytes")}
+    return blocks.select("*", *[f.over(w).alias(c) for c, f in of.items()])
+
+
+def moving_average(rows: DataFrame, keys: Sequence[str], order: str, beta: float) -> DataFrame:
+    """keys and the exponential moving average of x in order of a column: average * beta + (1 - beta) * x, beginning with the first."""
+    series = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "x"))), lambda e: e["x"]).alias("__xs"))
+    later = F.slice("__xs", 2, F.size("__xs"))
+    return series.select(*keys, F.aggregate(later, F.get("__xs", F.lit(0)).cast("double"), lambda a, x: a * beta + (1 - beta) * x).alias("average"))
+
+
+def bound_check(pairs: DataFrame, keys: Sequence[str], patch: str, eps: float, n: int) -> DataFrame:
+    """keys, patches, violating and nrmse: how many patches of n cells are further than eps * sqrt(n) * range from what
+    predicts them, and the NRMSE, both over the range of all x, which is a scalar of the plan."""
+    span = pairs.agg((F.max("x") - F.min("x")).alias("r"))
+    r = span.scalar()
+    per = pairs.groupBy(*keys, patch).agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("e"))
+    return per.groupBy(*keys).agg(F.count("*").alias("patches"), F.count_if(F.sqrt("e") > eps * n**0.5 * r).alias("violating"), (F.sqrt(F.sum("e") / (n * F.count("*"))) / F.max(r)).alias("nrmse"))
+
+
+def member_bytes(sizes: DataFrame, keys: Sequence[str], members: Mapping[str, Column]) -> DataFrame:
+    """Rows (keys, member, bytes): the bytes of every member of an archive's blocks, added up."""
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("member"), c.cast("long").alias("bytes")) for m, c in members.items()]))
+    return sizes.select(*keys, one.alias("__m")).groupBy(*keys, F.col("__m.member").alias("member")).agg(F.sum("__m.bytes").alias("bytes"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cubeweave.functions.codes import bit, planes, quantize, zigzag
 from cubeweave.functions.index import div, linear
-from cubeweave.operators import entropy, corrector, layout, residual_codec, lorenzo, select, stats
+from cubeweave.operators import corrector, entropy, layout, lorenzo, predict, residual_codec, select, stats
 from cubeweave.ranking import rank_in_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,19 +310,15 @@ def vector_norms(spark, d):
 @query(f"WITH {PAIR}, n AS (SELECT label, pid, sqrt(sum(pow(x - y, 2))) AS norm, sum(pow(x - y, 2)) AS e FROM q GROUP BY 1, 2), g AS (SELECT max(x) - min(x) AS r FROM p) SELECT label, count(*) AS patches, count(*) FILTER (norm > 0.1325 * 8 * r) AS violating, round(sqrt(sum(e) / (64 * count(*))) / any_value(r), 6) AS nrmse FROM n, g GROUP BY 1")
 def bound_check_by_label(spark, d):
     """For each label, how many patches break a relative bound of 0.1325 under the mean of the label, and the NRMSE."""
-    pairs = _pairs(spark, d)
-    span = vectors(spark, d).agg((F.max("x") - F.min("x")).alias("r"))
-    per = pairs.groupBy("label", "pid").agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("e"))
-    both = per.join(F.broadcast(span), F.lit(True))  # one row
-    return both.groupBy("label").agg(F.count("*").alias("patches"), F.count_if(F.sqrt("e") > 0.1325 * 8 * F.col("r")).alias("violating"), F.round(F.sqrt(F.sum("e") / (64 * F.count("*"))) / F.first("r"), 6).alias("nrmse"))
+    return stats.bound_check(_pairs(spark, d), ["label"], "pid", 0.1325, 64).withColumn("nrmse", F.round("nrmse", 6))
 
 
 @query(f"WITH {P} SELECT a.k AS i, b.k AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM p a JOIN p b ON a.pid = b.pid AND a.k <= b.k GROUP BY 1, 2")
 def covariance(spark, d):
-    """Sample covariance of the vectors' elements; each vector makes its own products, added up within the task."""
-    rows = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
-    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.transform(F.sequence(i, F.lit(63)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("e", i).alias("x"), F.get("e", j).alias("y"))))))
-    return rows.select(pairs.alias("p")).groupBy(F.col("p.i").cast("long").alias("i"), F.col("p.j").cast("long").alias("j")).agg(F.round(F.covar_samp("p.x", "p.y"), 8).alias("cov"))
+    """Sample covariance of the vectors' elements: every task adds up its own products, and sends n (n + 1) + 1 sums."""
+    rows = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("orig"), F.array_repeat(F.lit(0.0), 64).alias("recon"))
+    found = corrector.covariance(rows, 64)
+    return spark.createDataFrame([(i, j, round(float(found[i, j]), 8)) for i in range(64) for j in range(i, 64)], "i long, j long, cov double")
 
 
 @query(f"WITH {PAIR}, g AS (SELECT label, avg(pow(x - y, 2)) AS mse, max(x) - min(x) AS r FROM q GROUP BY 1) SELECT label, round(mse, 8) AS mse, round(sqrt(mse), 8) AS rmse, round(sqrt(mse) / r, 8) AS nrmse, round(20 * log10(r) - 10 * log10(mse), 6) AS psnr FROM g")
@@ -493,18 +489,12 @@ def delta_block_stats(spark, d):
 @query(f"WITH {V}, k AS (SELECT v, t, x FROM c WHERE t % 3 = 0), j AS (SELECT c.v, c.t, c.x, max(k.t) FILTER (k.t <= c.t) AS a, min(k.t) FILTER (k.t >= c.t) AS b FROM c JOIN k ON k.v = c.v AND abs(k.t - c.t) < 6 GROUP BY 1, 2, 3) SELECT j.v, j.t, round(coalesce(CASE WHEN a = b THEN ka.x ELSE ka.x + (kb.x - ka.x) * (j.t - a) / (b - a) END, ka.x, kb.x), 6) AS y FROM j LEFT JOIN k ka ON ka.v = j.v AND ka.t = a LEFT JOIN k kb ON kb.v = j.v AND kb.t = b")
 def keyframe_interp(spark, d):
     """Every third day kept, the others from the kept ones beside them, linearly."""
-    c = cube_v(spark, d)
-    kept = layout.keyframes(c)
-    near = c.select("v", "t", F.explode(F.array(div(F.col("t"), 3) * 3, div(F.col("t") + 2, 3) * 3)).alias("kt")).distinct()
-    met = near.join(kept.select("v", F.col("t").alias("kt"), F.col("x").alias("kx")), ["v", "kt"], "left")
-    a = met.filter("kx IS NOT NULL").groupBy("v", "t").agg(F.min("kt").alias("a"), F.max("kt").alias("b"), F.min_by("kx", "kt").alias("xa"), F.max_by("kx", "kt").alias("xb"))
-    y = F.when(F.col("a") == F.col("b"), F.col("xa")).otherwise(F.col("xa") + (F.col("xb") - F.col("xa")) * (F.col("t") - F.col("a")) / (F.col("b") - F.col("a")))
-    return a.select("v", "t", F.round(y, 6).alias("y"))
+    return predict.interpolated(cube_v(spark, d), 3).withColumn("y", F.round("y", 6))
 
 
 @query(f"WITH {E} SELECT v, t, h // 4 AS h, w // 4 AS w, round(avg(x), 9) AS x FROM e GROUP BY ALL")
 def coarse_predict(spark, d):
-    return cube_e(spark, d).groupBy("v", "t", div(F.col("h"), 4).alias("h"), div(F.col("w"), 4).alias("w")).agg(F.round(F.avg("x"), 9).alias("x"))
+    return layout.coarse_means(cube_e(spark, d), 4).select("v", "t", "h", "w", F.round("x", 9).alias("x"))
 
 
 # entropy

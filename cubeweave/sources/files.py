@@ -2,52 +2,89 @@
 
 from __future__ import annotations
 
-import io
+import itertools
 import json
 import os
 import struct
+import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cubeweave.sources.raw import filesystem
+from cubeweave.sources.raw import filesystem, listing
 
 MAGIC = b"CWRES_V1\n"
 
 
-def read_npz(spark: SparkSession, path: str, key: str = "data") -> DataFrame:
-    """Frames (v, s, t, height, width, data) of the arrays under a key in .npz files; lower ranks get leading axes.
-
-    Slicing is filtering on v, s and t.
-    """
-    files = spark.read.format("binaryFile").load(path).select("content")
+Span = tuple[int, int | None]
+
+
+def _open_array(archive: zipfile.ZipFile, key: str):
+    """(shape with leading axes, dtype, stream after the header) of an array of an .npz file."""
+    f = archive.open(f"{key}.npy")
+    version = np.lib.format.read_magic(f)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+    if fortran and len(shape) > 1:
+        raise ValueError(f"{key} is stored by columns")
+    if len(shape) > 5:
+        raise ValueError(f"{key} has more than five axes")
+    return (1,) * (5 - len(shape)) + tuple(shape), dtype, f
+
+
+def _npz_frames(path: str, keys: Sequence[str], spans: Sequence[Span], crop: tuple[int, int] | None) -> Iterator[tuple]:
+    """(v, s, t, height, width, data...) of one file: frames outside the spans are passed over in the stream, and one
+    frame a key is held at a time."""
+    files, at = filesystem(path)
+    with files.open_input_file(at) as raw, zipfile.ZipFile(raw) as archive:
+        arrays = [_open_array(archive, k) for k in keys]
+        shape = arrays[0][0]
+        if any(a[0] != shape for a in arrays):
+            raise ValueError(f"{path}: the shapes of {', '.join(keys)} differ")
+        lows, highs = zip(*((a, n if b is None else min(b, n)) for (a, b), n in zip(spans, shape, strict=False)), strict=True)
+        height, width = shape[3:]
+        th, tw = crop or (height, width)
+        if th > height or tw > width:
+            raise ValueError(f"{path}: frames of {height} x {width} have no middle of {th} x {tw}")
+        y, x = (height - th) // 2, (width - tw) // 2
+        for i in np.ndindex(shape[:3]):
+            frames = [(f.read(dtype.itemsize * height * width), dtype) for _, dtype, f in arrays]
+            if all(a <= k < b for k, a, b in zip(i, lows, highs, strict=True)):
+                yield (*i, th, tw, *(np.frombuffer(d, t).reshape(height, width)[y : y + th, x : x + tw].astype(np.float32).ravel() for d, t in frames))
+
+
+def _read_npz(spark: SparkSession, path: str, keys: Mapping[str, str], spans: Sequence[Span], crop: tuple[int, int] | None) -> DataFrame:
+    paths = spark.read.format("binaryFile").load(path).select("path")
+    names, keys = list(keys.values()), list(keys)
+    ints = ["v", "s", "t", "height", "width"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column("content").to_pylist():
-                x = np.load(io.BytesIO(data))[key].astype(np.float32)
-                x = x.reshape((1,) * (5 - x.ndim) + x.shape)
-                for v, s in np.ndindex(x.shape[:2]):
-                    n = x.shape[2]
-                    flat = pa.array(x[v, s].ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (x.shape[3] * x.shape[4]), pa.int32()), flat)
-                    ints = [np.full(n, v), np.full(n, s), np.arange(n), np.full(n, x.shape[3]), np.full(n, x.shape[4])]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(i, pa.int64()) for i in ints), lists], names=["v", "s", "t", "height", "width", "data"])
+            for file in b.column("path").to_pylist():
+                rows = _npz_frames(file, keys, spans, crop)
+                while part := list(itertools.islice(rows, 64)):
+                    columns = [*(pa.array([r[k] for r in part], pa.int64()) for k in range(5)), pa.array([file] * len(part)), *(pa.array([r[5 + k] for r in part], pa.list_(pa.float32())) for k in range(len(keys)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*ints, "file", *names])
+
+    return paths.mapInArrow(run, ", ".join(f"{c} long" for c in ints) + ", file string, " + ", ".join(f"{n} array<float>" for n in names))
 
-    return files.mapInArrow(run, "v long, s long, t long, height long, width long, data array<float>")
 
+def read_npz(spark: SparkSession, path: str, key: str = "data", *, variable: int | None = None, sections: Span = (0, None), frames: Span = (0, None), crop: tuple[int, int] | None = None) -> DataFrame:
+    """Frames (v, s, t, height, width, file, data) of the arrays under a key in .npz files; lower ranks get leading axes.
 
-def read_npz_pair(spark: SparkSession, path: str) -> DataFrame:
+    One variable, half-open ranges of sections and frames, and the middle of the frames can be asked for: only these
+    become rows, under their own numbers. A file is read as a stream, a frame at a time, and may have any size.
+    """
+    spans = [(0, None) if variable is None else (variable, variable + 1), sections, frames]
+    return _read_npz(spark, path, {key: "data"}, spans, crop)
+
+
+def read_npz_pair(spark: SparkSession, path: str, **slices) -> DataFrame:
     """Frames with orig and recon of .npz files with original_data and recons_data; their shapes must agree."""
-    a = read_npz(spark, path, "original_data").withColumnRenamed("data", "orig")
-    b = read_npz(spark, path, "recons_data").withColumnRenamed("data", "recon")
-    keys = ["v", "s", "t", "height", "width"]
-    both = a.join(b, keys, "full")
-    sure = F.when(F.size("orig") == F.size("recon"), F.col("orig")).otherwise(F.raise_error(F.lit("the shapes of the pair differ")))
-    return both.select(*keys, sure.alias("orig"), "recon")
+    variable = slices.pop("variable", None)
+    spans = [(0, None) if variable is None else (variable, variable + 1), slices.pop("sections", (0, None)), slices.pop("frames", (0, None))]
+    return _read_npz(spark, path, {"original_data": "orig", "recons_data": "recon"}, spans, slices.pop("crop", None))
 
 
 def save_streams(streams: DataFrame, path: str) -> None:
@@ -59,22 +96,32 @@ def save_streams(streams: DataFrame, path: str) -> None:
 
 
 def load_streams(spark: SparkSession, path: str) -> DataFrame:
-    """(sid, payload) of such files; a stream that the file cuts off is dropped."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """(sid, payload) of such a file, or of a folder of parts, numbered in order; a stream that the file cuts off is dropped."""
+    files, _ = filesystem(path)
+    parts, first = [], 0
+    for file, rows, _ in listing(path):
+        parts.append((file, first))
+        first += max(rows, 0)
+    named = spark.createDataFrame(parts, "file string, first long").repartition(max(1, min(len(parts), spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = filesystem(path)
         for b in batches:
-            for data in b.column("content").to_pylist():
-                at, out = 0, []
-                while at + 8 <= len(data):
-                    (n,) = struct.unpack_from("<Q", data, at)
-                    if at + 8 + n > len(data):
-                        break
-                    out.append(data[at + 8 : at + 8 + n])
-                    at += 8 + n
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out)), pa.int64()), pa.array(out, pa.binary())], names=["sid", "payload"])
-
-    return files.mapInArrow(run, "sid long, payload binary")
+            for file, sid in zip(b.column("file").to_pylist(), b.column("first").to_pylist(), strict=True):
+                with own.open_input_stream(file) as f:
+                    out: list[bytes] = []
+                    while len(head := f.read(8)) == 8:
+                        (n,) = struct.unpack("<Q", head)
+                        data = f.read(n)
+                        if len(data) < n:
+                            break
+                        out.append(data)
+                        if sum(map(len, out[-64:])) > 8 << 20 or len(out) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sid, sid + len(out)), pa.int64()), pa.array(out, pa.binary())], names=["sid", "payload"])
+                            sid, out = sid + len(out), []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(sid, sid + len(out)), pa.int64()), pa.array(out, pa.binary())], names=["sid", "payload"])
+
+    return named.mapInArrow(run, "sid long, payload binary")
 
 
 def save_container(path: str, header: Mapping, blocks: DataFrame) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from cubeweave.functions.index import unravel
 
 SPLIT_BYTES = 32 << 20
+MANIFEST = "_manifest.json"
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -31,14 +32,30 @@ def five(shape: Sequence[int]) -> list[int]:
     return [1] * (5 - len(shape)) + list(shape)
 
 
+def listing(path: str) -> list[tuple[str, int, int]]:
+    """(file, rows, bytes) of the parts of a folder with a manifest, in order, or of the one file, with rows -1."""
+    import json
+
+    files, root = filesystem(path)
+    found = files.get_file_info(root)
+    if found.type == fs.FileType.Directory:
+        with files.open_input_stream(f"{root}/{MANIFEST}") as f:
+            return [(f"{root}/{name}", rows, size) for name, rows, size in json.loads(f.read())["parts"]]
+    return [(root, -1, found.size)]
+
+
 @dataclass
 class Frames(InputPartition):
+    """Frames start to end of the array, in a file that begins with frame first."""
+
     start: int
     end: int
+    file: str = ""
+    first: int = 0
 
 
 class RawSource(DataSource):
-    """Format ``rawf32``: rows (v, s, t, data) of a float32 file. Options: path; shape, as 1,1,20,256,256; split_bytes.
+    """Format ``rawf32``: rows (v, s, t, data) of a float32 file, or of a folder of parts. Options: path; shape, as 1,1,20,256,256; split_bytes.
 
     A file that is shorter than the shape is an error; bytes after it are ignored. Equality and ranges on v, s and
     t are taken over: frames outside them are not read.
@@ -73,13 +90,16 @@ class RawReader(DataSourceReader):
                 span[1] = min(span[1], f.value + 1) if isinstance(f, EqualTo) else span[1]
 
     def partitions(self) -> list[Frames]:
-        files, path = filesystem(self.path)
         frame = 4 * self.shape[3] * self.shape[4]
         n = self.shape[0] * self.shape[1] * self.shape[2]
-        if files.get_file_info(path).size < n * frame:
-            raise ValueError(f"{self.path} is shorter than its shape {self.shape}")
+        parts, first = [], 0
         step = max(1, self.split // frame)
-        parts = [Frames(a, min(a + step, n)) for a in range(0, n, step)]
+        for file, _, size in listing(self.path):
+            end = min(first + size // frame, n)
+            parts += [Frames(a, min(a + step, end), file, first) for a in range(first, end, step)]
+            first = end
+        if first < n:
+            raise ValueError(f"{self.path} is shorter than its shape {self.shape}")
         return [p for p in parts if any(self._wanted(i) for i in (p.start, p.end - 1)) or any(map(self._wanted, range(p.start, p.end)))] or [Frames(0, 0)]
 
     def _wanted(self, i: int) -> bool:
@@ -88,11 +108,13 @@ class RawReader(DataSourceReader):
         return all(self.spans[k][0] <= at[k] < self.spans[k][1] for k in at)
 
     def read(self, partition: Frames) -> Iterator[tuple]:
-        files, path = filesystem(self.path)
+        if partition.start == partition.end:
+            return
+        files, _ = filesystem(self.path)
         _, s, t, h, w = self.shape
-        with files.open_input_file(path) as f:
+        with files.open_input_file(partition.file) as f:
             for i in filter(self._wanted, range(partition.start, partition.end)):
-                f.seek(i * 4 * h * w)
+                f.seek((i - partition.first) * 4 * h * w)
                 data = np.frombuffer(f.read(4 * h * w), "<f4")
                 yield (i // (s * t), i // t % s, i % t, data.tolist())
 
@@ -142,20 +164,30 @@ def frames_of_cells(cells: DataFrame, width: int) -> DataFrame:
     return cells.groupBy("v", "s", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), "x"))), lambda e: e["x"].cast("float")).alias("data"))
 
 
-def read_ints(spark: SparkSession, path: str, cols: int, dtype: str = "<i4") -> DataFrame:
-    """(row, col, x) of a file of whole numbers as a matrix with cols columns; its size must divide."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def read_ints(spark: SparkSession, path: str, cols: int, dtype: str = "<i4", with_file: bool = False) -> DataFrame:
+    """(row, col, x) of files of whole numbers as matrices with cols columns, with the file if asked; sizes must divide.
+
+    Files are read by the tasks in pieces of whole rows, so a file may have any size.
+    """
+    paths = spark.read.format("binaryFile").load(path).select("path", "length")
+    width = cols * np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column("content").to_pylist():
-                if len(data) % (cols * np.dtype(dtype).itemsize):
+            for file, size in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+                if size % width:
                     raise ValueError("the file's size doesn't divide into rows")
-                x = np.frombuffer(data, dtype).astype(np.int64)
-                i = np.arange(len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(i // cols), pa.array(i % cols), pa.array(x)], names=["row", "col", "x"])
-
-    return files.mapInArrow(run, "row long, col long, x long")
+                files, at = filesystem(file)
+                with files.open_input_stream(at) as f:
+                    row = 0
+                    while data := f.read(max(1, (4 << 20) // width) * width):
+                        x = np.frombuffer(data, dtype).astype(np.int64)
+                        i = np.arange(len(x))
+                        yield pa.RecordBatch.from_arrays([pa.array(row + i // cols), pa.array(i % cols), pa.array(x), pa.array([file] * len(x))], names=["row", "col", "x", "file"])
+                        row += len(x) // cols
+
+    found = paths.mapInArrow(run, "row long, col long, x long, file string")
+    return found if with_file else found.drop("file")
 
 
 def synthetic(spark: SparkSession, shape: Sequence[int] = (1, 1, 20, 256, 256)) -> DataFrame:

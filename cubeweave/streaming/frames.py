@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeweave.scratch import new_path
-
 
 def daily_frames(events: DataFrame, *, late: str = "2 hours", width: str = "1 day") -> DataFrame:
     """(event_type, start, n, total, low, high) of each window; works on tables and streams."""
@@ -21,5 +19,5 @@ def write_frames(spark: SparkSession, source: str, schema, target: str, **option
     A frame is written once its watermark has passed; progress is kept beside the target, so a rerun goes on from there.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source)
-    run = daily_frames(stream, **options).writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target}.progress" if "://" in target else new_path(spark, "stream"))
+    run = daily_frames(stream, **options).writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{target.rstrip('/')}.progress")
     run.outputMode("append").trigger(availableNow=True).start().awaitTermination()

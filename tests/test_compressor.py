@@ -1,12 +1,18 @@
 """Archives: bound, constants, short and ragged arrays, several variables, from files alone."""
 
+import json
+from datetime import datetime
+
 import numpy as np
 import pytest
 
+from cubeweave.cli import main
 from cubeweave.plans.compressor import compress, decompress, load_header, sweep, verify
 from cubeweave.scratch import new_path
 from cubeweave.sources.files import append_metrics, find_model, load_container, load_streams, merge_json, read_npz, read_npz_pair, save_container, save_streams
+from cubeweave.sources.parts import write_raw_parts, write_stream_parts
 from cubeweave.sources.raw import cells_of_frames, frames_of_cells, read_ints, read_raw, synthetic, write_raw
+from cubeweave.streaming.frames import write_frames
 
 rng = np.random.default_rng(3)
 
@@ -92,3 +98,51 @@ def test_metrics_json_and_models(spark, tmp_path, monkeypatch):
     assert find_model(spark, "cdf.bin") == f"{tmp_path}/cdf.bin"
     with pytest.raises(FileNotFoundError):
         find_model(spark, "none.bin")
+
+
+def test_npz_slices_and_errors(spark, tmp_path):
+    x = rng.normal(size=(2, 3, 4, 6, 5)).astype(np.float64)
+    np.savez_compressed(tmp_path / "a.npz", data=x, original_data=x, recons_data=x[:1])
+    got = read_npz(spark, f"file://{tmp_path}", variable=1, sections=(1, None), frames=(1, 3), crop=(2, 3)).collect()
+    assert sorted((r["v"], r["s"], r["t"]) for r in got) == [(1, s, t) for s in (1, 2) for t in (1, 2)]
+    for r in got:
+        assert (r["height"], r["width"]) == (2, 3) and r["data"] == x[1, r["s"], r["t"], 2:4, 1:4].astype(np.float32).ravel().tolist()
+    with pytest.raises(Exception, match="differ"):
+        read_npz_pair(spark, f"file://{tmp_path}").count()
+
+
+def test_only_parts_of_the_manifest_count(spark, tmp_path):
+    folder = f"file://{tmp_path}/f"
+    frames = frames_of_cells(synthetic(spark, (2, 1, 30, 4, 5)), 5)
+    parts = write_raw_parts(frames.repartition(7), folder)
+    assert sum(p.rows for p in parts) == 60
+    (tmp_path / "f" / "part-of-a-lost-task").write_bytes(b"x" * 1000)
+    want = sorted(map(tuple, frames.select("v", "s", "t", "data").collect()))
+    read = read_raw(spark, folder, (2, 1, 30, 4, 5))
+    assert sorted(map(tuple, read.collect())) == want and read.filter("v = 1 AND t >= 20").count() == 10
+    write_raw(frames, f"file://{tmp_path}/whole")
+    joined = b"".join((tmp_path / "f" / p.name).read_bytes() for p in parts)
+    assert joined == (tmp_path / "whole").read_bytes()
+    write_stream_parts(spark.createDataFrame([], "sid long, payload binary"), f"file://{tmp_path}/none")
+    assert load_streams(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    row = lambda day, v: (datetime(2024, 1, day, 12), "a", v)
+    schema = "ts timestamp, event_type string, value double"
+    for days in ((1, 2, 3), (4, 5)):
+        spark.createDataFrame([row(k, float(k)) for k in days], schema).coalesce(1).write.mode("append").parquet(source)
+        write_frames(spark, source, spark.read.parquet(source).schema, target)
+    assert sorted(r["start"].day for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    frames = frames_of_cells(synthetic(spark, (1, 1, 9, 16, 16)), 16)
+    write_raw(frames, f"{tmp_path}/in")
+    assert main(["compress", "--shape", "9,16,16", "--block", "16", "--error-bound", "1e-3", f"{tmp_path}/in", f"{tmp_path}/a"]) == 0
+    assert main(["decompress", f"{tmp_path}/a", f"{tmp_path}/out", "--verify", f"{tmp_path}/in"]) == 0
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert said["missing"] == 0 and said["nrmse"] <= 1e-3 + 1.2e-7
+    a, b = (np.fromfile(tmp_path / n, "<f4") for n in ("in", "out"))
+    assert np.sqrt(((a - b) ** 2).mean()) / (a.max() - a.min()) <= 1e-3 + 1.2e-7

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cubeweave.components import components
 from cubeweave.functions import codes
 from cubeweave.operators import entropy, layout, biased_codec, select, stats
-from cubeweave.plans import catalogue
+from cubeweave.plans import catalogue, catalogue_files, catalogue_more  # noqa: F401  these register their queries
 from cubeweave.ranking import rank_in_groups
 from cubeweave.rowkeys import with_row_keys
 
@@ -180,3 +180,59 @@ def test_raw_file_has_every_frame(spark):
     got, want = catalogue.raw_file_roundtrip_all(spark, d), catalogue.cube_e(spark, d)
     lengths = {r["n"] for r in want.groupBy("v").agg((F.count("*") / 64).alias("n")).collect()}
     assert len(lengths) > 1 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_steps_of_a_batch_are_those_of_each_block():
+    from cubeweave.operators.residual_codec import find_step, find_steps
+
+    rng = np.random.default_rng(6)
+    r = rng.normal(size=(20, 64)) * rng.choice([0.001, 0.1, 1, 30], 20)[:, None]
+    got = find_steps(r, np.full(20, 0.02**2 * 64), np.full(20, 0.02 / 1000))
+    for k in range(20):
+        sse = lambda st, k=k: ((r[k] - np.rint(r[k] / st) * st) ** 2).sum()
+        assert got[k] == 1 and (r[k] ** 2).sum() <= 0.02**2 * 64 or sse(got[k]) <= 0.02**2 * 64
+        one, _ = find_step(r[k], np.zeros(64, np.float32), r[k].astype(np.float32), 0.02, 0.0, 1.0)
+        assert got[k] == 1 and one == 1 or got[k] > 0.9 * one
+
+
+def test_monotone_prior():
+    rng = np.random.default_rng(7)
+    prior = entropy.MonotonePrior([rng.normal(size=s) for s in ((3, 1), (3, 3), (1, 3))], [rng.normal(size=n) for n in (3, 3, 1)], [rng.normal(size=3), rng.normal(size=3)])
+    x = np.linspace(-60, 60, 4001)
+    assert (np.diff(prior.cdf(x)) >= 0).all()
+    assert np.allclose(prior.cdf(prior.inverse(np.array([0.1, 0.5, 0.9]))), [0.1, 0.5, 0.9])
+    k = np.arange(-300, 301)
+    assert abs(prior.likelihood(k).sum() - 1) < 1e-4
+    first, cdf = prior.table()
+    entropy.check_cdf(cdf)
+    assert first <= prior.inverse(np.array([0.5]))[0] <= first + 61 and len(cdf) == 63
+    draws = prior.sample(20000, 1)
+    assert abs((draws <= 0).mean() - prior.cdf(np.array([0.0]))[0]) < 0.02
+
+
+def test_a_worker_loads_once():
+    import threading
+
+    from cubeweave import workers
+
+    calls = []
+    threads = [threading.Thread(target=lambda: workers.once("k", lambda: calls.append(1) or len(calls))) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert calls == [1] and workers.once("k", lambda: 5) == 1
+    workers.forget("k")
+    assert workers.once("k", lambda: 5) == 5
+
+
+def test_resampling_is_that_of_dense_products(spark):
+    x = np.random.default_rng(8).normal(size=(5, 6, 7))
+    for size, to, kind in (((6, 7), (4, 9), "cubic"), ((5, 6, 7), (3, 8, 2), "linear")):
+        got = dense(layout.resample(cells(spark, x), size, to, kind), (to[0] if len(to) == 3 else 5, *to[-2:]))
+        want = x
+        for axis, have, goal in zip((0, 1, 2)[-len(size) :], size, to, strict=True):
+            m = np.zeros((goal, have))
+            for i, o, wt in layout.weights(have, goal, kind):
+                m[o, i] += wt
+            assert np.allclose(m.sum(axis=1), 1)
+            want = np.moveaxis(np.tensordot(m, want, (1, axis)), 0, axis)
+        assert np.allclose(got, want)
