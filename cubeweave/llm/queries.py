@@ -117,35 +117,33 @@ def url_sql() -> str:
     cases = sorted(URL_RULES, key=lambda r: -len(r[1]))
     fits = lambda r: f"((host = '{r.split('/', 1)[0]}' OR ends_with(host, '.{r.split('/', 1)[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}'))"
     pick = lambda i: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[i]}'" for r in cases) + " END"
-    levels = ""
-    for i in range(1, 5):
-        levels += f"""
-        , m{i} AS (SELECT host, tpl FROM l{i - 1} WHERE len(shape) >= {i} GROUP BY ALL HAVING count(DISTINCT shape[{i}]) > 24)
-        , l{i} AS (
-            SELECT host, shape, b, a, CASE WHEN len(shape) >= {i} THEN tpl ELSE parent END AS parent,
-                   CASE WHEN len(shape) >= {i} THEN tpl || '/' || CASE WHEN m{i}.host IS NOT NULL THEN '*' ELSE shape[{i}] END ELSE tpl END AS tpl
-            FROM l{i - 1} LEFT JOIN m{i} USING (host, tpl))"""
     return f"""
-        WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
+        WITH RECURSIVE u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)
         , h AS (
             SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
-        , s AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS segs FROM h)
         , r AS (
             SELECT page_id, host, path, {pick(1)} AS rule, {pick(0)} AS label,
-                   list_transform(CASE WHEN len(segs) > 4 THEN list_append(segs[1:3], array_to_string(segs[4:], '/')) ELSE segs END,
+                   list_transform(string_split(regexp_replace(path, '^/', ''), '/'),
                        lambda x: CASE WHEN regexp_full_match(x, '[0-9a-f]{{8,}}') AND regexp_matches(x, '[a-f]') AND regexp_matches(x, '[0-9]') THEN '<h>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END) AS shape
-            FROM s)
-        , l0 AS (SELECT host, shape, count(*) FILTER (label = 'block') AS b, count(*) FILTER (label = 'allow') AS a, '' AS parent, '' AS tpl FROM r GROUP BY host, shape){levels}
-        , p0 AS (SELECT host, sum(b) / (sum(a + b) + 4.0) AS p0 FROM l4 GROUP BY 1)
-        , p1 AS (SELECT host, parent, (sum(b) + 4.0 * any_value(p0)) / (sum(a + b) + 4.0) AS p1 FROM l4 JOIN p0 USING (host) GROUP BY 1, 2)
-        , t AS (
-            SELECT host, parent, tpl, sum(b) AS b, sum(a) AS a, round((sum(b) + 4.0 * any_value(p1)) / (sum(a + b) + 4.0), 9) AS p
-            FROM l4 JOIN p1 USING (host, parent) GROUP BY 1, 2, 3 HAVING sum(a + b) > 0)
-        , j AS (SELECT *, CAST(p - lag(p, 1, p) OVER (PARTITION BY host, parent ORDER BY p, tpl) > 0.1 AS INTEGER) AS apart FROM t)
-        , g AS (SELECT *, sum(apart) OVER (PARTITION BY host, parent ORDER BY p, tpl ROWS UNBOUNDED PRECEDING) AS branch FROM j)
-        , d AS (SELECT host, tpl, sum(a + b) OVER w >= 5 AND round(sum(b) OVER w / (sum(a + b) OVER w + 4.0), 9) >= 0.8 AS bad FROM g WINDOW w AS (PARTITION BY host, parent, branch))
-        , v AS (SELECT l4.host, l4.shape, l4.tpl AS template, CASE WHEN d.bad THEN 'block' ELSE 'allow' END AS method FROM l4 LEFT JOIN d ON l4.host = d.host AND l4.tpl = d.tpl)
+            FROM h)
+        , l AS (
+            SELECT host, shape, count(*) AS n, count(*) FILTER (label = 'block') AS b, count(*) FILTER (label = 'allow') AS a, '' AS parent, '' AS tpl, 0 AS i, false AS done FROM r GROUP BY host, shape
+            UNION ALL
+            SELECT host, shape, n, b, a, CASE WHEN inside THEN tpl ELSE parent END,
+                   CASE WHEN NOT inside THEN tpl WHEN shapes = 1 THEN tpl || '/' || array_to_string(shape[i + 1 :], '/') WHEN kids >= 8 AND 2 * kids > urls THEN tpl || '/*' ELSE tpl || '/' || shape[i + 1] END,
+                   i + 1, NOT inside OR shapes = 1
+            FROM (
+                SELECT *, len(shape) > i AS inside, count(DISTINCT CASE WHEN len(shape) > i THEN shape[i + 1] END) OVER w AS kids,
+                       sum(CASE WHEN len(shape) > i THEN n END) OVER w AS urls, count(CASE WHEN len(shape) > i THEN 1 END) OVER w AS shapes
+                FROM l WHERE NOT done WINDOW w AS (PARTITION BY host, tpl)))
+        , k AS (SELECT * FROM l WHERE done)
+        , t AS (SELECT host, parent, tpl, sum(b) AS b, sum(a + b) AS n FROM k GROUP BY 1, 2, 3 HAVING sum(a + b) > 0)
+        , o AS (SELECT *, sum(b) OVER w - b AS b2, sum(n) OVER w - n AS n2, sum(b) OVER w / sum(n) OVER w AS p FROM t WINDOW w AS (PARTITION BY host, parent))
+        , j AS (SELECT *, coalesce(round(pow(b / n - b2 / nullif(n2, 0), 2) / nullif(p * (1 - p) * (1 / n + 1 / nullif(n2, 0)), 0), 9) > 3.841, false) AS differs FROM o)
+        , g AS (SELECT *, CASE WHEN differs THEN tpl ELSE '' END AS branch FROM j)
+        , d AS (SELECT host, tpl, sum(n) OVER w >= 5 AND round(sum(b) OVER w / (sum(n) OVER w + 4.0::DOUBLE), 9) >= 0.8 AS bad FROM g WINDOW w AS (PARTITION BY host, parent, differs, branch))
+        , v AS (SELECT k.host, k.shape, k.tpl AS template, CASE WHEN d.bad THEN 'block' ELSE 'allow' END AS method FROM k LEFT JOIN d ON k.host = d.host AND k.tpl = d.tpl)
         SELECT page_id, r.host, path, rule, coalesce(label, method) AS verdict, template FROM r JOIN v ON r.host = v.host AND r.shape = v.shape
     """
 

@@ -295,6 +295,28 @@ def test_template_is_rejected_and_siblings_not(spark):
     assert {r["template"] for r in got.collect()} == {"/*"}
 
 
+def test_trees_of_any_depth(spark):
+    deep = "/".join("abcdefghij")
+    urls = [f"http://d.com/{deep}/{x}/{i}" for x in ("bad", "good") for i in range(12)] + ["http://d.com/" + "q/" * 3000 + "end"] + [f"http://d.com/{deep}/one{k}-{k}x/z" for k in range(3)]
+    rows = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[0]), (3, urls[3])], "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "shape", "n", "parent", "template", "label", "merged", "__at", "__i")})
+    rules = (("block", f"d.com/{deep}/bad/1"), ("allow", f"d.com/{deep}/good/1"))
+    got = url_templates.filter_urls(rows, rules).collect()
+    assert len(got) == len(urls) + 2 and sum(r["page_id"] is None for r in got) == 1
+    by = {r["page_id"]: r for r in got}
+    assert by[0]["template"] == f"/{deep}/bad/<n>" and by[12]["template"] == f"/{deep}/good/<n>" and by[24]["template"] == "/" + "q/" * 3000 + "end"
+    # of both templates one of twelve urls has a rule in 1, 10, 11: 3 labelled each
+    assert by[0]["verdict"] == by[12]["verdict"] == "allow" and by[1]["verdict"] == "block"
+
+
+def test_siblings_are_merged_by_their_counts(spark):
+    counts = {"m.com": [("a", 17, 0), ("b", 16, 1), ("c", 0, 30)], "n.com": [("a", 9, 1), ("b", 10, 0), ("c", 19, 1), ("d", 0, 0)]}
+    rows = [(h, [s], 40, b, a) for h, of in counts.items() for s, b, a in of]
+    shaped = spark.createDataFrame(rows, "host string, shape array<string>, n long, blocked long, allowed long")
+    found = {(r["host"], r["shape"][0]): (r["merged"], r["method"]) for r in url_templates.verdicts(shaped).collect()}
+    # each of m.com's differs from the rest; n.com's are one branch of 38 in 40, though 9 in 10 alone would not do
+    assert found == {("m.com", "a"): (False, "block"), ("m.com", "b"): (False, "allow"), ("m.com", "c"): (False, "allow"), **{("n.com", s): (True, "block") for s in "abc"}, ("n.com", "d"): (None, "allow")}
+
+
 # quality
 
 
