@@ -26,3 +26,13 @@ def forget(key: Hashable | None = None) -> None:
     with _guard:
         for k in [key] if key is not None else list(_held):
             _held.pop(k, None)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark, size: str = "8m") -> None:
+    """Let no Arrow batch that goes to a Python worker have more bytes than this, unless the session has a setting of its
+    own: by default 64 MB stand in the JVM, once more on their way, and once more in the worker, for every task."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, "67108864b", "64m"):
+        spark.conf.set(BATCH_BYTES, size)
