@@ -24,6 +24,7 @@ from xxhash import xxh64_intdigest
 from cubeweave.llm.url_templates import host_of
 from cubeweave.rowkeys import with_row_keys
 from cubeweave.scratch import materialize
+from cubeweave.workers import bounded_batches
 
 #: On fewer pages entropies say nothing and count as 1. Branches with less importance go.
 LEAST_PAGES, LEAST_IMPORTANCE = 3, 0.2
@@ -298,6 +299,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     alone. Malformed and cut-off pages are read as far as they go, pages of any length whole. Rows with null or
     repeated ids are kept and count as pages of their own; extra columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(pages.sparkSession)
     # a marked branch is below the least importance whatever its entropy, which a page shows by itself
     low = style_tree(pages, url_col=url_col, html_col=html_col).filter(~F.col("marked") & (F.col("importance") < LEAST_IMPORTANCE) & (F.col("branch") != ""))
     low = materialize(low.select(F.xxhash64("host", "branch").alias("key")), "style-tree")

@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from cubeweave.ranking import rank_in_groups
 from cubeweave.rowkeys import with_row_keys
+from cubeweave.scratch import materialize
 
 #: Sources, and slots of a period, at most: what the driver works out.
 MAX_SOURCES, MAX_PERIOD = 4096, 1 << 16
 BLOCK_ROWS = 64
+#: Files of a mixture up to which their offsets are broadcast, at some 150 bytes each; beyond, they are joined by shuffle.
+BROADCAST_FILES = 100_000
 
 
 def period(tickets: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> dict[str, list[int]]:
@@ -132,6 +135,7 @@ def with_places(ordered: DataFrame, name: str = "place") -> DataFrame:
     keyed = with_row_keys(ordered)
     files = keyed.groupBy("__file").agg((F.max("__row") + 1).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = files.select("__file", F.coalesce(before, F.lit(0)).alias("__before"))  # a row a file
+    offsets = materialize(files.select("__file", F.coalesce(before, F.lit(0)).alias("__before")), "file-offsets")  # a row a file
+    offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_FILES else offsets
     placed = keyed.join(offsets, "__file").withColumn("__place", (F.col("__before") + F.col("__row")).cast("long"))
     return placed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != name], F.col("__place").alias(name))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubeweave.workers import bounded_batches, once
+
 MARK = "▁"
 #: Words, and their characters, that the table of a task may hold before it is begun anew.
 TABLE_WORDS, TABLE_CHARS, WORD_CHARS = 400_000, 8_000_000, 200
@@ -26,11 +28,7 @@ class ChunkTable:
     """Encoder and decoder of one task: marked word -> (ids as text, number of ids, decoded string)."""
 
     def __init__(self, model_path: str) -> None:
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        if reason := crossing(model_path):
-            raise ValueError(f"marked words can't be segmented one by one: {reason}")
+        self.model = once(("sentencepiece", model_path), lambda: loaded(model_path))
         self._begin()
 
     def _begin(self) -> None:
@@ -78,6 +76,15 @@ def marked_words(text: str) -> list[str]:
     return [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
 
 
+def loaded(model_path: str):
+    """The library's processor for a model whose words can be segmented one by one."""
+    import sentencepiece
+
+    if reason := crossing(model_path):
+        raise ValueError(f"marked words can't be segmented one by one: {reason}")
+    return sentencepiece.SentencePieceProcessor(model_file=model_path)
+
+
 def crossing(model_path: str) -> str:
     """Why words can't be segmented one by one with this model; empty if they can."""
     from sentencepiece import sentencepiece_model_pb2
@@ -106,6 +113,7 @@ def encode_documents(documents: DataFrame, model_path: str, *, id_col: str = "do
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * keep_ids
     kinds = dict(documents.dtypes)
     fields += "".join(f", {c} {kinds[c]}" for c in keep)
+    bounded_batches(documents.sparkSession)
     given = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from cubeweave.components import components
 from cubeweave.rowkeys import with_row_keys
 from cubeweave.scratch import drop_table, materialize
+from cubeweave.workers import bounded_batches
 
 WORDS, SIMILARITY = 5, 0.8
 HASHES, FIRST = 8, 3  # min-wise hashes; how many the first pass uses
@@ -60,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of 64-bit hashes of word 5-grams. A text of fewer words is one shingle; without words it has none."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         from xxhash import xxh64_intdigest
 
         self.digest, self.most = xxh64_intdigest, most
@@ -368,9 +369,7 @@ def true_links(table: pa.Table) -> pa.Table:
         if len(rows) == 2:
             a, b, x = np.array([0]), np.array([1]), np.array([len(np.intersect1d(sets[0], sets[1], assume_unique=True))])
         else:
-            shared = intersections(np.concatenate(sets), size)
-            a, b = np.nonzero(np.triu(shared, 1))
-            x = shared[a, b]
+            a, b, x = similar_pairs(intersections(np.concatenate(sets), size), size)
         own, g = node[start:end], group[start:end]
         true = (x >= SIMILARITY * (size[a] + size[b] - x) - 1e-9) & (g[a] != g[b])
         a, b, x = a[true], b[true], x[true]
@@ -389,22 +388,35 @@ def intersections(shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
     owner, keys = owner[order], shingles[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
     df = np.diff(np.r_[start, len(keys)])
-    out = np.zeros(n * n, np.int64)
+    out = np.zeros(n * n, np.int32)
     for k in np.unique(df[(df > 1) & (df <= 16)]):
         groups = owner[start[df == k][:, None] + np.arange(k)[None]]
         for i in range(k):
             for j in range(i + 1, k):
-                out += np.bincount(groups[:, i] * n + groups[:, j], minlength=n * n)
+                np.add.at(out, groups[:, i] * n + groups[:, j], 1)
     out = out.reshape(n, n)
     many = np.flatnonzero(df > 16)
     for at in range(0, len(many), 2048):
         part = many[at : at + 2048]
         has = np.zeros((n, len(part)), np.float32)
         has[owner[np.concatenate([np.arange(start[m], start[m] + df[m]) for m in part])], np.repeat(np.arange(len(part)), df[part])] = 1
-        out += (has @ has.T).astype(np.int64)
+        for rows in range(0, n, 256):
+            out[rows : rows + 256] += (has[rows : rows + 256] @ has.T).astype(np.int32)
     return out
 
 
+def similar_pairs(shared: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shared shingles) of the pairs a < b whose similarity is high enough."""
+    found = []
+    for at in range(0, len(size), 256):
+        x = shared[at : at + 256]
+        both = size[at : at + 256, None] + size[None] - x
+        a, b = np.nonzero((x > 0) & (x >= SIMILARITY * both - 1e-9))
+        keep = a + at < b
+        found.append((a[keep] + at, b[keep], x[a[keep], b[keep]].astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def minima_rows(nodes: DataFrame, hashes: range) -> DataFrame:
     """Rows (node, grp, i, h): a row for each of the given min-wise hashes of a node. They are as narrow as can be, as all of them are shuffled."""
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("h")) for i in hashes]))
@@ -492,6 +504,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 
 def _classes(keyed: DataFrame, doc: str, text: str) -> DataFrame:
+    bounded_batches(keyed.sparkSession)
     rows = materialize(features(keyed, doc, text), "simhash-features")
     hashes = [f"h{i}" for i in range(HASHES)]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__file", "__row")).alias("first")
