@@ -48,9 +48,11 @@ def render(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("__rid"),
     )
     ranked = rank_in_groups(turns, ["conv_id"], ["turn", "role", "text", "__rid"], name="pos")
-    parts = ranked.groupBy("conv_id", F.expr(f"pos div {PART}").alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
-    speakers = turns.select(F.col("conv_id").alias("__conv"), F.col("role").alias("speaker")).distinct()
-    views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv")))
+    # parts lie by these keys, and each part's speakers come to them, so texts are not shuffled again
+    keyed = ranked.select(F.coalesce("conv_id", F.lit(0).cast("long")).alias("__c"), F.col("conv_id").isNull().alias("__n"), F.expr(f"pos div {PART}").alias("part"), "pos", "role", "text")
+    parts = keyed.groupBy("__c", "__n", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
+    speakers = keyed.select("__c", "__n", F.col("role").alias("speaker")).distinct().join(keyed.select("__c", "__n", "part").distinct(), ["__c", "__n"])
+    views = parts.join(speakers, ["__c", "__n", "part"]).withColumn("conv_id", F.when(~F.col("__n"), F.col("__c")))
     own = lambda t: t["role"] == F.col("speaker")
     head = lambda t: F.when(own(t), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), escaped_role(t["role"]), F.lit("|>\n")))
     body = lambda t: F.concat(escaped_text(t["text"]), F.lit(END))

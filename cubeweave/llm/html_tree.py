@@ -280,7 +280,7 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     counts = seen.groupBy("host", "branch", "kind", "value").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
     per = counts.groupBy("host", "branch", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("e"), F.sum("chars").alias("chars"))
     entropy = F.when(F.col("m") >= LEAST_PAGES, 1 - F.col("e") / (F.col("m") * F.log("m"))).otherwise(F.lit(1.0))
-    per = per.select("host", "branch", "kind", "m", "chars", entropy.alias("h"))
+    per = materialize(per.select("host", "branch", "kind", "m", "chars", entropy.alias("h")), "style-branches")  # it is read thrice
     over = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("branch", ">"))), lambda i: F.array_join(F.slice(F.split("branch", ">"), F.lit(1), i), ">")))
     # a marked branch lends its contents to no branch above it
     content = per.filter("kind = 'c'").select("host", over.alias("branch"), "m", "h", "chars", F.lit(False).alias("marked"))
