@@ -25,7 +25,7 @@ TABLE_WORDS, TABLE_CHARS, WORD_CHARS = 400_000, 8_000_000, 200
 
 
 class ChunkTable:
-    """Encoder and decoder of one task: marked word -> (ids as text, number of ids, decoded string)."""
+    """Encoder and decoder of one task: marked word -> ids as text, and the decoded string of those words that don't come back as they were."""
 
     def __init__(self, model_path: str) -> None:
         self.model = once(("sentencepiece", model_path), lambda: loaded(model_path))
@@ -34,7 +34,7 @@ class ChunkTable:
     def _begin(self) -> None:
         """Only the marker that stands alone, at the end of a text, which the encoder can't be given."""
         self.ids: dict[str, str] = {"": str(self.model.piece_to_id(MARK))}
-        self.decoded: dict[str, str] = {"": ""}
+        self.decoded: dict[str, str] = {}
         self.chars = 0
 
     def _add(self, words: set[str]) -> None:
@@ -42,7 +42,8 @@ class ChunkTable:
         ids = self.model.encode(new, num_threads=1)
         for w, i, d in zip(new, ids, self.model.decode(ids, num_threads=1) if new else [], strict=True):
             self.ids[w] = ",".join(map(str, i))
-            self.decoded[w] = d
+            if d != w:
+                self.decoded[w] = d
             self.chars += len(w)
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
@@ -58,12 +59,14 @@ class ChunkTable:
                     self._begin()
                     missing = set(words).difference(self.ids)
                 self._add(missing)
-            yield ",".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))
+            changed = not self.decoded.keys().isdisjoint(words)
+            yield ",".join(map(self.ids.__getitem__, words)), " ".join([self.decoded.get(w, w) for w in words] if changed else words)
             if missing and max(map(len, missing)) > WORD_CHARS:  # words of any length are segmented, long ones not kept
                 for w in missing:
                     if len(w) > WORD_CHARS:
                         self.chars -= len(w)
-                        del self.ids[w], self.decoded[w]
+                        del self.ids[w]
+                        self.decoded.pop(w, None)
 
 
 def marked_words(text: str) -> list[str]:
