@@ -266,7 +266,7 @@ ORACLES: dict[str, str] = {
         ), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         g AS (SELECT node, node AS root FROM n UNION SELECT e.b, g.root FROM g JOIN e ON g.node = e.a WHERE g.root < e.b),
         h AS (SELECT node, min(root) AS root FROM g GROUP BY node)
-        SELECT doc_id, h.root AS class_id, doc_id = h.root AS kept FROM d JOIN n USING (t) JOIN h USING (node)
+        SELECT doc_id, h.root AS class_id, doc_id = h.root AS kept, 1.0::DOUBLE AS audited_recall FROM d JOIN n USING (t) JOIN h USING (node)
     """,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS d FROM pages),

@@ -18,11 +18,13 @@
    similar sets the first 0.2 n + 1 shingles in any one order have one in common. The order begins with shingles
    that few of these nodes have, so no bucket is cut. Nodes with fewer of those than that meet by their min-wise
    hashes, every cut with every other. Within a bucket of up to 2 HOT_NODES nodes fingerprints are compared exactly.
+7. The result is audited against exact search: a sample of nodes is compared with all nodes, and of the pairs that are
+   similar by their shingles the share is given that fell in one group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ NEAR, NEAR_LARGE, FEW = 74, 62, 24
 SHARD_NODES, HOT_NODES, COMMON = 1024, 800, 32
 BEAM, LINKS, OLD_LINKS = 16, 16, 4
 AUDIT = 128
+#: Nodes that are compared with all, and pairs of them that are looked at, when the result is audited.
+AUDITED, AUDITED_PAIRS = 256, 4096
 #: Keys of texts to verify up to which they are broadcast (at about 150 bytes); beyond, the texts are shuffled.
 BROADCAST_KEYS = 100_000
 #: Nodes that are verified in one go.
@@ -490,8 +494,36 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, s array<long>")
 
 
+def audited_recall(nodes: DataFrame, groups: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> float:
+    """Of the similar pairs between a sample of nodes and all nodes, found by exact search, the share that is in one
+    group; 1 if there are none. Sample and pairs are bounded and drawn by hashes."""
+    columns = ["node", "n", *FP]
+    chosen = nodes.filter("n > 0").orderBy(F.xxhash64("digest"), "node").limit(AUDITED).select(*columns).toArrow()
+    own, count, fp = chosen["node"].to_numpy(), chosen["n"].to_numpy(), np.stack([chosen[c].to_numpy() for c in FP], axis=1).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            with_all = np.stack([batch.column(2 + k).to_numpy() for k in range(4)], axis=1).view(np.uint64)
+            for at in range(0, len(node), 4096):
+                part = slice(at, at + 4096)
+                large, small = np.maximum(n[part, None], count[None]), np.minimum(n[part, None], count[None])
+                r, c = np.nonzero((all_distances(with_all[part], fp) <= NEAR) & (small >= SIMILARITY * large - 1e-9) & (node[part, None] != own[None]))
+                yield pa.RecordBatch.from_arrays([pa.array(own[c]), pa.array(node[part][r])], names=["a", "b"])
+
+    pairs = nodes.filter("n > 0").select(*columns).mapInArrow(run, "a long, b long").orderBy(F.xxhash64("a", "b")).limit(AUDITED_PAIRS)
+    pairs = materialize(pairs, "simhash-audit")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    known = sets.join(groups, "node", "left").select("node", "s", F.coalesce("root", "node").alias("root"))
+    met = pairs.join(known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns]), F.col("a") == F.col("node_a")).join(known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns]), F.col("b") == F.col("node_b"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    true = met.filter(shared >= SIMILARITY * (F.size("s_a") + F.size("s_b") - shared) - 1e-9)
+    n, found = true.agg(F.count("*"), F.count_if(F.col("root_a") == F.col("root_b"))).first()
+    return found / n if n else 1.0
+
+
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for every row of documents: doc_id, class_id, kept.
+    """One row for every row of documents: doc_id, class_id, kept, and audited_recall, the same in all rows.
 
     class_id is the smallest doc_id of the group of texts that are equal or joined by links of similarity
     SIMILARITY or more of their sets of word 5-grams; kept is true for exactly one row of a group, one with that
@@ -500,10 +532,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     no rows; extra columns are ignored.
     """
     names = documents.columns
-    return _classes(with_row_keys(documents), *(f"c{names.index(c)}" for c in (id_col, text_col))).drop("__file", "__row")
+    return _classes(with_row_keys(documents), *(f"c{names.index(c)}" for c in (id_col, text_col)), audit=True).drop("__file", "__row")
 
 
-def _classes(keyed: DataFrame, doc: str, text: str) -> DataFrame:
+def _classes(keyed: DataFrame, doc: str, text: str, audit: bool = False) -> DataFrame:
     bounded_batches(keyed.sparkSession)
     rows = materialize(features(keyed, doc, text), "simhash-features")
     hashes = [f"h{i}" for i in range(HASHES)]
@@ -558,7 +590,8 @@ def _classes(keyed: DataFrame, doc: str, text: str) -> DataFrame:
     of_digest = of_nodes.join(best, "root").select(F.col("digest").alias("__d"), "best")
     out = rows.select("doc_id", "__file", "__row", "digest").join(of_digest, F.col("digest") == F.col("__d"))
     kept = (F.col("__file") == F.col("best.__file")) & (F.col("__row") == F.col("best.__row"))
-    return out.select("doc_id", F.col("best.doc_id").alias("class_id"), kept.alias("kept"), "__file", "__row")
+    out = out.select("doc_id", F.col("best.doc_id").alias("class_id"), kept.alias("kept"), "__file", "__row")
+    return out.withColumn("audited_recall", F.lit(audited_recall(nodes, groups, sets_of))) if audit else out
 
 
 def without_near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

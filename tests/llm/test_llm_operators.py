@@ -395,7 +395,22 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     want = classes_by_brute_force(rows)
     got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i]["class_id"] == want[k] for k, (i, _) in enumerate(rows))
-    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got.values())
+    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) and r["audited_recall"] == 1 for r in got.values())
+
+
+def test_the_audit_sees_what_is_lost(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(40):
+        base = prose(rng, 80).split()
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:-1], "other"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: simhash.Shingler()(t) for i, t in rows}
+    nodes = spark.createDataFrame([(i, f"{i}", len(sets[i]), *simhash.fingerprint(sets[i]).view(np.int64).tolist()) for i, _ in rows], "node long, digest string, n long, f0 long, f1 long, f2 long, f3 long")
+    of = lambda wanted: simhash.shingle_sets(df.withColumnRenamed("doc_id", "node").join(wanted.distinct(), "node").select("node", "text"))
+    for lost in (0, 10):
+        groups = spark.createDataFrame([(i, i - i % 2) for i, _ in rows if i >= 2 * lost], "node long, root long")
+        assert simhash.audited_recall(nodes, groups, of) == 1 - lost / 40
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
