@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 PRECISION = 16
 LOW = 1 << 31
 NIBBLE = 4
+#: Symbols that share a state when a stream is coded in lanes.
+LANE = 1024
 
 
 def check_cdf(cdf: Sequence[int]) -> None:
@@ -120,6 +122,138 @@ def decode(data: bytes, rows: Sequence[int], cdfs: Sequence[Sequence[int]], offs
     return out
 
 
+class Tables:
+    """CDF rows side by side, for coding many lanes at once: start and frequency of every entry, and a map from the low
+    16 bits of a state to its entry."""
+
+    def __init__(self, cdfs: Sequence[Sequence[int]], offset: int | Sequence[int]) -> None:
+        self.cdfs, self.offset = [list(c) for c in cdfs], offset
+        width = max(map(len, cdfs))
+        self.grid = np.full((len(cdfs), width), (1 << PRECISION) + 1, np.int64)
+        for i, c in enumerate(cdfs):
+            self.grid[i, : len(c)] = c
+        self.top = np.array([len(c) - 2 for c in cdfs])
+        self.first = np.full(len(cdfs), offset, np.int64) if isinstance(offset, int) else np.asarray(offset, np.int64)
+        self.flat = (self.grid + (np.arange(len(cdfs)) * ((1 << PRECISION) + 2))[:, None]).ravel()  # rises over all rows
+
+    def find(self, rows: np.ndarray, low: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.flat, low + rows * ((1 << PRECISION) + 2), "right") - 1
+        return at - rows * self.grid.shape[1]
+
+
+def _ops(symbols: np.ndarray, rows: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, frequency, bits) of what encode() does for the symbols; only escapes are worked out one by one."""
+    v = symbols - t.first[rows]
+    top = t.top[rows]
+    inside = (v >= 0) & (v < top)
+    at = np.where(inside, v, top)
+    start, freq = t.grid[rows, at], t.grid[rows, at + 1] - t.grid[rows, at]
+    bits = np.full(len(v), PRECISION)
+    if inside.all():
+        return start, freq, bits
+    parts, done = [], 0
+    for k in np.flatnonzero(~inside):
+        raw = int(-2 * v[k] - 1 if v[k] < 0 else 2 * (v[k] - top[k]))
+        n = max(1, -(-raw.bit_length() // NIBBLE))
+        extra = [15] * (n // 15) + [n % 15] + [(raw >> (NIBBLE * j)) & 15 for j in range(n)]
+        parts += [np.stack([x[done : k + 1] for x in (start, freq, bits)]), np.stack([np.array(extra), np.ones(len(extra), int), np.full(len(extra), NIBBLE)])]
+        done = k + 1
+    parts.append(np.stack([x[done:] for x in (start, freq, bits)]))
+    return tuple(np.concatenate(parts, axis=1))
+
+
+def encode_lanes(lanes: Sequence[tuple[np.ndarray, np.ndarray]], t: Tables) -> list[bytes]:
+    """encode() of many (symbols, rows) at once: one state a lane, all lanes a step at a time."""
+    ops = [_ops(np.asarray(s, np.int64), np.asarray(r, np.int64), t) for s, r in lanes]
+    sizes = np.array([len(o[0]) for o in ops])
+    most = int(sizes.max(initial=0))
+    grid = np.zeros((3, most, len(ops)), np.uint64)  # from the end: the last operation of every lane first
+    for i, o in enumerate(ops):
+        grid[:, : sizes[i], i] = np.stack(o)[:, ::-1]
+    order = np.argsort(-sizes, kind="stable")
+    grid, sizes = grid[:, :, order], sizes[order]
+    x, words, count = np.full(len(ops), LOW, np.uint64), np.zeros((len(ops), most + 2), np.uint32), np.zeros(len(ops), np.int64)
+    low, shift = np.uint64(LOW), np.uint64(32)
+    for k in range(most):
+        n = int(np.searchsorted(-sizes, -k, "left"))  # lanes that have an operation left
+        start, freq, bits = grid[0, k, :n], grid[1, k, :n], grid[2, k, :n]
+        y = x[:n]
+        out = np.flatnonzero(y >= ((low >> bits) << shift) * freq)
+        words[out, count[out]] = y[out] & np.uint64(0xFFFFFFFF)
+        count[out] += 1
+        y[out] >>= shift
+        q = y // freq
+        x[:n] = (q << bits) + (y - q * freq) + start
+    found: list[bytes] = [b""] * len(ops)
+    for i, o in enumerate(order):
+        head = np.array([int(x[i]) & 0xFFFFFFFF, int(x[i]) >> 32], np.uint32)
+        found[o] = np.concatenate([head, words[i, : count[i]][::-1]]).astype("<u4").tobytes()
+    return found
+
+
+def decode_lanes(data: Sequence[bytes], rows: Sequence[np.ndarray], t: Tables) -> list[np.ndarray]:
+    """decode() of many lanes at once."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    lanes, most = len(rows), int(sizes.max(initial=0))
+    words = [np.frombuffer(data[o], "<u4") for o in order]
+    grid = np.zeros((lanes, max(map(len, words), default=0) + 1), np.uint64)
+    which = np.zeros((most, lanes), np.int64)
+    for i, o in enumerate(order):
+        grid[i, : len(words[i])] = words[i]
+        which[: sizes[o], i] = rows[o]
+    left, sizes = np.array([len(w) for w in words]), sizes[order]
+    x, at = grid[:, 0] | grid[:, 1] << np.uint64(32) if lanes else np.zeros(0, np.uint64), np.full(lanes, 2)
+    out, low, mask = np.zeros((most, lanes), np.int64), np.uint64(LOW), np.uint64(0xFFFF)
+
+    def refill(i: np.ndarray) -> None:
+        i = i[(x[i] < low) & (at[i] < left[i])]
+        x[i] = (x[i] << np.uint64(32)) | grid[i, at[i]]
+        at[i] += 1
+
+    def nibble(i: np.ndarray) -> int:
+        got = int(x[i[0]]) & 15
+        x[i] >>= np.uint64(NIBBLE)
+        refill(i)
+        return got
+
+    every = np.arange(lanes)
+    for k in range(most):
+        n = int(np.searchsorted(-sizes, -k, "left"))
+        r, y = which[k, :n], x[:n]
+        part = (y & mask).astype(np.int64)
+        s = t.find(r, part)
+        start = t.grid[r, s]
+        x[:n] = (t.grid[r, s + 1] - start).astype(np.uint64) * (y >> np.uint64(PRECISION)) + (part - start).astype(np.uint64)
+        refill(every[:n])
+        for i in np.flatnonzero(s == t.top[r]):  # escapes
+            one, count = every[i : i + 1], 0
+            while (got := nibble(one)) == 15:
+                count += 15
+            raw = 0
+            for j in range(count + got):
+                raw |= nibble(one) << (NIBBLE * j)
+            s[i] = -((raw + 1) >> 1) if raw & 1 else s[i] + (raw >> 1)
+        out[k, :n] = s + t.first[r]
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    for i, o in enumerate(order):
+        found[o] = out[: sizes[i], i]
+    return found
+
+
+def _pack_lanes(parts: Sequence[bytes]) -> bytes:
+    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def _unpack_lanes(data: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", data)
+    sizes, at, out = struct.unpack_from(f"<{n}I", data, 4), 4 + 4 * n, []
+    for size in sizes:
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
 def empirical_cdf(symbols: DataFrame) -> DataFrame:
     """(channel, symbol, low, high): 16-bit cumulative counts of the symbols of each channel, one at least for each."""
     counts = symbols.groupBy("channel", "symbol").agg(F.count("*").alias("n"))
@@ -145,28 +279,40 @@ def tables_of(cdf: DataFrame) -> tuple[dict[int, int], list[list[int]], list[int
     return rows, tables, first
 
 
-def encode_streams(streams: DataFrame, tables: Sequence[Sequence[int]], offset: int | Sequence[int], keys: Sequence[str] = ("sid",)) -> DataFrame:
-    """(keys, payload) of rows (keys, sym array, idx array)."""
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays; null is empty."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    return np.split(flat, ends[:-1]) if len(column) else []
+
+
+def encode_streams(streams: DataFrame, tables: Sequence[Sequence[int]], offset: int | Sequence[int], keys: Sequence[str] = ("sid",), lane: int = LANE) -> DataFrame:
+    """(keys, payload) of rows (keys, sym array, idx array): rANS of lane symbols at a time, each with a state of its own,
+    which are coded side by side, and the sizes of the lanes before them."""
     sc = streams.sparkSession.sparkContext.broadcast((list(map(list, tables)), offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cdfs, first = sc.value
+        t = Tables(*sc.value)
         for b in batches:
-            out = [encode(s or [], i or [], cdfs, first) for s, i in zip(b.column("sym").to_pylist(), b.column("idx").to_pylist(), strict=True)]
+            cut = [[(s[at : at + lane], i[at : at + lane]) for at in range(0, len(s), lane)] for s, i in zip(_arrays(b.column("sym")), _arrays(b.column("idx")), strict=True)]
+            coded = iter(encode_lanes([x for c in cut for x in c], t))
+            out = [_pack_lanes([next(coded) for _ in c]) for c in cut]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.binary())], names=[*keys, "payload"])
 
     kinds = dict(streams.dtypes)
     return streams.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", payload binary")
 
 
-def decode_streams(streams: DataFrame, tables: Sequence[Sequence[int]], offset: int | Sequence[int], keys: Sequence[str] = ("sid",)) -> DataFrame:
+def decode_streams(streams: DataFrame, tables: Sequence[Sequence[int]], offset: int | Sequence[int], keys: Sequence[str] = ("sid",), lane: int = LANE) -> DataFrame:
     """(keys, sym) of rows (keys, payload, idx)."""
     sc = streams.sparkSession.sparkContext.broadcast((list(map(list, tables)), offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cdfs, first = sc.value
+        t = Tables(*sc.value)
         for b in batches:
-            out = [decode(p, i or [], cdfs, first) for p, i in zip(b.column("payload").to_pylist(), b.column("idx").to_pylist(), strict=True)]
+            idx = _arrays(b.column("idx"))
+            parts = [_unpack_lanes(p) for p in b.column("payload").to_pylist()]
+            back = iter(decode_lanes([x for p in parts for x in p], [i[at : at + lane] for i in idx for at in range(0, len(i), lane)], t))
+            out = [np.concatenate([next(back) for _ in p]) if p else np.zeros(0, np.int64) for p in parts]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.list_(pa.int64()))], names=[*keys, "sym"])
 
     kinds = dict(streams.dtypes)

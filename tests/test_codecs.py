@@ -143,3 +143,20 @@ def test_padding_arithmetic():
     assert tail_pad(20, 8, 2) == (3, 0)
     assert fits_5d((10, 256, 256)) and not fits_5d((5, 100, 100)) and not fits_5d((10, 256, 256), force=True)
     assert len(slice_grid((7, 10, 9), (4, 4, 4))) == 2 * 3 * 3
+
+
+def test_lanes_are_those_of_the_single_coder():
+    rng = np.random.default_rng(12)
+    cdfs = [entropy.quantized_cdf(rng.random(n) ** 3 + 1e-4) for n in (3, 9, 40)]
+    t = entropy.Tables(cdfs, [-1, 0, -20])
+    lanes = []
+    for n in (0, 1, 7, 300, 300, 1024):
+        rows = rng.integers(0, 3, n)
+        symbols = rng.integers(-25, 25, n) * np.where(rng.random(n) < 0.02, 10**9, 1)
+        lanes.append((symbols, rows))
+    data = entropy.encode_lanes(lanes, t)
+    for (symbols, rows), d in zip(lanes, data, strict=True):
+        assert d == entropy.encode(symbols.tolist(), rows.tolist(), cdfs, [-1, 0, -20])
+        assert entropy.decode(d, rows.tolist(), cdfs, [-1, 0, -20]) == symbols.tolist()
+    back = entropy.decode_lanes(data, [r for _, r in lanes], t)
+    assert all((b == s).all() and len(b) == len(s) for b, (s, _) in zip(back, lanes, strict=True))
