@@ -16,37 +16,52 @@ from pyspark.sql import functions as F
 
 from cubeweave.operators.entropy import from_planes, plane_streams
 from cubeweave.operators.lorenzo import difference, strict_deltas, strict_inverse, unzigzag, zigzag
+from cubeweave.scratch import drop_table, materialize
 
 BISECTIONS, SHRINK = 24, 0.999999
+#: Doublings, halvings or shrinkings that one pass tries.
+AHEAD = 16
 FEATURES = 7
 
 
 def global_step(pairs: DataFrame, target: float, *, bisections: int = BISECTIONS) -> tuple[float, float]:
     """(step, range) for rows (x, y): the largest step found by bisection with an NRMSE up to target, made smaller until it holds.
 
-    Every probe is one aggregate over a cached table of residuals; 1 where no correction is needed.
+    The residuals are written once; a pass over them is one aggregate that tries a grid of steps, four bisections
+    ahead. 1 where no correction is needed.
     """
-    r = pairs.select("x", (F.col("x") - F.col("y")).alias("r")).cache()
-    try:
-        n, low, high, raw = r.agg(F.count("*"), F.min("x"), F.max("x"), F.sum(F.col("r") * F.col("r"))).first()
-        span = (high or 0.0) - (low or 0.0)
-        most = (target * span) ** 2 * n
-        if not n or raw <= most:
-            return 1.0, span
-        sse = lambda st: r.agg(F.sum(F.pow(F.col("r") - F.rint(F.col("r") / st) * st, 2))).first()[0]
-        a = b = target * span * np.sqrt(12)
-        while sse(b) <= most:
-            a, b = b, 2 * b
-        while sse(a) > most:
-            a /= 2
-        for _ in range(bisections):
-            m = (a + b) / 2
-            a, b = (m, b) if sse(m) <= most else (a, m)
-        while sse(a) > most:
-            a *= SHRINK
-        return float(a), float(span)
-    finally:
-        r.unpersist()
+    r = materialize(pairs.select("x", (F.col("x") - F.col("y")).alias("r")), "residuals")
+    n, low, high, raw = r.agg(F.count("*"), F.min("x"), F.max("x"), F.sum(F.col("r") * F.col("r"))).first()
+    span = (high or 0.0) - (low or 0.0)
+    most = (target * span) ** 2 * n
+    if not n or raw <= most:
+        drop_table(r)
+        return 1.0, span
+    known: dict[float, bool] = {}
+
+    def holds(step: float, ahead: Sequence[float]) -> bool:
+        if step not in known:
+            steps = list(dict.fromkeys([step, *ahead]))
+            sums = r.agg(*[F.sum(F.pow(F.col("r") - F.rint(F.col("r") / st) * st, 2)) for st in steps]).first()
+            known.update((st, x <= most) for st, x in zip(steps, sums, strict=True))
+        return known[step]
+
+    def middles(a: float, b: float, depth: int) -> list[float]:
+        m = (a + b) / 2
+        return [m, *middles(a, m, depth - 1), *middles(m, b, depth - 1)] if depth else []
+
+    a = b = target * span * np.sqrt(12)
+    while holds(b, [b * 2.0**k for k in range(AHEAD)]):
+        a, b = b, 2 * b
+    while not holds(a, [a / 2.0**k for k in range(AHEAD)]):
+        a /= 2
+    for _ in range(bisections):
+        m = (a + b) / 2
+        a, b = (m, b) if holds(m, middles(a, b, 4)) else (a, m)
+    while not holds(a, [a * SHRINK**k for k in range(AHEAD)]):
+        a *= SHRINK
+    drop_table(r)
+    return float(a), float(span)
 
 
 def features(q: np.ndarray) -> np.ndarray:

@@ -229,3 +229,27 @@ def latent_coder(spark, d):
     back = coder.decompress(coder.compress(rows))
     e = back.select("sid", F.posexplode("y").alias("k", "q"))
     return e.groupBy("sid").agg(F.count("*").alias("n"), F.sum(F.col("q") * (F.col("k") + 1)).alias("places"))
+
+
+GLOBAL_SQL = f"""WITH RECURSIVE {PAIR}, r AS (SELECT x, x - y AS r FROM q), k AS (SELECT count(*) AS n, max(x) - min(x) AS span, list(r) AS rs FROM r),
+    s AS (
+        SELECT 0 AS i, CAST(NULL AS DOUBLE) AS a, 0.02 * span * sqrt(12) AS b FROM k
+        UNION ALL
+        SELECT i + 1, CASE WHEN i < 12 THEN CASE WHEN ok THEN b ELSE a END ELSE CASE WHEN ok THEN m ELSE a END END,
+               CASE WHEN i < 12 THEN CASE WHEN ok THEN 2 * b ELSE b END ELSE CASE WHEN ok THEN b ELSE m END END
+        FROM (SELECT *, list_sum(list_transform(rs, lambda z: pow(z - round_even(z / m, 0) * m, 2))) <= pow(0.02 * span, 2) * n AS ok FROM (SELECT s.*, k.*, CASE WHEN i < 12 THEN b ELSE (a + b) / 2 END AS m FROM s, k WHERE i < 36)))
+    SELECT round(a, 6) AS step FROM s WHERE i = 36"""
+
+
+@query(GLOBAL_SQL)
+def global_step_value(spark, d):
+    """The one quantiser step that holds an NRMSE of 0.02 over all residuals, to six places."""
+    from cubeweave.operators import biased_codec
+
+    step, _ = biased_codec.global_step(vectors_with_means(spark, d), 0.02)
+    return spark.createDataFrame([(round(step, 6),)], "step double")
+
+
+def vectors_with_means(spark, d):
+    p = vectors(spark, d)
+    return p.join(p.groupBy("label", "k").agg(F.avg("x").alias("y")), ["label", "k"]).select("x", "y")
