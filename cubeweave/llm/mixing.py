@@ -90,7 +90,8 @@ def mix(documents: DataFrame, tickets: Mapping[str, int] | None = None, *, defau
     cut into blocks of block_rows in the order of a hash of doc_id, then of doc_id; slot numbers the blocks of the
     mixture without gaps, and place the rows of a block. Release and deadline are slots of the block's phase.
     Every row is placed once: null sources form a source, null and repeated ids are ordered arbitrarily but
-    kept. An empty table gives no rows.
+    kept; the text is not read, so it may be null or of any length. Columns that are not named are ignored, whatever
+    they are called. An empty table gives no rows.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("__s"), shuffle_key(F.col(id_col).cast("long")).alias("__h"), F.monotonically_increasing_id().alias("__rid"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
@@ -114,7 +115,8 @@ def mixed(documents: DataFrame, tickets: Mapping[str, int] | None = None, **opti
     """The rows of documents in the order of the mixture, with all their columns.
 
     Rows are found again by file and row number, so that the text moves only twice: to its place in the mixture
-    and into order. Tables that aren't read from files are written once.
+    and into order. Tables that aren't read from files are written once. Null and repeated ids, null sources, and
+    columns of any names are as in mix(): every row is in the result once. An empty table gives an empty one.
     """
     names = documents.columns
     keyed = with_row_keys(documents)
