@@ -54,6 +54,11 @@ def scale_row(scale: float, scales: Sequence[float]) -> int:
     return bisect.bisect_left(scales, max(scale, scales[0]), 0, len(scales) - 1)
 
 
+def scale_rows(values: np.ndarray, scales: Sequence[float]) -> np.ndarray:
+    """scale_row of many values."""
+    return np.searchsorted(np.asarray(scales[:-1]), np.maximum(np.asarray(values, np.float64), scales[0]), "left")
+
+
 def likelihood(x: float, scale: float) -> float:
     """Probability of the unit bin around x under a centred normal distribution, 1e-9 at least."""
     root = scale * math.sqrt(2)
@@ -425,10 +430,11 @@ class LatentCoder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, cdf, scales, tables, offset = state
+            z_tables, y_tables = Tables([cdf], first), Tables(tables, offset)
             for b in batches:
-                ys, zs = b.column("y").to_pylist(), b.column("z").to_pylist()
-                z_data = [encode(z, [0] * len(z), [cdf], first) for z in zs]
-                y_data = [encode(y, [scale_row(float(k), scales) for k in z], tables, offset) for y, z in zip(ys, zs, strict=True)]
+                ys, zs = _arrays(b.column("y")), _arrays(b.column("z"))
+                z_data = encode_lanes([(z, np.zeros(len(z), np.int64)) for z in zs], z_tables)
+                y_data = encode_lanes([(y, scale_rows(z, scales)) for y, z in zip(ys, zs, strict=True)], y_tables)
                 yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(map(len, ys), pa.int64()), pa.array(z_data, pa.binary()), pa.array(y_data, pa.binary())], names=["sid", "n", "z_payload", "y_payload"])
 
         return rows.select("sid", "y", "z").mapInArrow(run, "sid long, n long, z_payload binary, y_payload binary")
@@ -439,9 +445,10 @@ class LatentCoder:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, cdf, scales, tables, offset = state
+            z_tables, y_tables = Tables([cdf], first), Tables(tables, offset)
             for b in batches:
-                zs = [decode(p, [0] * n, [cdf], first) for p, n in zip(b.column("z_payload").to_pylist(), b.column("n").to_pylist(), strict=True)]
-                ys = [decode(p, [scale_row(float(k), scales) for k in z], tables, offset) for p, z in zip(b.column("y_payload").to_pylist(), zs, strict=True)]
+                zs = decode_lanes(b.column("z_payload").to_pylist(), [np.zeros(n, np.int64) for n in b.column("n").to_pylist()], z_tables)
+                ys = decode_lanes(b.column("y_payload").to_pylist(), [scale_rows(z, scales) for z in zs], y_tables)
                 yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(ys, pa.list_(pa.int64())), pa.array(zs, pa.list_(pa.int64()))], names=["sid", "y", "z"])
 
         return coded.select("sid", "n", "z_payload", "y_payload").mapInArrow(run, "sid long, y array<bigint>, z array<bigint>")
