@@ -50,7 +50,7 @@ AUDIT = 128
 AUDITED, AUDITED_PAIRS = 256, 4096
 #: Keys of texts to verify up to which they are broadcast (at about 150 bytes); beyond, the texts are shuffled.
 BROADCAST_KEYS = 100_000
-#: Nodes that are verified in one go.
+#: Nodes that are verified in one go; a set of more than a quarter of that goes alone.
 VERIFIED = 512
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -306,7 +306,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, label: np.ndarra
 
 
 def connected(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """Rows (key, node) of the connected sets of edges a, b; the key is a hash of a set's nodes."""
+    """Rows (key, node, size) of the connected sets of edges a, b; the key is a hash of a set's nodes."""
     from xxhash import xxh64_intdigest
 
     _, label = forest(len(node), a, b, np.zeros(len(a), int), np.arange(len(node)))
@@ -314,11 +314,12 @@ def connected(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
     member = member[np.lexsort((node[member], label[member]))]
     parts = np.split(node[member], np.flatnonzero(np.diff(label[member])) + 1) if len(member) else []
     keys = np.array([xxh64_intdigest(p.tobytes()) for p in parts], np.uint64).view(np.int64)
-    return pa.table({"key": pa.array(np.repeat(keys, [len(p) for p in parts]), pa.int64()), "node": pa.array(node[member], pa.int64())})
+    sizes = [len(p) for p in parts]
+    return pa.table({"key": pa.array(np.repeat(keys, sizes), pa.int64()), "node": pa.array(node[member], pa.int64()), "size": pa.array(np.repeat(sizes, sizes), pa.int64())})
 
 
 def candidates(table: pa.Table) -> pa.Table:
-    """The connected sets of near nodes of different groups in one shard: key, node."""
+    """The connected sets of near nodes of different groups in one shard: key, node, size."""
     rows = {c: table[c].to_numpy() for c in ("node", "n", "grp", "i", "h")}
     order = np.lexsort((rows["node"], rows["h"], rows["i"]))
     node = rows["node"][order]
@@ -352,7 +353,7 @@ def bucket_candidates(table: pa.Table) -> pa.Table:
         a, b = (np.concatenate(x) for x in zip(*near, strict=True))
         if len(a):
             out.append(connected(node[start:end], a, b))
-    return pa.concat_tables(out) if out else pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+    return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("key", "node", "size")})
 
 
 def true_links(table: pa.Table) -> pa.Table:
@@ -558,7 +559,7 @@ def _classes(keyed: DataFrame, doc: str, text: str, audit: bool = False) -> Data
         """links and the true ones of the connected sets in asked."""
         own = sets or sets_of(asked)
         buckets = max(1, -(-asked.count() // VERIFIED))
-        met = asked.join(known.select("node", "grp"), "node").join(own, "node").withColumn("bucket", F.pmod("key", F.lit(buckets)))
+        met = asked.join(known.select("node", "grp"), "node").join(own, "node").withColumn("bucket", F.when(4 * F.col("size") > VERIFIED, F.col("key")).otherwise(F.pmod("key", F.lit(buckets))))
         true = met.groupBy("bucket").applyInArrow(true_links, "a long, b long")
         out = materialize(true if links is None else true.unionAll(links), "simhash-links")
         drop_table(own)
@@ -568,7 +569,7 @@ def _classes(keyed: DataFrame, doc: str, text: str, audit: bool = False) -> Data
     for part in (range(FIRST), range(HASHES)):
         known = grouped(groups)
         dealt, shared = deal(known, part)
-        asked = dealt.groupBy("shard").applyInArrow(candidates, "key long, node long").distinct()
+        asked = dealt.groupBy("shard").applyInArrow(candidates, "key long, node long, size long").distinct()
         if verified is not None:
             asked = asked.join(verified.select("key").distinct(), "key", "left_anti")
         verified = materialize(asked, "simhash-asked")
@@ -581,7 +582,7 @@ def _classes(keyed: DataFrame, doc: str, text: str, audit: bool = False) -> Data
     cut = materialize(cut.join(shared_by_groups(cut, "i", "h").select("i", "h"), ["i", "h"]), "simhash-apart")
     if cut.limit(1).count():
         sets = sets_of(cut)
-        asked = deal_exactly(cut, known, sets).groupBy("shard").applyInArrow(bucket_candidates, "key long, node long").distinct()
+        asked = deal_exactly(cut, known, sets).groupBy("shard").applyInArrow(bucket_candidates, "key long, node long, size long").distinct()
         links = united(materialize(asked.join(verified.select("key").distinct(), "key", "left_anti"), "simhash-asked"), known, sets)
         groups = components(links)
     root = F.coalesce("root", "node")
