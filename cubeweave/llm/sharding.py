@@ -3,8 +3,9 @@
 A node is split along its widest metadata dimension (the one whose range covers most of the whole range)
 at the weighted median of (dimension, id): half the bytes go to either side, to within one row. Medians are
 found by histograms that are refined together for up to NODES nodes, so a pass sends BUCKETS rows to the driver
-whatever the input. Only the narrow metadata table is read by these passes; every level writes it anew with
-the nodes its rows have come to, so no pass repeats the splits of the levels above.
+whatever the input. Only the narrow metadata table is read by these passes. What the driver knows of up to SPAN nodes
+stands in the plan as arrays that a row's node is an index of, more is joined; after every level but the last the table
+is written anew with the nodes its rows have come to, so no pass repeats the splits of the levels above.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from cubeweave.scratch import drop_table, materialize, new_path
 
 #: Histogram rows of one pass over the nodes that are searched together: what the driver gets at once.
 BUCKETS, NODES = 1 << 14, 1 << 12
+#: Nodes, and labels, of which the plan holds arrays.
+SPAN = 256
 #: Rows of a table of labels, or of splits, up to which it is broadcast (at about 60 bytes); beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1 << 17
 DIMS = ("d_size", "d_lang", "d_source", "d_id")
@@ -41,8 +44,15 @@ def metadata(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ), "shard-rows")
     labels = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("label")) for c in ("lang", "source")]))
     known = rows.select("lang", "source").distinct().select(labels.alias("l")).select("l.dim", "l.label").filter("label IS NOT NULL").distinct()
+    found = known.limit(SPAN + 1).collect()
+    placed = rows
+    if len(found) <= SPAN:
+        for c in ("lang", "source"):
+            own = sorted((r["label"] for r in found if r["dim"] == c), key=lambda x: x.encode("utf-8", "surrogatepass"))
+            placed = placed.withColumn(f"d_{c}", F.coalesce(F.array_position(F.array(*map(F.lit, own)).cast("array<string>"), F.col(c)) - 1, F.lit(-1).cast("long")))
+        return placed.select("shard", "rid", "doc_id", "size", "text_crc32", *DIMS)
     known = materialize(rank_in_groups(known, ["dim"], ["label"], name="place"), "shard-labels")
-    placed, small = rows, known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     for c in ("lang", "source"):
         own = known.filter(F.col("dim") == c).select(F.col("label").alias(c), F.col("place").alias(f"d_{c}"))
         placed = placed.join(F.broadcast(own) if small else own, c, "left").withColumn(f"d_{c}", F.coalesce(f"d_{c}", F.lit(-1).cast("long")))
@@ -85,7 +95,8 @@ def kd_tree(meta: DataFrame, leaves: int | None = None, *, target_bytes: int | N
         raise ValueError("leaves must be a power of two")
     if target_bytes is not None and target_bytes < 1:
         raise ValueError("target_bytes must be positive")
-    placed, whole, depth = meta, [], 0
+    placed = written = meta
+    whole, depth = [], 0
     while leaves is None or depth < leaves.bit_length() - 1:
         measures = [f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]
         nodes = placed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), *measures)
@@ -103,10 +114,12 @@ def kd_tree(meta: DataFrame, leaves: int | None = None, *, target_bytes: int | N
             tasks.append(_Search(r["shard"], dim, r["bytes"], r[f"lo_{DIMS[dim]}"], r[f"hi_{DIMS[dim]}"]))
         for at in range(0, len(tasks), NODES):
             _find(placed, tasks[at : at + NODES])
-        after = materialize(_split(placed, tasks), "shard-level")
-        if placed is not meta:
-            drop_table(placed)
-        placed, depth = after, depth + 1
+        placed, depth = _split(placed, tasks), depth + 1
+        if depth + 1 != (leaves or 0).bit_length():
+            after = materialize(placed, "shard-level")
+            if written is not meta:
+                drop_table(written)
+            placed = written = after
     if leaves is not None:  # all leaves stand in one row of the tree
         return placed.withColumn("shard", F.col("shard") - (leaves - 1))
     leaf = rank_in_groups(placed.select("shard").distinct().withColumn("one", F.col("shard") * 0), ["one"], ["shard"], name="leaf")
@@ -134,16 +147,29 @@ def _value(dim: Column) -> Column:
     return F.element_at(F.array(*DIMS), dim.cast("int") + 1)
 
 
+def _with(rows: DataFrame, params: Sequence[Sequence[int | bool]], names: Sequence[str]) -> DataFrame:
+    """Rows with what params say of their shards: the first of each is the shard, the others go by names; null elsewhere."""
+    low, high = min(p[0] for p in params), max(p[0] for p in params)
+    if high - low >= SPAN:
+        known = _numbers(rows.sparkSession, params, ("__n", *names))
+        return rows.join(known, F.col("shard") == F.col("__n"), "left").drop("__n")
+    of = {p[0]: p for p in params}
+    cell = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else f"{x}L"
+    kind = lambda k: "array<boolean>" if isinstance(params[0][k], bool) else "array<bigint>"
+    listed = lambda k: ",".join(cell(of[n][k] if n in of else None) for n in range(low, high + 1))
+    columns = [F.expr(f"get(cast(array({listed(k)}) AS {kind(k)}), cast(shard - {low} AS int))").alias(name) for k, name in enumerate(names, 1)]
+    return rows.select("*", *columns)
+
+
 def _find(rows: DataFrame, tasks: list[_Search]) -> None:
     """Refine histograms until every task has found its row."""
-    spark = rows.sparkSession
     while open_ := [t for t in tasks if t.found is None]:
         params = [(t.node, t.dim, len(t.fixed), *(t.fixed + [0, 0])[:2], t.lo, t.hi, *t.grid(max(4, BUCKETS // len(open_)))) for t in open_]
-        known = values(spark, params, ("shard", "dim", "level", "f0", "f1", "lo", "hi", "shift", "low", "width"))
+        held = _with(rows, params, ("dim", "level", "f0", "f1", "lo", "hi", "shift", "low", "width")).filter("dim IS NOT NULL")
         value = _value(F.col("dim"))
         at = F.when(F.col("level") == 0, value).when(F.col("level") == 1, F.col("d_id")).otherwise(F.col("rid"))
         fits = ((F.col("level") < 1) | (value == F.col("f0"))) & ((F.col("level") < 2) | (F.col("d_id") == F.col("f1")))
-        held = rows.join(F.broadcast(known), "shard").filter(fits).withColumn("at", at).filter(F.col("at").between(F.col("lo"), F.col("hi")))
+        held = held.filter(fits).withColumn("at", at).filter(F.col("at").between(F.col("lo"), F.col("hi")))
         bucket = F.expr("(shiftright(at, cast(shift AS int)) - low) div width").alias("bucket")
         ends = [f(c).alias(f"{n}{i}") for i, c in enumerate(("at", "d_id", "rid")) for n, f in (("a", F.min), ("b", F.max))]
         counts = held.groupBy("shard", bucket).agg(F.sum("size").alias("w"), F.count("*").alias("n"), *ends).collect()
@@ -181,14 +207,13 @@ def _split(rows: DataFrame, tasks: list[_Search]) -> DataFrame:
     for t in tasks:
         (keys, left) = t.found
         params.append((t.node, t.dim, len(keys), *(list(keys) + [0, 0])[:3], left))
-    known = _numbers(rows.sparkSession, params, ("__n", "dim", "level", "k0", "k1", "k2", "at_left"))
+    known = _with(rows, params, ("dim", "level", "k0", "k1", "k2", "at_left"))
     later = [(_value(F.col("dim")), "k0"), (F.col("d_id"), "k1"), (F.col("rid"), "k2")]
     right = ~F.col("at_left")
     for depth, (c, k) in reversed(list(enumerate(later))):
         right = F.when(F.col("level") <= depth, right).when(c == F.col(k), right).otherwise(c > F.col(k))
-    child = F.when(F.col("__n").isNull(), F.col("shard")).otherwise(F.col("shard") * 2 + 1 + right.cast("long"))
-    out = rows.join(known, F.col("shard") == F.col("__n"), "left").withColumn("child", child)
-    return out.select(*[F.col("child").alias("shard") if c == "shard" else F.col(c) for c in rows.columns])
+    child = F.when(F.col("dim").isNull(), F.col("shard")).otherwise(F.col("shard") * 2 + 1 + right.cast("long"))
+    return known.select(*[child.alias("shard") if c == "shard" else F.col(c) for c in rows.columns])
 
 
 def shard_documents(documents: DataFrame, *, leaves: int | None = None, target_bytes: int | None = None, **columns: str) -> DataFrame:
