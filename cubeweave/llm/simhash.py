@@ -18,8 +18,8 @@
    similar sets the first 0.2 n + 1 shingles in any one order have one in common. The order begins with shingles
    that few of these nodes have, so no bucket is cut. Nodes with fewer of those than that meet by their min-wise
    hashes, every cut with every other. Within a bucket of up to 2 HOT_NODES nodes fingerprints are compared exactly.
-7. The result is audited against exact search: a sample of nodes is compared with all nodes, and of the pairs that are
-   similar by their shingles the share is given that fell in one group.
+7. If asked, the result is audited against exact search: a sample of nodes is compared with all nodes, and of the pairs
+   that are similar by their shingles the share is given that fell in one group.
 """
 
 from __future__ import annotations
@@ -506,8 +506,8 @@ def audited_recall(nodes: DataFrame, groups: DataFrame, sets_of: Callable[[DataF
         for batch in batches:
             node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             with_all = np.stack([batch.column(2 + k).to_numpy() for k in range(4)], axis=1).view(np.uint64)
-            for at in range(0, len(node), 4096):
-                part = slice(at, at + 4096)
+            for at in range(0, len(node), 512):
+                part = slice(at, at + 512)
                 large, small = np.maximum(n[part, None], count[None]), np.minimum(n[part, None], count[None])
                 r, c = np.nonzero((all_distances(with_all[part], fp) <= NEAR) & (small >= SIMILARITY * large - 1e-9) & (node[part, None] != own[None]))
                 yield pa.RecordBatch.from_arrays([pa.array(own[c]), pa.array(node[part][r])], names=["a", "b"])
@@ -523,8 +523,8 @@ def audited_recall(nodes: DataFrame, groups: DataFrame, sets_of: Callable[[DataF
     return found / n if n else 1.0
 
 
-def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for every row of documents: doc_id, class_id, kept, and audited_recall, the same in all rows.
+def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", audit: bool = False) -> DataFrame:
+    """One row for every row of documents: doc_id, class_id, kept; with audit also audited_recall, the same in all rows.
 
     class_id is the smallest doc_id of the group of texts that are equal or joined by links of similarity
     SIMILARITY or more of their sets of word 5-grams; kept is true for exactly one row of a group, one with that
@@ -533,7 +533,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     no rows; extra columns are ignored.
     """
     names = documents.columns
-    return _classes(with_row_keys(documents), *(f"c{names.index(c)}" for c in (id_col, text_col)), audit=True).drop("__file", "__row")
+    return _classes(with_row_keys(documents), *(f"c{names.index(c)}" for c in (id_col, text_col)), audit=audit).drop("__file", "__row")
 
 
 def _classes(keyed: DataFrame, doc: str, text: str, audit: bool = False) -> DataFrame:

@@ -393,7 +393,7 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     ids = [r[0] for r in rows]
     assert len(set(ids)) == len(ids)
     want = classes_by_brute_force(rows)
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), audit=True).collect()}
     assert all(got[i]["class_id"] == want[k] for k, (i, _) in enumerate(rows))
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) and r["audited_recall"] == 1 for r in got.values())
 
