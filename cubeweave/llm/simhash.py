@@ -62,26 +62,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Sets of 64-bit hashes of word 5-grams. A text of fewer words is one shingle; without words it has none."""
-
-    def __init__(self, most: int = 100_000) -> None:
+#: Bytes of a word up to which its hash is a sum of TABLE's numbers; bytes of a text that are hashed in one go.
+LONG_WORD, HASHED_BYTES = 64, 1 << 20
+#: A random number for each place in a word and each byte there; none for the space, so what stands behind a word adds nothing.
+TABLE = mix(np.arange(1, LONG_WORD * 256 + 1, dtype=np.uint64) * MULTIPLIER).reshape(LONG_WORD, 256)
+TABLE[:, 0x20] = 0
+TABLE = TABLE.ravel()
+#: Of ASCII, what str.split() takes for white space, as spaces.
+SPACES = bytes(0x20 if chr(c).isspace() else c for c in range(128)) + bytes(range(128, 256))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text, as str.split() finds them, in order."""
+    raw = text.encode().translate(SPACES) if text.isascii() else " ".join(text.split()).encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    while at < len(raw):
+        end = raw.find(b" ", at + HASHED_BYTES) if at + HASHED_BYTES < len(raw) else -1
+        end = len(raw) if end < 0 else end
+        out.append(_word_hashes(raw[at:end]))
+        at = end
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    codes = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(codes != 0x20, prepend=False, append=False))
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    codes, begin = codes[starts[0] :], starts - starts[0]
+    place = np.arange(len(codes)) - np.repeat(begin, np.diff(begin, append=len(codes)))
+    out = np.add.reduceat(TABLE[np.minimum(place, LONG_WORD - 1) * 256 + codes], begin)
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
         from xxhash import xxh64_intdigest
 
-        self.digest, self.most = xxh64_intdigest, most
-        self.known: dict[str, int] = {}
+        out[long] = np.array([xxh64_intdigest(raw[starts[k] : starts[k] + size[k]]) for k in long], np.uint64)
+    return out
+
+
+class Shingler:
+    """Sets of 64-bit hashes of word 5-grams. A text of fewer words is one shingle; without words it has none."""
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if new := set(words).difference(known):
-            if len(known) > self.most:
-                known.clear()
-                new = set(words)
-            known.update((w, self.digest(w.encode("utf-8", "surrogatepass"))) for w in new)
-        w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        w = word_hashes(text)
+        if not len(w):
+            return w
         if len(w) < WORDS:
             out = np.array([len(w)], np.uint64)
             for x in w:
@@ -91,7 +117,8 @@ class Shingler:
         for k in range(1, WORDS):
             out *= MULTIPLIER
             out += w[k : len(w) - WORDS + 1 + k]
-        return np.unique(mix(out))
+        out = np.sort(mix(out))
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 _seeds = mix(np.arange(1, 13, dtype=np.uint64) * MULTIPLIER)
@@ -100,16 +127,16 @@ _seeds = mix(np.arange(1, 13, dtype=np.uint64) * MULTIPLIER)
 def fingerprint(shingles: np.ndarray) -> np.ndarray:
     """256 bits as four numbers: each the majority of that bit in the shingles' hashes."""
     counts = np.zeros(256, np.int64)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        bits = mix(part[:, None] ^ _seeds[None, :4])
-        counts += np.unpackbits(bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(shingles), 255):  # as many as a byte can count: bits are summed eight bytes at a time
+        bits = np.unpackbits(mix(shingles[at : at + 255, None] ^ _seeds[None, :4]).view(np.uint8), axis=1)
+        counts += bits.view(np.uint64).sum(axis=0).view(np.uint8)
     return np.packbits(2 * counts > len(shingles)).view(np.uint64)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest of the shingles under each of the hash orders."""
-    return np.array([mix(shingles ^ s).min() for s in _seeds[4 : 4 + HASHES]], np.uint64)
+    parts = (shingles[None, at : at + 4096] ^ _seeds[4 : 4 + HASHES, None] for at in range(0, len(shingles), 4096))
+    return np.min([mix(p).min(axis=1) for p in parts], axis=0)
 
 
 def features(keyed: DataFrame, doc: str, text: str) -> DataFrame:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
+from cubeweave import components
 from cubeweave.llm import chat, html_tree, mixing, quality, sentencepieces, sharding, simhash, topk, url_templates, warc
 from cubeweave.scratch import new_path
 
@@ -398,6 +399,40 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) and r["audited_recall"] == 1 for r in got.values())
 
 
+def test_few_links_are_united_without_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    links = [(x, x + 1) for x in range(5000, 5300)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(7, 7), (2, 1), (1, 2)]
+    df = spark.createDataFrame(links, "a long, b long")
+    nothing = spark.createDataFrame([], "a long, b long")
+    by_rounds = []
+    for bound in (0, components.DRIVER_LINKS):
+        monkeypatch.setattr(components, "DRIVER_LINKS", bound)
+        by_rounds.append(sorted(map(tuple, components.components(df).distinct().collect())))
+        assert components.components(nothing).count() == 0
+    assert by_rounds[0] == by_rounds[1] and (5300, 5000) in by_rounds[1]
+    monkeypatch.setattr(components, "ROUNDS", 0)
+    assert sorted(map(tuple, components.components(df).collect())) == by_rounds[0]
+
+
+def test_word_hashes(monkeypatch):
+    rng = random.Random(13)
+    for k in range(400):
+        text = "".join(rng.choice("ab \u00e9\u3000\xa0\x1c\x85\t\n\u2581") for _ in range(rng.randrange(150))) + "y" * rng.choice([0, 1, 63, 64, 65, 130])
+        found, words_ = simhash.word_hashes(text).tolist(), text.split()
+        assert len(found) == len(words_) and len(set(found)) == len(set(words_)) == len(set(zip(found, words_, strict=True)))
+        monkeypatch.setattr(simhash, "HASHED_BYTES", 8)
+        assert simhash.word_hashes(text).tolist() == found
+        monkeypatch.undo()
+
+
+@pytest.mark.parametrize("n", [1, 254, 255, 256, 600, 5000])
+def test_fingerprints_and_minima(n):
+    s = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
+    bits = np.unpackbits(simhash.mix(s[:, None] ^ simhash._seeds[None, :4]).view(np.uint8), axis=1)
+    assert (simhash.fingerprint(s) == np.packbits(2 * bits.sum(axis=0, dtype=int) > len(s)).view(np.uint64)).all()
+    assert simhash.minima(s).tolist() == [simhash.mix(s ^ x).min() for x in simhash._seeds[4:12]]
+
+
 def test_the_audit_sees_what_is_lost(spark):
     rng = random.Random(10)
     rows = []
