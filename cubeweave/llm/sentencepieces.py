@@ -22,6 +22,8 @@ from cubeweave.workers import bounded_batches, once
 MARK = "▁"
 #: Words, and their characters, that the table of a task may hold before it is begun anew.
 TABLE_WORDS, TABLE_CHARS, WORD_CHARS = 400_000, 8_000_000, 200
+#: Characters of texts whose words are segmented in one go; a longer text goes alone.
+GROUP_CHARS = 200_000
 
 
 class ChunkTable:
@@ -29,6 +31,7 @@ class ChunkTable:
 
     def __init__(self, model_path: str) -> None:
         self.model = once(("sentencepiece", model_path), lambda: loaded(model_path))
+        self.names, self.odd = once(("pieces", model_path), lambda: pieces(model_path))
         self._begin()
 
     def _begin(self) -> None:
@@ -38,35 +41,48 @@ class ChunkTable:
         self.chars = 0
 
     def _add(self, words: set[str]) -> None:
-        new = list(words)
-        ids = self.model.encode(new, num_threads=1)
-        for w, i, d in zip(new, ids, self.model.decode(ids, num_threads=1) if new else [], strict=True):
-            self.ids[w] = ",".join(map(str, i))
-            if d != w:
-                self.decoded[w] = d
-            self.chars += len(w)
+        """A word without spaces whose pieces all stand for themselves is what they decode to; others are decoded."""
+        new, name, plain = list(words), self.names.__getitem__, self.odd.isdisjoint
+        ids = self.model.encode(new, num_threads=1) if new else []
+        self.ids.update(zip(new, [",".join(map(name, i)) for i in ids], strict=True))
+        self.chars += sum(map(len, new))
+        unsure = [k for k, i in enumerate(ids) if not plain(i) or " " in new[k]]
+        for k, d in zip(unsure, self.model.decode([ids[k] for k in unsure], num_threads=1) if unsure else [], strict=True):
+            if d != new[k]:
+                self.decoded[new[k]] = d
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
-        """Of each text its ids, joined by commas, and what they decode to."""
-        for text in texts:
-            if not text:
+        """Of each text its ids, joined by commas, and what they decode to. Words are segmented for several texts at once."""
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and chars < GROUP_CHARS:
+                chars += len(texts[end] or "")
+                end += 1
+            yield from self._group(texts[at:end])
+            at = end
+
+    def _group(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
+        split = [marked_words(text) if text else None for text in texts]
+        every = set().union(*(words for words in split if words))
+        missing = every.difference(self.ids)
+        if missing:
+            if len(self.ids) + len(missing) > TABLE_WORDS or self.chars > TABLE_CHARS:
+                self._begin()
+                missing = every.difference(self.ids)
+            self._add(missing)
+        for words in split:
+            if words is None:
                 yield "", ""
                 continue
-            words = marked_words(text)
-            missing = set(words).difference(self.ids)
-            if missing:
-                if len(self.ids) + len(missing) > TABLE_WORDS or self.chars > TABLE_CHARS:
-                    self._begin()
-                    missing = set(words).difference(self.ids)
-                self._add(missing)
-            changed = not self.decoded.keys().isdisjoint(words)
+            changed = bool(self.decoded) and not self.decoded.keys().isdisjoint(words)
             yield ",".join(map(self.ids.__getitem__, words)), " ".join([self.decoded.get(w, w) for w in words] if changed else words)
-            if missing and max(map(len, missing)) > WORD_CHARS:  # words of any length are segmented, long ones not kept
-                for w in missing:
-                    if len(w) > WORD_CHARS:
-                        self.chars -= len(w)
-                        del self.ids[w]
-                        self.decoded.pop(w, None)
+        if missing and max(map(len, missing)) > WORD_CHARS:  # words of any length are segmented, long ones not kept
+            for w in missing:
+                if len(w) > WORD_CHARS:
+                    self.chars -= len(w)
+                    del self.ids[w]
+                    self.decoded.pop(w, None)
 
 
 def marked_words(text: str) -> list[str]:
@@ -88,6 +104,14 @@ def loaded(model_path: str):
     return sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
+def pieces(model_path: str) -> tuple[list[str], frozenset[int]]:
+    """The ids of a model in decimal, and those of them that don't stand for their own characters: bytes, controls, unknown ones."""
+    model = once(("sentencepiece", model_path), lambda: loaded(model_path))
+    ids = range(model.get_piece_size())
+    odd = lambda i: model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
+    return [str(i) for i in ids], frozenset(i for i in ids if odd(i))
+
+
 def crossing(model_path: str) -> str:
     """Why words can't be segmented one by one with this model; empty if they can."""
     from sentencepiece import sentencepiece_model_pb2

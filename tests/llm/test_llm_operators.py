@@ -262,6 +262,21 @@ def test_encoding_is_the_librarys(spark, odd):
     assert sentencepieces.encode_documents(empty(spark, DOCS), MODEL).count() == 0
 
 
+def test_texts_are_segmented_together_and_only_unsure_words_decoded():
+    table, calls = sentencepieces.ChunkTable(MODEL), []
+    model = table.model
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(model, name)
+
+    table.model = Counted()
+    texts = ["the plain words", "of two texts", "the same words"]
+    assert [tuple(x) for x in table.batch(texts)] == [(",".join(map(str, model.encode(t))), model.decode(model.encode(t))) for t in texts]
+    assert calls == ["encode"]
+
+
 def test_a_small_table_changes_nothing(monkeypatch):
     monkeypatch.setattr(sentencepieces, "TABLE_WORDS", 3)
     table = sentencepieces.ChunkTable(MODEL)
