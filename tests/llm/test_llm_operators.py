@@ -298,6 +298,14 @@ def test_rules_and_templates(spark):
     assert url_templates.filter_urls(empty(spark, "page_id long, url string"), rules).count() == 0
 
 
+def test_op4_has_the_verdicts_of_the_contract(spark, tmp_path):
+    from cubeweave.llm.queries import op4_url_templates
+
+    of = {"http://a.com/en/x": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://www.x.net/de/a?q": ("net/de/", "allow"), "http://net/de/": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://b.example.net/de/8x": ("example.net/de/8", "block"), "http://c.org/es/#z": ("org/es/", "block"), "http://c.net/en/": (None, "allow")}
+    spark.createDataFrame(list(enumerate(of)), "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert [(r["rule"], r["verdict"]) for r in op4_url_templates(spark, f"file://{tmp_path}").orderBy("page_id").collect()] == list(of.values())
+
+
 def test_template_is_rejected_and_siblings_not(spark):
     urls = [f"http://h.com/shop/{i}/deal" for i in range(9)] + [f"http://h.com/en/shop/{i}" for i in range(30)] + ["http://h.com/news/1", "http://h.com/shopping/x/deal"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
