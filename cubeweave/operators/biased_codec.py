@@ -24,44 +24,72 @@ AHEAD = 16
 FEATURES = 7
 
 
+class _Residuals:
+    """Residuals of rows (x, y), written once; a pass over them is one aggregate that tries a grid of steps."""
+
+    def __init__(self, pairs: DataFrame, target: float) -> None:
+        self.r = materialize(pairs.select("x", (F.col("x") - F.col("y")).alias("r")), "residuals")
+        self.n, low, high, self.raw = self.r.agg(F.count("*"), F.min("x"), F.max("x"), F.sum(F.col("r") * F.col("r"))).first()
+        self.empty = low is None
+        self.span = (high or 0.0) - (low or 0.0)
+        self.most = (target * self.span) ** 2 * self.n
+        self.known: dict[float, bool] = {}
+
+    def holds(self, step: float, ahead: Sequence[float]) -> bool:
+        if step not in self.known:
+            steps = list(dict.fromkeys([step, *ahead]))
+            r = F.col("r")
+            sums = self.r.agg(*[F.sum(F.pow(r - F.rint(r / st) * st, 2)) for st in steps]).first()
+            self.known.update((st, x <= self.most) for st, x in zip(steps, sums, strict=True))
+        return self.known[step]
+
+    def bisected(self, a: float, b: float, rounds: int) -> float:
+        """The largest step that held between a and b, four bisections ahead."""
+        for _ in range(rounds):
+            m = (a + b) / 2
+            a, b = (m, b) if self.holds(m, _middles(a, b, 4)) else (a, m)
+        return a
+
+
+def _middles(a: float, b: float, depth: int) -> list[float]:
+    m = (a + b) / 2
+    return [m, *_middles(a, m, depth - 1), *_middles(m, b, depth - 1)] if depth else []
+
+
 def global_step(pairs: DataFrame, target: float, *, bisections: int = BISECTIONS) -> tuple[float, float]:
     """(step, range) for rows (x, y): the largest step found by bisection with an NRMSE up to target, made smaller until it holds.
 
-    The residuals are written once; a pass over them is one aggregate that tries a grid of steps, four bisections
-    ahead. 1 where no correction is needed.
+    1 where no correction is needed.
     """
-    r = materialize(pairs.select("x", (F.col("x") - F.col("y")).alias("r")), "residuals")
-    n, low, high, raw = r.agg(F.count("*"), F.min("x"), F.max("x"), F.sum(F.col("r") * F.col("r"))).first()
-    span = (high or 0.0) - (low or 0.0)
-    most = (target * span) ** 2 * n
-    if not n or raw <= most:
-        drop_table(r)
-        return 1.0, span
-    known: dict[float, bool] = {}
-
-    def holds(step: float, ahead: Sequence[float]) -> bool:
-        if step not in known:
-            steps = list(dict.fromkeys([step, *ahead]))
-            sums = r.agg(*[F.sum(F.pow(F.col("r") - F.rint(F.col("r") / st) * st, 2)) for st in steps]).first()
-            known.update((st, x <= most) for st, x in zip(steps, sums, strict=True))
-        return known[step]
-
-    def middles(a: float, b: float, depth: int) -> list[float]:
-        m = (a + b) / 2
-        return [m, *middles(a, m, depth - 1), *middles(m, b, depth - 1)] if depth else []
-
-    a = b = target * span * np.sqrt(12)
-    while holds(b, [b * 2.0**k for k in range(AHEAD)]):
+    r = _Residuals(pairs, target)
+    if not r.n or r.raw <= r.most:
+        drop_table(r.r)
+        return 1.0, r.span
+    a = b = target * r.span * np.sqrt(12)
+    while r.holds(b, [b * 2.0**k for k in range(AHEAD)]):
         a, b = b, 2 * b
-    while not holds(a, [a / 2.0**k for k in range(AHEAD)]):
+    while not r.holds(a, [a / 2.0**k for k in range(AHEAD)]):
         a /= 2
-    for _ in range(bisections):
-        m = (a + b) / 2
-        a, b = (m, b) if holds(m, middles(a, b, 4)) else (a, m)
-    while not holds(a, [a * SHRINK**k for k in range(AHEAD)]):
+    a = r.bisected(a, b, bisections)
+    while not r.holds(a, [a * SHRINK**k for k in range(AHEAD)]):
         a *= SHRINK
-    drop_table(r)
-    return float(a), float(span)
+    drop_table(r.r)
+    return float(a), float(r.span)
+
+
+def step_upwards(pairs: DataFrame, target: float, *, doublings: int = 12, bisections: int = BISECTIONS) -> float | None:
+    """The step that is searched from target * range * sqrt(12) upwards only, for rows (x, y) of any NRMSE: up to so many
+    doublings while it holds, then bisections. None where the first step doesn't hold, or there is no range."""
+    r = _Residuals(pairs, target)
+    first = target * r.span * np.sqrt(12)
+    tried = [float(first * 2.0**k) for k in range(doublings)]
+    held = 0
+    if not r.empty and first > 0:
+        while held < doublings and r.holds(tried[held], tried):
+            held += 1
+    a = r.bisected(tried[held - 1], 2 * tried[held - 1], bisections) if held else None
+    drop_table(r.r)
+    return a
 
 
 def features(q: np.ndarray) -> np.ndarray:

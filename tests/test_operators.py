@@ -128,6 +128,24 @@ def test_biased_codec_round_trip_and_step(spark):
     assert {r["id"]: r["q"] for r in back.collect()} == {r["id"]: r["q"] for r in blocks.collect()}
 
 
+def test_global_step_value_is_that_of_its_sql(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    spread = lambda r: np.concatenate([r, -r])
+    cases = {  # residuals whose error at the first step is above the bound, is below it, and that need no step
+        "null": spread(np.where(rng.random((50, 64)) < 0.5, 0.03, 0.5)),
+        "step": spread(np.where(rng.random((50, 64)) < 0.5, 0.01, 0.5)),
+        "small": np.arange(100)[:, None] % 2 + 1e-4 * rng.normal(size=(100, 64)),
+    }
+    for name, x in cases.items():
+        rows = [(i, v.astype(np.float32).tolist(), i % 2 if name == "small" else 0) for i, v in enumerate(x)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/{name}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
+        want = con.execute(catalogue.ORACLES["global_step_value"]).fetchone()[0]
+        got = catalogue.QUERIES["global_step_value"](spark, f"file://{tmp_path}/{name}").first()[0]
+        assert got == want and (got is None) == (name == "null")
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 301), (301, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
