@@ -24,6 +24,8 @@ from cubeweave.scratch import materialize
 from cubeweave.sources.raw import filesystem, five
 
 PATCH = 8
+#: Bytes of blocks that are cut at a time.
+CUT_BYTES = 8 << 20
 LEAST_BOUND = 2 * float(np.finfo(np.float32).eps)
 
 
@@ -45,13 +47,13 @@ class Header:
 
 
 def _tiles(x: np.ndarray, block: Sequence[int]) -> np.ndarray:
-    """Blocks [rows * cols, height, width] of a frame, after zeros where needed and reflecting padding."""
-    h, w, pre_h, pre_w = widened(x.shape, tuple(block))
-    x = np.pad(x, ((pre_h, pre_h), (pre_w, pre_w)))
+    """Blocks [frames, rows * cols, height, width] of frames [frames, h, w], after zeros where needed and reflecting padding."""
+    h, w, pre_h, pre_w = widened(x.shape[1:], tuple(block))
+    x = np.pad(x, ((0, 0), (pre_h, pre_h), (pre_w, pre_w)))
     pads = [((-n % b) // 2, (-n % b) - (-n % b) // 2) for n, b in zip((h, w), block, strict=True)]
-    x = np.pad(x, pads, mode="reflect")
-    r, c = x.shape[0] // block[0], x.shape[1] // block[1]
-    return x.reshape(r, block[0], c, block[1]).transpose(0, 2, 1, 3).reshape(r * c, *block)
+    x = np.pad(x, ((0, 0), *pads), mode="reflect")
+    n, r, c = len(x), x.shape[1] // block[0], x.shape[2] // block[1]
+    return x.reshape(n, r, block[0], c, block[1]).transpose(0, 1, 3, 2, 4).reshape(n, r * c, *block)
 
 
 def _untile(tiles: np.ndarray, size: Sequence[int], block: Sequence[int]) -> np.ndarray:
@@ -79,17 +81,22 @@ def blocks_of(frames: DataFrame, head: Header) -> DataFrame:
     _, _, T, H, W = head.shape
     n, block = head.n_frame, head.block
     samples, pad = tail_pad(T, n)
-    tiles = len(_tiles(np.zeros((H, W), np.float32), block))
+    tiles = _tiles(np.zeros((1, H, W), np.float32), block).shape[1]
     sections = head.shape[1]
 
+    step = max(1, CUT_BYTES // (4 * tiles * block[0] * block[1]))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for v, s, t, data in zip(*(b.column(c).to_pylist() for c in ("v", "s", "t")), b.column("data"), strict=True):
-                parts = _tiles(data.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(H, W), block).reshape(tiles, -1)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(parts.ravel()), parts.shape[1]).cast(pa.list_(pa.float32()))
-                places = [p for p in range(T + pad) if (p if p % (2 * T) < T else -1 - p) % T == t and (p % (2 * T) == t or p % (2 * T) == 2 * T - 1 - t)]
-                for p in places:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(tiles, v)), pa.array(s * tiles + np.arange(tiles)), pa.array(np.full(tiles, p // n)), pa.array(np.full(tiles, p % n)), lists], names=["v", "s", "k", "j", "data"])
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            v, s, t = (b.column(c).to_numpy() for c in ("v", "s", "t"))
+            data = _tiles(b.column("data").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, H, W), block)
+            for p in (a + shift for a in (t, 2 * T - 1 - t) for shift in range(0, T + pad, 2 * T)):  # a frame's own places and its mirrored ones
+                here = p < T + pad
+                m, flat = int(here.sum()), data[here].reshape(-1, block[0] * block[1])
+                if m:
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), flat.shape[1]).cast(pa.list_(pa.float32()))
+                    each = lambda x, here=here: pa.array(np.repeat(x[here], tiles))
+                    yield pa.RecordBatch.from_arrays([each(v), pa.array(np.repeat(s[here] * tiles, tiles) + np.tile(np.arange(tiles), m)), each(p // n), each(p % n), lists], names=["v", "s", "k", "j", "data"])
 
     parts = frames.select("v", "s", "t", "data").mapInArrow(cut, "v long, s long, k long, j long, data array<float>")
     whole = parts.groupBy("v", "s", "k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "data"))), lambda e: e["data"])).alias("data"))
@@ -173,7 +180,7 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
     """Frames (v, s, t, data) of an archive."""
     head = load_header(path)
     shape, n = (head.n_frame, *head.block), head.n_frame
-    tiles = len(_tiles(np.zeros(head.shape[3:], np.float32), head.block))
+    tiles = _tiles(np.zeros((1, *head.shape[3:]), np.float32), head.block).shape[1]
     T, size, block, mean, span = head.shape[2], head.shape[3:], head.block, head.mean, head.range or 1.0
     decode = PREDICTORS[head.predictor][1]
     basis = corrector.Basis(np.array(head.basis), head.eps, head.bin) if head.basis else None

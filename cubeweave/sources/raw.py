@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from cubeweave.functions.index import unravel
 
 SPLIT_BYTES = 32 << 20
+#: Bytes of frames that are read at a time.
+READ_BYTES = 8 << 20
 MANIFEST = "_manifest.json"
 
 
@@ -107,16 +110,20 @@ class RawReader(DataSourceReader):
         at = {"v": i // (s * t), "s": i // t % s, "t": i % t}
         return all(self.spans[k][0] <= at[k] < self.spans[k][1] for k in at)
 
-    def read(self, partition: Frames) -> Iterator[tuple]:
-        if partition.start == partition.end:
-            return
+    def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
         files, _ = filesystem(self.path)
         _, s, t, h, w = self.shape
-        with files.open_input_file(partition.file) as f:
-            for i in filter(self._wanted, range(partition.start, partition.end)):
-                f.seek((i - partition.first) * 4 * h * w)
-                data = np.frombuffer(f.read(4 * h * w), "<f4")
-                yield (i // (s * t), i // t % s, i % t, data.tolist())
+        i = np.arange(partition.start, partition.end)
+        places = {"v": i // (s * t), "s": i // t % s, "t": i % t}
+        wanted = np.flatnonzero(np.all([(self.spans[k][0] <= at) & (at < self.spans[k][1]) for k, at in places.items()], axis=0))
+        runs = np.split(wanted, np.flatnonzero(np.diff(wanted) > 1) + 1) if len(wanted) else []
+        most = max(1, READ_BYTES // (4 * h * w))
+        with files.open_input_file(partition.file) if runs else nullcontext() as f:
+            for run in (r[k : k + most] for r in runs for k in range(0, len(r), most)):
+                f.seek((int(i[run[0]]) - partition.first) * 4 * h * w)
+                data = np.frombuffer(f.read(4 * h * w * len(run)), "<f4").reshape(len(run), h * w)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(data.ravel()), h * w).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(at[run]) for at in places.values()), lists], names=["v", "s", "t", "data"])
 
 
 def read_raw(spark: SparkSession, path: str, shape: Sequence[int]) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cubeweave.cli import main
-from cubeweave.plans.compressor import compress, decompress, load_header, sweep, verify
+from cubeweave.plans.compressor import Header, blocks_of, compress, decompress, load_header, sweep, verify
 from cubeweave.scratch import new_path
 from cubeweave.sources.files import append_metrics, find_model, load_container, load_streams, merge_json, read_npz, read_npz_pair, save_container, save_streams
 from cubeweave.sources.parts import write_raw_parts, write_stream_parts
@@ -137,6 +137,24 @@ def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     assert sorted(r["start"].day for r in spark.read.parquet(target).collect()) == [1, 2, 3, 4]
 
 
+def test_cutting_takes_no_longer_on_a_longer_axis(spark):
+    import time
+
+    for T, rows, want in ((3, [0, 1, 2], {0: [0, 1, 2, 2, 1, 0, 0, 1]}), (2_000_000_000, [0, 1_999_999_999], {0: [0], 249_999_999: [1_999_999_999]})):
+        frames = spark.createDataFrame([(0, 0, t, [float(t)] * 64) for t in rows], "v long, s long, t long, data array<float>")
+        began = time.monotonic()
+        got = {r["k"]: r["data"][::64] for r in blocks_of(frames, Header([1, 1, T, 8, 8], 8, [8, 8], "mean", "pca", 1e-3)).collect()}
+        assert got == {k: np.float32(x).tolist() for k, x in want.items()} and time.monotonic() - began < 60
+
+
+def test_raw_reads_only_the_frames_asked_for(spark, tmp_path):
+    shape = (2, 3, 50, 2, 2)
+    x = np.arange(np.prod(shape), dtype="<f4")
+    (tmp_path / "x.bin").write_bytes(x.tobytes())
+    got = read_raw(spark, str(tmp_path / "x.bin"), shape).filter("s = 1 AND t >= 7 AND t < 9").collect()
+    assert {(r["v"], r["s"], r["t"]): r["data"] for r in got} == {(v, 1, t): x.reshape(shape)[v, 1, t].ravel().tolist() for v in (0, 1) for t in (7, 8)}
+
+
 def test_command_line(spark, tmp_path, capsys):
     frames = frames_of_cells(synthetic(spark, (1, 1, 9, 16, 16)), 16)
     write_raw(frames, f"{tmp_path}/in")
